@@ -386,8 +386,8 @@ def above_threshold_counts(t: Tables):
 @query(
     "feedback_training_set",
     """SELECT f.id AS feedback_id, p.object_id, p.risk_type, l.hour_ts, l.ev_24h, l.y_fire,
-              CASE WHEN f.decision = 'false_alarm' THEN 0.0 ELSE 1.0 END AS y,
-              CASE WHEN f.decision = 'false_alarm' THEN 3.0 ELSE 2.0 END AS weight
+              CASE WHEN f.decision = 'false_alarm' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS y,
+              CASE WHEN f.decision = 'false_alarm' THEN 3.0::DOUBLE ELSE 2.0::DOUBLE END AS weight
        FROM b_feedback f JOIN b_predictions p ON p.id = f.prediction_id JOIN o_latest l ON l.object_id = p.object_id
        WHERE f.decision <> 'watch'""",
 )
