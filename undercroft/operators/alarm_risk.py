@@ -26,10 +26,11 @@ def recent_classified_alarms(
 ) -> DataFrame:
     """Alarms inside the horizon, both ends included, with object, picket and risk; unclassified ones are dropped."""
     horizon = data_horizon(alarms, cfg) if horizon is None else horizon
+    start, end = (horizon.select(c).scalar() for c in ("data_from", "data_to"))
     dims = channels.filter(F.col("object_id").isNotNull()).select(
         F.col("id").alias("channel_id"), "object_id", "sensor_type", "picket"
     )
-    recent = alarms.join(F.broadcast(horizon)).filter(F.col("event_ts").between(F.col("data_from"), F.col("data_to")))
+    recent = alarms.filter(F.col("event_ts").between(start, end))
     return (
         recent.join(dims, "channel_id")
         .withColumn("risk_type", classify_event(F.col("sensor_type"), F.col("value_cat"), cfg))
@@ -43,7 +44,7 @@ def alarm_risk_buckets(classified: DataFrame) -> DataFrame:
     Distinct values are found by grouping on them first, so no set grows inside one task; samples are cut to four
     per bucket before they are collected.
     """
-    by_channel = classified.groupBy("object_id", "risk_type", "channel_id", "picket", "data_to").agg(
+    by_channel = classified.groupBy("object_id", "risk_type", "channel_id", "picket").agg(
         F.count(F.lit(1)).alias("n")
     )
     counts = by_channel.groupBy("object_id", "risk_type").agg(
@@ -51,7 +52,6 @@ def alarm_risk_buckets(classified: DataFrame) -> DataFrame:
         F.count_distinct("channel_id").alias("n_channels"),
         F.count_distinct(F.nullif(F.col("picket"), F.lit(""))).alias("n_pickets"),
         F.min("channel_id").alias("channel_id"),
-        F.max("data_to").alias("data_to"),
     )
     label = F.concat(
         F.col("sensor_type"), F.lit("="),
@@ -72,9 +72,13 @@ def alarm_risk_buckets(classified: DataFrame) -> DataFrame:
     return counts.join(samples, ["object_id", "risk_type"])
 
 
-def rule_predictions(buckets: DataFrame, cfg: RiskConfig) -> DataFrame:
-    """Buckets -> open predictions with probability, explanation and recommendation."""
-    risk, month = F.col("risk_type"), F.month("data_to")
+def rule_predictions(buckets: DataFrame, horizon: DataFrame, cfg: RiskConfig) -> DataFrame:
+    """Buckets -> open predictions with probability, explanation and recommendation.
+
+    The season is that of the newest data.
+    """
+    buckets = buckets.withColumn("_month", horizon.select(F.month("data_to")).scalar())
+    risk, month = F.col("risk_type"), F.col("_month")
     sizes = (F.col("n_events"), F.col("n_channels"), F.col("n_pickets"))
     return buckets.select(
         "object_id",
@@ -99,13 +103,18 @@ def score_alarms(
     horizon = data_horizon(alarms, cfg)
     if objects is not None:
         channels = channels.join(objects.select("object_id").distinct(), "object_id", "left_semi")
-    return rule_predictions(alarm_risk_buckets(recent_classified_alarms(alarms, channels, cfg, horizon)), cfg)
+    buckets = alarm_risk_buckets(recent_classified_alarms(alarms, channels, cfg, horizon))
+    return rule_predictions(buckets, horizon, cfg)
 
 
 def stream_status(alarms: DataFrame, cfg: RiskConfig, slo_seconds: int = 300) -> DataFrame:
     """Alarm count, data range and the latency goal."""
-    total = alarms.agg(F.count(F.lit(1)).alias("alarms"))
-    return total.join(F.broadcast(data_horizon(alarms, cfg))).withColumn("slo_seconds", F.lit(slo_seconds))
+    newest = F.max("event_ts")
+    return alarms.agg(
+        F.count(F.lit(1)).alias("alarms"),
+        (newest - F.make_dt_interval(hours=F.lit(cfg.horizon_hours))).alias("data_from"),
+        newest.alias("data_to"),
+    ).withColumn("slo_seconds", F.lit(slo_seconds))
 
 
 def alarm_templates(

@@ -14,10 +14,11 @@ def mark_channel_hours(channel_hours: DataFrame, cfg: RiskConfig) -> DataFrame:
     """Adds, per channel and period, whether it is noisy and how many failures its last day held.
 
     The series is sparse, so the look-back is a range of hours, never a number of rows. Both windows share one
-    exchange on (period, channel), which holds at most one row per hour.
+    exchange and one sort by (period, channel, hour); a group holds at most one row per hour.
     """
-    channel = Window.partitionBy(PERIOD, "channel_id")
-    last_day = channel.orderBy("hour_no").rangeBetween(-cfg.history_hours, -1)
+    series = Window.partitionBy(PERIOD, "channel_id").orderBy("hour_no")
+    channel = series.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    last_day = series.rangeBetween(-cfg.history_hours, -1)
     return channel_hours.select(
         "*",
         (F.sum("n_fire").over(channel) > cfg.noisy_fire_events).alias("noisy_fire"),

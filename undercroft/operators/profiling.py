@@ -102,8 +102,8 @@ def orphan_counts(events: DataFrame, channels: DataFrame, objects: DataFrame) ->
     orphans = seen.join(_dims(channels).select("channel_id"), "channel_id", "left_anti")
     used = channels.select("object_id").distinct()
     lost = used.join(objects.select(F.col("id").alias("object_id")), "object_id", "left_anti")
-    return orphans.agg(F.count("channel_id").alias("orphan_channels")).join(
-        F.broadcast(lost.agg(F.count("object_id").alias("orphan_objects")))
+    return orphans.agg(F.count("channel_id").alias("orphan_channels")).withColumn(
+        "orphan_objects", lost.agg(F.count("object_id")).scalar()
     )
 
 

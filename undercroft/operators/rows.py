@@ -61,15 +61,11 @@ def running_totals(
 
 def assign_running_ids(batch: DataFrame, existing: DataFrame, id_col: str, order: Sequence[Column]) -> DataFrame:
     """Fills missing ids with the stored maximum plus the row's position in the batch (all rows are counted)."""
-    top = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_top"))
+    top = existing.agg(F.coalesce(F.max(id_col), F.lit(0))).scalar()
     numbered = running_totals(
         batch.withColumn("_all", F.lit(1)), ["_all"], order, {"_position": F.lit(1).cast("bigint")}, "ids"
     )
-    return (
-        numbered.join(F.broadcast(top))
-        .withColumn(id_col, F.coalesce(F.col(id_col), F.col("_top") + F.col("_position")))
-        .drop("_all", "_top", "_position")
-    )
+    return numbered.withColumn(id_col, F.coalesce(F.col(id_col), top + F.col("_position"))).drop("_all", "_position")
 
 
 def hashed_id(*parts: Column) -> Column:

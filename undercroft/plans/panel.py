@@ -4,7 +4,7 @@ Shuffles, from the raw journal down:
   1. tallies per (period, channel, hour), after map-side combine - the only one that grows with the journal;
   2. channel-hours by (period, channel): type lookup, noisy channels and new failures share it;
   3. object-hours (two small steps because of the distinct pickets);
-  4. sparse object-hours by object: profile join, liveness, gap filling and all rolling windows share it.
+  4. sparse object-hours by (object, period): liveness, gap filling and all rolling windows share it.
 The dense grid is produced inside the tasks of step 4 and never crosses the network.
 """
 
@@ -47,12 +47,15 @@ def dense_object_hours(
     Each sparse row expands to itself plus the empty hours up to the next row, so the grid needs no cross join and
     no join back. Counts are 0 in the filled hours, measures NULL. `bounds` has one row per period, hence broadcast.
     """
-    series = Window.partitionBy("object_id", PERIOD)
-    ordered = series.orderBy("hour_no")
+    ordered = Window.partitionBy("object_id", PERIOD).orderBy("hour_no")
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # A fixed number of partitions: rows multiply below, so sizes measured here must not merge partitions.
+    tasks = int(sparse.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     marked = (
-        sparse.select(
+        sparse.repartition(tasks, "object_id", PERIOD)
+        .select(
             "*",
-            F.sum("n_events").over(series).alias("_total"),
+            F.sum("n_events").over(whole).alias("_total"),
             F.lead("hour_no").over(ordered).alias("_next"),
             F.row_number().over(ordered).alias("_rank"),
         )

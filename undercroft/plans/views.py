@@ -63,13 +63,13 @@ def object_card(
     node = objects.filter(F.col("id") == object_id)
     own = channels.filter(F.col("object_id") == object_id)
     pickets = hierarchy.picket_profile(own, cfg)
-    totals = own.agg(F.count(F.lit(1)).alias("n_channels")).join(
-        F.broadcast(pickets.agg(F.count(F.lit(1)).alias("n_pickets")))
-    )
     chain = hierarchy.ancestors(objects, node.select(F.col("id").alias("object_id")))
     open_rows = filter_predictions(predictions, object_id=object_id)
     return {
-        "object": node.join(F.broadcast(totals)),
+        "object": node.withColumns({
+            "n_channels": own.agg(F.count(F.lit(1))).scalar(),
+            "n_pickets": pickets.agg(F.count(F.lit(1))).scalar(),
+        }),
         "ancestors": hierarchy.root_first(chain).orderBy("position"),
         "children": hierarchy.children(objects).filter(F.col("object_id") == object_id).orderBy("child_id"),
         "pickets": hierarchy.natural_order(pickets),
@@ -160,8 +160,9 @@ def dashboard_totals(predictions: DataFrame, alarms: DataFrame, cfg: RiskConfig)
         F.count_distinct("object_id").alias("objects_at_risk"),
         *[F.count_if(F.col("risk_type") == r).alias(f"open_{r}") for r in RISKS],
     )
+    horizon = data_horizon(alarms, cfg)
     month = F.month("data_to")
-    return totals.join(F.broadcast(data_horizon(alarms, cfg))).withColumns({
+    return totals.withColumns({c: horizon.select(c).scalar() for c in ("data_from", "data_to")}).withColumns({
         "month": month,
         "flood_season": F.coalesce(month.isin(*FLOOD_MONTHS), F.lit(False)),
         "heating_season": F.coalesce(month.isin(*HEATING_MONTHS), F.lit(False)),

@@ -52,10 +52,10 @@ def metrics_document(
     `counts` is one row with n_train, n_valid, n_test; `importances` has risk, feature, gain.
     """
     value = F.struct(*METRIC_FIELDS)
-    doc = counts.join(F.broadcast(_nested(thresholds, "method", "risk", F.col("threshold")).withColumnRenamed("m", "thresholds")))
+    doc = counts.withColumn("thresholds", _nested(thresholds, "method", "risk", F.col("threshold")).scalar())
     for split in ("valid", "test"):
         part = _nested(metrics.filter(F.col("split") == split), "method", "risk", value)
-        doc = doc.join(F.broadcast(part.withColumnRenamed("m", split)))
+        doc = doc.withColumn(split, part.scalar())
     if importances is not None:
         top = importances.groupBy("risk").agg(
             F.reverse(F.array_sort(F.collect_list(F.struct("gain", "feature")))).alias("f")
@@ -63,7 +63,7 @@ def metrics_document(
         shap = top.agg(F.map_from_entries(F.collect_list(F.struct(
             "risk", F.transform("f", lambda x: F.struct(x["feature"].alias("feature"), x["gain"].alias("gain")))
         ))).alias("shap"))
-        doc = doc.join(F.broadcast(shap))
+        doc = doc.withColumn("shap", shap.scalar())
     return doc.withColumns({
         "features": F.array(*[F.lit(f) for f in features]),
         "trained_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"),

@@ -6,6 +6,8 @@ lies in an operator and never in its input.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 
 from undercroft.config import RiskConfig
@@ -129,30 +131,10 @@ class Tables:
             text = text.replace(f"FROM {table}", f"FROM {{{table}}}")
         return self.spark.sql(text, **needed)
 
-    @property
-    def channels(self) -> DataFrame:
-        return self.view("b_channels")
-
-    @property
-    def events(self) -> DataFrame:
-        return self.view("b_events")
-
-    @property
-    def journal_raw(self) -> DataFrame:
-        return self.view("b_journal_raw")
-
-    @property
-    def objects(self) -> DataFrame:
-        return self.view("b_objects")
-
-    @property
-    def weather(self) -> DataFrame:
-        return self.view("b_weather")
-
-    @property
-    def predictions(self) -> DataFrame:
-        return self.view("b_predictions")
-
-    @property
-    def feedback(self) -> DataFrame:
-        return self.view("b_feedback")
+    channels = cached_property(lambda self: self.view("b_channels"))
+    events = cached_property(lambda self: self.view("b_events"))
+    journal_raw = cached_property(lambda self: self.view("b_journal_raw"))
+    objects = cached_property(lambda self: self.view("b_objects"))
+    weather = cached_property(lambda self: self.view("b_weather"))
+    predictions = cached_property(lambda self: self.view("b_predictions"))
+    feedback = cached_property(lambda self: self.view("b_feedback"))

@@ -32,7 +32,7 @@ def rule_predictions(t: Tables):
 )
 def alarm_risk_buckets(t: Tables):
     buckets = alarm_risk.alarm_risk_buckets(alarm_risk.recent_classified_alarms(alarms(t), channels(t), CONFIG))
-    return buckets.withColumn("samples", F.array_join("samples", "; ")).drop("data_to")
+    return buckets.withColumn("samples", F.array_join("samples", "; "))
 
 
 @query("alarm_rule_predictions", "SELECT * FROM o_rule_preds")
@@ -80,10 +80,9 @@ def replace_open_all(t: Tables):
 def replace_open_touched(t: Tables):
     """Only objects with an alarm in the last two hours are rescored."""
     mart = alarms(t)
-    last = mart.agg((F.max("event_ts") - F.expr("INTERVAL 2 HOUR")).alias("since"))
+    since = mart.agg(F.max("event_ts") - F.expr("INTERVAL 2 HOUR")).scalar()
     touched = (
-        mart.join(F.broadcast(last))
-        .filter(F.col("event_ts") >= F.col("since"))
+        mart.filter(F.col("event_ts") >= since)
         .join(channels(t).select(F.col("id").alias("channel_id"), "object_id"), "channel_id")
         .filter(F.col("object_id").isNotNull())
         .select("object_id")
