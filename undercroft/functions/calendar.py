@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from undercroft.config import FLOOD_MONTHS, HEATING_MONTHS
 
 _EPOCH_DAY = dt.date(1970, 1, 1)
-_EPOCH = dt.datetime(1970, 1, 1)
+# A text, because a Python datetime would become an instant in the session zone.
+_EPOCH = "1970-01-01 00:00:00"
 
 
 def hour_number(ts: Column) -> Column:

@@ -96,9 +96,9 @@ def event_list(
     if channel_id is not None:
         rows = rows.filter(F.col("channel_id") == channel_id)
     if date_from is not None:
-        rows = rows.filter(F.col("event_ts") >= F.lit(date_from).cast("timestamp_ntz"))
+        rows = rows.filter(F.col("event_ts") >= F.lit(date_from.isoformat(" ")).cast("timestamp_ntz"))
     if date_to is not None:
-        rows = rows.filter(F.col("event_ts") <= F.lit(date_to).cast("timestamp_ntz"))
+        rows = rows.filter(F.col("event_ts") <= F.lit(date_to.isoformat(" ")).cast("timestamp_ntz"))
     order = [F.desc("event_ts"), F.desc("event_id")]
     dims = channels.select(F.col("id").alias("channel_id"), "object_id", "sensor_type", "picket")
     if object_id is not None or sensor_type:
