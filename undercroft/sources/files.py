@@ -73,7 +73,7 @@ def read_header(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_text_rows(spark: SparkSession, paths: Sequence[str], header: Sequence[str], trim: bool = False) -> DataFrame:
-    """All columns as text under the given header, plus the malformed line where a row does not fit it.
+    """All columns as text under the given header, plus the line itself where a row does not fit it (else empty).
 
     Types are never inferred: a single odd value would otherwise change a whole column.
     """
@@ -83,6 +83,8 @@ def read_text_rows(spark: SparkSession, paths: Sequence[str], header: Sequence[s
         .option("header", "true")
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
+        # A row is judged by all of its fields, whichever of them a query reads.
+        .option("columnPruning", "false")
         .option("encoding", "UTF-8")
         .option("quote", '"')
         .option("escape", '"')
@@ -90,18 +92,21 @@ def read_text_rows(spark: SparkSession, paths: Sequence[str], header: Sequence[s
     if trim:
         reader = reader.option("ignoreLeadingWhiteSpace", "true").option("ignoreTrailingWhiteSpace", "true")
     rows = reader.csv(list(paths)).withColumn("_file", F.col("_metadata.file_name"))
+    # The malformed line, or an empty text. The first field is read along because Spark refuses queries on raw files
+    # that need the malformed line alone.
+    rows = rows.withColumn(CORRUPT, F.concat_ws("", CORRUPT, F.substring(f"`{header[0]}`", 1, 0)))
     if trim:
         rows = rows.withColumns({n: strip(F.col(f"`{n}`")) for n in header})
     return rows
 
 
 def good_rows(rows: DataFrame) -> DataFrame:
-    return rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return rows.filter(F.col(CORRUPT) == "").drop(CORRUPT)
 
 
 def quarantine(rows: DataFrame) -> DataFrame:
     """Rows that do not fit their header, with the file and the original line."""
-    return rows.filter(F.col(CORRUPT).isNotNull()).select("_file", F.col(CORRUPT).alias("line"))
+    return rows.filter(F.col(CORRUPT) != "").select("_file", F.col(CORRUPT).alias("line"))
 
 
 def renamed(rows: DataFrame, kind: str) -> DataFrame:
