@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from undercroft.config import FLOOD_MONTHS, HEATING_MONTHS
@@ -29,16 +29,29 @@ def day_of_week(ts: Column) -> Column:
     return F.dayofweek(ts) - 1
 
 
-def calendar_features(ts: Column) -> dict[str, Column]:
-    month = F.month(ts)
+def season_features(month: Column) -> dict[str, Column]:
+    """Cyclic month and the two season flags."""
     angle = F.lit(2.0) * F.pi() * month / F.lit(12.0)
     return {
-        "day": ts.cast("date"),
-        "hour_of_day": F.hour(ts),
-        "day_of_week": day_of_week(ts),
-        "month": month,
         "month_sin": F.sin(angle),
         "month_cos": F.cos(angle),
         "flood_season": month.isin(*FLOOD_MONTHS).cast("int"),
         "heating_season": month.isin(*HEATING_MONTHS).cast("int"),
     }
+
+
+def calendar_features(ts: Column) -> dict[str, Column]:
+    return {
+        "day": ts.cast("date"),
+        "hour_of_day": F.hour(ts),
+        "day_of_week": day_of_week(ts),
+        "month": F.month(ts),
+        **season_features(F.month(ts)),
+    }
+
+
+def with_season(frame: DataFrame) -> DataFrame:
+    """Season features for a frame that has a month but was built without them; a missing month counts as 0."""
+    if "month" not in frame.columns or "month_sin" in frame.columns:
+        return frame
+    return frame.withColumns(season_features(F.coalesce(F.col("month").try_cast("int"), F.lit(0))))

@@ -14,14 +14,12 @@ EPOCH_MARK = "01.01.1970"
 TRUE_STRICT = ("t", "true", "1")
 TRUE_LENIENT = ("t", "true", "1", "yes")
 
-# Casting is guarded by these patterns because engines disagree on texts such as `1.0d` or `12.7` as an integer.
-_INTEGER = r"^\s*[+-]?\d+\s*$"
+# Casting is guarded by these patterns because engines disagree on texts such as `1.0d`.
 _DECIMAL = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))\s*$"
 _PLAIN_NUMBER = r"^-?\d+(?:[.,]\d+)?$"
 _DATE = r"^\d{4}-\d{1,2}-\d{1,2}$"
-_TIME = r"^\d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,6})?)?$"
-_TIME_SECONDS = r"^\d{1,2}:\d{1,2}:\d{1,2}$"
-_QUOTES = r'^"+|"+$'
+_STAMP = r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,6})?)?$"
+_STAMP_SECONDS = r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"
 _BLANKS = " \t\n\r\f\x0b"
 
 
@@ -37,11 +35,12 @@ def strip(text: Column) -> Column:
 
 
 def to_long(text: Column) -> Column:
-    return F.when(text.rlike(_INTEGER), F.trim(text).try_cast("bigint"))
+    """Whole number; Spark's try_cast already refuses texts such as `12.7`."""
+    return text.try_cast("bigint")
 
 
 def to_int(text: Column) -> Column:
-    return F.when(text.rlike(_INTEGER), F.trim(text).try_cast("int"))
+    return text.try_cast("int")
 
 
 def alarm_flag(text: Column, mode: str = "strict") -> Column:
@@ -74,17 +73,12 @@ def to_timestamp(date: Column, time: Column, mode: str = "strict") -> Column:
     strict: any bad or missing half gives NULL. lenient: a bad or missing time means midnight.
     """
     if _lenient(mode):
-        date = F.regexp_replace(strip(date), _QUOTES, "")
-        time = F.regexp_replace(strip(time), _QUOTES, "")
-        full = F.when(
-            date.rlike(_DATE) & time.rlike(_TIME_SECONDS),
-            F.concat(date, F.lit(" "), time).try_cast("timestamp_ntz"),
-        )
+        date, time = (F.btrim(strip(c), F.lit('"')) for c in (date, time))
+        text = F.concat(date, F.lit(" "), time)
+        full = F.when(text.rlike(_STAMP_SECONDS), text.try_cast("timestamp_ntz"))
         return F.coalesce(full, F.when(date.rlike(_DATE), date.try_cast("timestamp_ntz")))
-    return F.when(
-        F.trim(date).rlike(_DATE) & F.trim(time).rlike(_TIME),
-        F.concat(F.trim(date), F.lit(" "), F.trim(time)).try_cast("timestamp_ntz"),
-    )
+    text = F.concat(F.trim(date), F.lit(" "), F.trim(time))
+    return F.when(text.rlike(_STAMP), text.try_cast("timestamp_ntz"))
 
 
 def value_kind(text: Column) -> Column:

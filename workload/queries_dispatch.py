@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from undercroft.config import DECISION_TITLES, RISK_TITLES, RISKS
-from undercroft.operators import alarm_risk, feedback, hierarchy, marts, normalize, predictions
+from undercroft.operators import alarm_risk, audit, feedback, hierarchy, marts, normalize, predictions
 from undercroft.plans import views
 from undercroft.session import fresh_path
 from undercroft.sources import documents, files
@@ -545,3 +545,51 @@ def prediction_export(t: Tables):
     path = fresh_path(t.spark, "export")
     documents.write_export(predictions.with_object_names(t.predictions, t.objects), path)
     return t.spark.read.option("header", "true").option("sep", ";").option("escape", '"').csv(path)
+
+
+@query(
+    "audit_log",
+    """SELECT user_login, 'prediction.decision' AS action,
+              '{"prediction_id":' || prediction_id || ',"decision":"' || decision || '"}' AS details,
+              decided_at AS created_at FROM o_accepted""",
+    extra=_DECISIONS,
+)
+def audit_log(t: Tables):
+    accepted, _ = feedback.split_decisions(decisions(t), t.predictions)
+    rows = audit.audit_rows(
+        accepted, "prediction.decision", F.col("user_login"), F.col("decided_at"), "prediction_id", "decision"
+    )
+    return rows.drop("id")
+
+
+@query(
+    "object_card",
+    """SELECT o.id, o.level, o.parent_id, o.kind, o.name,
+              (SELECT count(*) FROM o_mart_channels WHERE object_id = 4) AS n_channels,
+              (SELECT count(*) FROM o_pickets WHERE object_id = 4) AS n_pickets
+       FROM b_objects o WHERE o.id = 4""",
+)
+def object_card(t: Tables):
+    return views.object_card(t.objects, channels(t), t.predictions, 4, CONFIG)["object"]
+
+
+@query("object_card_pickets", "SELECT * FROM o_pickets WHERE object_id = 4")
+def object_card_pickets(t: Tables):
+    pickets = views.object_card(t.objects, channels(t), t.predictions, 4, CONFIG)["pickets"]
+    return pickets.withColumn("sensor_types", F.array_join("sensor_types", ","))
+
+
+@query("object_card_predictions", f"SELECT * FROM ({_NAMED}) n WHERE object_id = 4 AND status = 'open'")
+def object_card_predictions(t: Tables):
+    rows = views.object_card(t.objects, channels(t), t.predictions, 4, CONFIG)["predictions"]
+    return rows.select(*_NAMED_COLUMNS)
+
+
+@query("object_card_ancestors", """
+    SELECT c.id AS object_id, 1 AS distance, p.id AS ancestor_id, p.kind, p.name, p.level, 2 AS position
+    FROM b_objects c JOIN b_objects p ON p.id = c.parent_id WHERE c.id = 4
+    UNION ALL
+    SELECT c.id, 2, g.id, g.kind, g.name, g.level, 1
+    FROM b_objects c JOIN b_objects p ON p.id = c.parent_id JOIN b_objects g ON g.id = p.parent_id WHERE c.id = 4""")
+def object_card_ancestors(t: Tables):
+    return views.object_card(t.objects, channels(t), t.predictions, 4, CONFIG)["ancestors"]

@@ -14,11 +14,14 @@ from undercroft.config import (
 )
 from undercroft.functions.calendar import hour_timestamp
 from undercroft.functions.scores import persist_score, rule_score
-from undercroft.operators import curve, feedback, hourly, predictions, profiling
+from undercroft.operators import curve, feedback, hourly, marts, normalize, predictions, profiling
 from undercroft.operators.tallies import channel_hour_tallies, typed_channel_hours
-from undercroft.plans import panel
+from undercroft.plans import jobs, panel
+from undercroft.session import fresh_path, stage
+from undercroft.sources import documents, tables
 from workload.binding import CONFIG, Tables
 from workload.oracles import PANEL_HOURLY, r6
+from workload.queries_events import doubled_events
 from workload.registry import query
 
 DOUBLES = (
@@ -315,6 +318,49 @@ def comparison_table(t: Tables):
     return curve.comparison_table(evaluated(t), CONFIG, model="rules")
 
 
+@query(
+    "metrics_document",
+    f"""SELECT s.split, method, risk, {_METRICS}, positives_pred, positives_true, n
+        FROM (SELECT * EXCLUDE (split) FROM o_metrics) m, (SELECT 'test' AS split) s""",
+)
+def metrics_document(t: Tables):
+    """The evaluation stored as the nested metrics document and read back as rows of the test split."""
+    metrics = stage(evaluated(t), "metrics")
+    both = metrics.withColumn("split", F.explode(F.array(F.lit("valid"), F.lit("test"))))
+    counts = metrics.agg(*[F.max("n").alias(f"n_{s}") for s in ("train", "valid", "test")])
+    doc = documents.metrics_document(both, metrics.select("method", "risk", "threshold"), counts, FEATURE_COLUMNS)
+    path = fresh_path(t.spark, "metrics")
+    documents.write_document(doc, path)
+    return documents.metrics_rows(documents.read_metrics(t.spark, path))
+
+
+@query("dataset_job", f"SELECT {columns_sql(PANEL_COLUMNS)}, period AS year FROM o_panel")
+def dataset_job(t: Tables):
+    """The batch job: events stored by year, features built, written by year and read back."""
+    folder = fresh_path(t.spark, "dataset")
+    tables.write_table(t.events.withColumn("year", F.year("event_ts")), f"{folder}/events", ["year"])
+    jobs.build_dataset(t.spark, f"{folder}/events", t.channels, t.weather, folder, CONFIG)
+    return t.spark.read.parquet(f"{folder}/features")
+
+
+@query(
+    "warehouse_job",
+    """SELECT 'events_alarm' AS table_name, count(*) AS n_rows FROM o_alarms
+       UNION ALL SELECT 'events_hourly', count(*) FROM (
+           SELECT DISTINCT e.channel_id, date_trunc('hour', e.event_ts) FROM o_base_doubled e
+           JOIN b_channels c ON c.id = e.channel_id WHERE c.sensor_type IN ('temp', 'heat', 'flood', 'pump', 'fan')) h""",
+)
+def warehouse_job(t: Tables):
+    """Both marts loaded from stored events, then counted."""
+    folder = fresh_path(t.spark, "warehouse")
+    tables.write_table(doubled_events(t).withColumn("year", F.year("event_ts")), f"{folder}/events", ["year"])
+    tables.write_table(normalize.clean_channels(t.channels), f"{folder}/channels")
+    jobs.load_marts(t.spark, f"{folder}/events", folder, CONFIG)
+    return marts.table_counts({
+        n: t.spark.read.parquet(f"{folder}/{n}") for n in ("events_alarm", "events_hourly")
+    })
+
+
 # ---- predictions from panel scores ------------------------------------------------------------------------------------
 
 
