@@ -12,9 +12,13 @@ from undercroft.config import DECISION_TITLES, RECOMMENDATIONS, RISK_TITLES, RIS
 from workload.binding import VIEWS
 
 
-def r6(expr: str, name: str | None = None) -> str:
-    """Six decimals, without a negative zero."""
-    text = f"CASE WHEN round({expr}, 6) = 0 THEN 0.0 ELSE round({expr}, 6) END"
+# Decimals compared. Means of two-decimal values over small counts end within nine digits, so rounding meets no ties.
+DIGITS = 9
+
+
+def rd(expr: str, name: str | None = None) -> str:
+    """Rounded to DIGITS, without a negative zero."""
+    text = f"CASE WHEN round({expr}, {DIGITS}) = 0 THEN 0.0 ELSE round({expr}, {DIGITS}) END"
     return f"{text} AS {name}" if name else text
 
 

@@ -10,7 +10,7 @@ from undercroft.plans import views
 from undercroft.session import fresh_path
 from undercroft.sources import documents, files
 from workload.binding import CONFIG, Tables
-from workload.oracles import case_of, r6
+from workload.oracles import case_of, rd
 from workload.registry import query
 
 
@@ -495,8 +495,8 @@ def feedback_history(t: Tables):
     f"""SELECT b.risk_type, {case_of('b.risk_type', RISK_TITLES)} AS title, m.precision, m.recall, m.pr_auc,
                m.threshold, c.threshold AS calibrated_threshold, c.n_dispatch, c.n_false_alarm
         FROM o_base_thr b JOIN o_calibrated c ON c.risk_type = b.risk_type
-        LEFT JOIN (SELECT risk, {r6('avg(y)', 'pr_auc')}, {r6('avg(hit)', 'precision')},
-                          {r6('avg(hit)', 'recall')}, {r6('min(probability)', 'threshold')}
+        LEFT JOIN (SELECT risk, {rd('avg(y)', 'pr_auc')}, {rd('avg(hit)', 'precision')},
+                          {rd('avg(hit)', 'recall')}, {rd('min(probability)', 'threshold')}
                    FROM (SELECT risk_type AS risk, probability, CAST(status = 'dispatch' AS INTEGER) AS y,
                                 CAST(probability >= 0.5 AS INTEGER) AS hit FROM b_predictions) p
                    WHERE risk <> 'intrusion' GROUP BY risk) m ON m.risk = b.risk_type""",

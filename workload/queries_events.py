@@ -9,7 +9,7 @@ from undercroft.functions.values import value_kind
 from undercroft.operators import marts, normalize, profiling, rows
 from undercroft.sources.weather import weather_rows
 from workload.binding import CONFIG, Tables
-from workload.oracles import CLASSIFY, FAILURE, FIRE, FLOOD, INTRUSION, r6
+from workload.oracles import CLASSIFY, FAILURE, FIRE, FLOOD, INTRUSION, rd
 from workload.registry import query
 
 mart_channels = normalize.clean_channels
@@ -129,7 +129,7 @@ def value_kinds_top(t: Tables):
 @query(
     "hourly_mart",
     f"""SELECT e.channel_id, date_trunc('hour', e.event_ts) AS hour_ts, count(*) AS n_events,
-               count_if(is_alarm) AS n_alarms, {r6('avg(value_num)', 'value_mean')}, min(value_num) AS value_min,
+               count_if(is_alarm) AS n_alarms, {rd('avg(value_num)', 'value_mean')}, min(value_num) AS value_min,
                max(value_num) AS value_max
         FROM b_events e JOIN b_channels c ON c.id = e.channel_id
         WHERE c.sensor_type IN ('temp', 'heat', 'flood', 'pump', 'fan')
@@ -289,7 +289,7 @@ def channels_by_type(t: Tables):
     "journal_summary",
     f"""SELECT count(*) AS n_rows, CAST(min(event_ts) AS DATE) AS date_min, CAST(max(event_ts) AS DATE) AS date_max,
                count(DISTINCT channel_id) AS n_channels, count_if(is_alarm) AS n_alarms,
-               {r6('CAST(count_if(is_alarm) AS DOUBLE) / count(*)', 'alarm_share')} FROM o_norm""",
+               {rd('CAST(count_if(is_alarm) AS DOUBLE) / count(*)', 'alarm_share')} FROM o_norm""",
 )
 def journal_summary(t: Tables):
     return profiling.journal_summary(normalize.normalize_events(t.journal_raw))
@@ -300,7 +300,7 @@ def journal_summary(t: Tables):
     f"""SELECT CAST(extract(year FROM event_ts) AS INTEGER) AS year, count(*) AS n_rows,
                CAST(min(event_ts) AS DATE) AS date_min, CAST(max(event_ts) AS DATE) AS date_max,
                count(DISTINCT channel_id) AS n_channels, count_if(is_alarm) AS n_alarms,
-               {r6('CAST(count_if(is_alarm) AS DOUBLE) / count(*)', 'alarm_share')} FROM b_events GROUP BY 1""",
+               {rd('CAST(count_if(is_alarm) AS DOUBLE) / count(*)', 'alarm_share')} FROM b_events GROUP BY 1""",
 )
 def journal_summary_by_year(t: Tables):
     return profiling.journal_summary(t.events.withColumn("year", F.year("event_ts")), "year")
@@ -355,7 +355,7 @@ def category_values(t: Tables):
 
 @query(
     "numeric_ranges",
-    f"""SELECT c.sensor_type, count(*) AS n, min(value_num) AS value_min, {r6('avg(value_num)', 'value_mean')},
+    f"""SELECT c.sensor_type, count(*) AS n, min(value_num) AS value_min, {rd('avg(value_num)', 'value_mean')},
                max(value_num) AS value_max
         FROM b_events e JOIN b_channels c ON c.id = e.channel_id WHERE value_num IS NOT NULL GROUP BY c.sensor_type""",
 )

@@ -20,7 +20,7 @@ from undercroft.plans import jobs, panel
 from undercroft.session import fresh_path, stage
 from undercroft.sources import documents, tables
 from workload.binding import CONFIG, Tables
-from workload.oracles import PANEL_HOURLY, r6
+from workload.oracles import PANEL_HOURLY, rd
 from workload.queries_events import doubled_events
 from workload.registry import query
 
@@ -32,7 +32,7 @@ DOUBLES = (
 
 
 def columns_sql(names) -> str:
-    return ", ".join(r6(n, n) if n in DOUBLES else n for n in names)
+    return ", ".join(rd(n, n) if n in DOUBLES else n for n in names)
 
 
 def full_panel(t: Tables):
@@ -76,8 +76,8 @@ _HOURLY = ", ".join(PANEL_HOURLY)
 
 @query(
     "panel_hourly",
-    f"""SELECT object_id, h AS hour_ts, {_HOURLY}, {r6('temp_mean', 'temp_mean')}, temp_max, temp_min,
-               {r6('gas_mean', 'gas_mean')}, gas_max, guard_state FROM o_hour""",
+    f"""SELECT object_id, h AS hour_ts, {_HOURLY}, {rd('temp_mean', 'temp_mean')}, temp_max, temp_min,
+               {rd('gas_mean', 'gas_mean')}, gas_max, guard_state FROM o_hour""",
 )
 def panel_hourly(t: Tables):
     return at_hour(panel.sparse_object_hours(t.events, t.channels, CONFIG).drop("period"))
@@ -154,7 +154,7 @@ def latest_rows(t: Tables):
     "fill_rates",
     " UNION ALL ".join(
         f"SELECT '{c}' AS name, count({c}) AS n_filled, count(*) AS n_rows, "
-        f"{r6(f'CAST(count({c}) AS DOUBLE) / count(*)', 'fill_rate')} FROM o_panel"
+        f"{rd(f'CAST(count({c}) AS DOUBLE) / count(*)', 'fill_rate')} FROM o_panel"
         for c in profiling.KEY_COLUMNS
     ),
 )
@@ -165,7 +165,7 @@ def fill_rates(t: Tables):
 @query(
     "label_rates",
     " UNION ALL ".join(
-        f"SELECT '{r}' AS risk, {r6(f'avg(y_{r})', 'rate')}, CAST(sum(y_{r}) AS BIGINT) AS positives, "
+        f"SELECT '{r}' AS risk, {rd(f'avg(y_{r})', 'rate')}, CAST(sum(y_{r}) AS BIGINT) AS positives, "
         f"max(y_{r}_cnt) AS max_count FROM o_panel"
         for r in RISKS
     ),
@@ -178,8 +178,8 @@ def label_rates(t: Tables):
     "class_means",
     " UNION ALL ".join(
         f"SELECT '{r}' AS risk, '{c}' AS feature, "
-        f"{r6(f'coalesce(avg({c}) FILTER (WHERE y_{r} = 0), 0)', 'mean_negative')}, "
-        f"{r6(f'coalesce(avg({c}) FILTER (WHERE y_{r} = 1), 0)', 'mean_positive')} FROM o_panel"
+        f"{rd(f'coalesce(avg({c}) FILTER (WHERE y_{r} = 0), 0)', 'mean_negative')}, "
+        f"{rd(f'coalesce(avg({c}) FILTER (WHERE y_{r} = 1), 0)', 'mean_positive')} FROM o_panel"
         for r in RISKS
         for c in (f"{r}_24h", f"{r}_6h", "al_24h", "ev_24h")
     ),
@@ -191,8 +191,8 @@ def class_means(t: Tables):
 @query(
     "leak_check",
     " UNION ALL ".join(
-        f"SELECT '{r}' AS risk, {r6(f'avg(y_{r}) FILTER (WHERE {r}_1h > 0)', 'p_event_now')}, "
-        f"{r6(f'avg(y_{r}) FILTER (WHERE {r}_1h = 0)', 'p_quiet_now')} FROM o_panel"
+        f"SELECT '{r}' AS risk, {rd(f'avg(y_{r}) FILTER (WHERE {r}_1h > 0)', 'p_event_now')}, "
+        f"{rd(f'avg(y_{r}) FILTER (WHERE {r}_1h = 0)', 'p_quiet_now')} FROM o_panel"
         for r in RISKS
     ),
 )
@@ -233,7 +233,7 @@ def build_stats(t: Tables):
 # ---- scores and their evaluation --------------------------------------------------------------------------------------
 
 
-@query("persist_scores", f"SELECT risk, object_id, hour_ts, y, {r6('score', 'score')} FROM o_scores WHERE method = 'persist'")
+@query("persist_scores", f"SELECT risk, object_id, hour_ts, y, {rd('score', 'score')} FROM o_scores WHERE method = 'persist'")
 def persist_scores(t: Tables):
     return curve.long_scores(full_panel(t), ["persist"]).drop("split", "method")
 
@@ -249,8 +249,8 @@ def scores(t: Tables):
 
 @query(
     "pr_curve",
-    f"""SELECT split, method, risk, {r6('threshold', 'threshold')}, pos, tp, predicted, n_pos, n_rows,
-               {r6('precision', 'precision')}, {r6('recall', 'recall')} FROM o_pr""",
+    f"""SELECT split, method, risk, {rd('threshold', 'threshold')}, pos, tp, predicted, n_pos, n_rows,
+               {rd('precision', 'precision')}, {rd('recall', 'recall')} FROM o_pr""",
 )
 def pr_curve(t: Tables):
     return curve.pr_curve(scores(t))
@@ -258,8 +258,8 @@ def pr_curve(t: Tables):
 
 @query(
     "pr_curve_events",
-    f"""SELECT kind, {r6('threshold', 'threshold')}, CAST(tp AS BIGINT) AS tp, CAST(predicted AS BIGINT) AS predicted,
-               {r6('CAST(tp AS DOUBLE) / predicted', 'precision')}
+    f"""SELECT kind, {rd('threshold', 'threshold')}, CAST(tp AS BIGINT) AS tp, CAST(predicted AS BIGINT) AS predicted,
+               {rd('CAST(tp AS DOUBLE) / predicted', 'precision')}
         FROM (SELECT kind, threshold, sum(pos) OVER w AS tp, sum(n) OVER w AS predicted
               FROM (SELECT user_id % 2 AS kind, value / (value + 3) AS threshold,
                            count_if(event_type = 'error') AS pos, count(*) AS n
@@ -276,12 +276,12 @@ def pr_curve_events(t: Tables):
     return curve.pr_curve(raw, ["kind"]).select("kind", "threshold", "tp", "predicted", "precision")
 
 
-@query("average_precision", f"SELECT split, method, risk, {r6('pr_auc', 'pr_auc')} FROM o_ap")
+@query("average_precision", f"SELECT split, method, risk, {rd('pr_auc', 'pr_auc')} FROM o_ap")
 def average_precision(t: Tables):
     return curve.average_precision(curve.pr_curve(scores(t)))
 
 
-@query("choose_threshold", f"SELECT split, method, risk, {r6('threshold', 'threshold')} FROM o_thr")
+@query("choose_threshold", f"SELECT split, method, risk, {rd('threshold', 'threshold')} FROM o_thr")
 def choose_threshold(t: Tables):
     return curve.choose_thresholds(curve.pr_curve(scores(t)), CONFIG)
 
@@ -292,7 +292,7 @@ def evaluated(t: Tables):
     return curve.evaluate(long, points, curve.fixed_thresholds(curve.choose_thresholds(points, CONFIG)))
 
 
-_METRICS = ", ".join(r6(c, c) for c in ("threshold", "precision", "recall", "pr_auc"))
+_METRICS = ", ".join(rd(c, c) for c in ("threshold", "precision", "recall", "pr_auc"))
 
 
 @query(
@@ -397,7 +397,7 @@ _OPEN_TEXT = """
 
 @query(
     "open_predictions",
-    f"""SELECT s.object_id, CAST(NULL AS BIGINT) AS channel_id, s.risk AS risk_type, {r6('s.score', 'probability')},
+    f"""SELECT s.object_id, CAST(NULL AS BIGINT) AS channel_id, s.risk AS risk_type, {rd('s.score', 'probability')},
                24 AS horizon_hours, {_OPEN_TEXT} AS explanation, r.recommendation, 'open' AS status,
                'model' AS source
         FROM (SELECT * FROM o_scores WHERE method = 'persist') s
@@ -418,7 +418,7 @@ def open_predictions(t: Tables):
 @query(
     "above_threshold_counts",
     f"""SELECT s.risk AS risk_type, any_value(c.threshold) AS threshold, count_if(s.score >= c.threshold) AS n_above,
-               CAST(sum(u.score) AS BIGINT) AS n_rules, {r6('avg(s.score)', 'persist_mean')}
+               CAST(sum(u.score) AS BIGINT) AS n_rules, {rd('avg(s.score)', 'persist_mean')}
         FROM (SELECT * FROM o_scores WHERE method = 'persist') s
         JOIN (SELECT * FROM o_scores WHERE method = 'rules') u
           ON u.risk = s.risk AND u.object_id = s.object_id AND u.hour_ts = s.hour_ts

@@ -11,7 +11,7 @@ from undercroft.sources.tables import read_table
 from undercroft.streaming import failures, ingest, run, windows
 from undercroft.streaming.sources import file_stream, with_event_time
 from workload.binding import CONFIG, VIEWS, Tables
-from workload.oracles import r6
+from workload.oracles import rd
 from workload.registry import query
 
 LATENESS = "2 hours"
@@ -35,7 +35,7 @@ def static_channels(t: Tables):
 @query(
     "stream_hourly",
     f"""SELECT e.channel_id, date_trunc('hour', e.event_ts) AS hour_ts, count(*) AS n_events,
-               count_if(is_alarm) AS n_alarms, {r6('avg(value_num)', 'value_mean')}, min(value_num) AS value_min,
+               count_if(is_alarm) AS n_alarms, {rd('avg(value_num)', 'value_mean')}, min(value_num) AS value_min,
                max(value_num) AS value_max
         FROM b_events e JOIN b_channels c ON c.id = e.channel_id
         WHERE c.sensor_type IN ('temp', 'heat', 'flood', 'pump', 'fan')

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from workload.binding import Tables
-from workload.oracles import build
+from workload.oracles import DIGITS, build
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None, extra: dict[str, str] | None = None
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Doubles at six decimals, so that summation order cannot show."""
+    """Doubles at DIGITS decimals, so that summation order cannot show."""
     return df.select(*[
-        F.round(F.col(f"`{n}`"), 6).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes
+        F.round(F.col(f"`{n}`"), DIGITS).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes
     ])
