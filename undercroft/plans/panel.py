@@ -77,36 +77,62 @@ def dense_object_hours(
     )
 
 
-def _windows(cfg: RiskConfig):
-    """Frames by rows: on a dense series a row is an hour, so these equal ranges of hours."""
-    series = Window.partitionBy("object_id", PERIOD).orderBy("hour_no")
-    return (
-        series.rowsBetween(-(cfg.short_hours - 1), 0),
-        series.rowsBetween(-(cfg.history_hours - 1), 0),
-        series.rowsBetween(1, cfg.horizon_hours),
-        series.rowsBetween(Window.unboundedPreceding, 0),
-    )
+# Counts that are summed over windows; each gets one running total.
+SUMMED = (
+    "n_events", "n_alarms", "n_fire", "n_flood", "n_failure", "n_failure_new", "n_intrusion", "n_pump_on", "n_fan_on",
+    "n_channels_active", "n_fire_clean", "n_flood_clean",
+)
+
+
+def _series():
+    return Window.partitionBy("object_id", PERIOD).orderBy("hour_no")
+
+
+def with_running_totals(dense: DataFrame) -> DataFrame:
+    """Adds the running total of each summed count, so that a window sum is a difference of two totals.
+
+    A sliding frame would visit up to 24 rows per row and count; whole numbers make the difference exact.
+    """
+    past = _series().rowsBetween(Window.unboundedPreceding, 0)
+    return dense.select("*", *[F.sum(c).over(past).alias(f"_t_{c}") for c in SUMMED])
+
+
+def _past_sum(count: str, hours: int) -> Column:
+    total = F.col(f"_t_{count}")
+    return total - F.coalesce(F.lag(total, hours).over(_series()), F.lit(0))
+
+
+def _next_sum(count: str, hours: int) -> Column:
+    """Sum over the following hours, the present one excluded; NULL where the series ends before."""
+    total = F.col(f"_t_{count}")
+    return F.lead(total, hours).over(_series()) - total
 
 
 def rolled_features(cfg: RiskConfig) -> dict[str, Column]:
-    """Past windows of 6 and 24 hours; averages are means of hourly means, maxima are maxima of hourly values."""
-    w6, w24, _, past = _windows(cfg)
+    """Past windows of 6 and 24 hours; averages are means of hourly means, maxima are maxima of hourly values.
+
+    Frames count rows: on a dense series a row is an hour, so they equal ranges of hours.
+    """
+    short, day = cfg.short_hours, cfg.history_hours
+    w6 = _series().rowsBetween(-(short - 1), 0)
+    w24 = _series().rowsBetween(-(day - 1), 0)
+    past = _series().rowsBetween(Window.unboundedPreceding, 0)
     out: dict[str, Column] = {}
     for name, count in (
         ("ev", "n_events"), ("al", "n_alarms"), ("fire", "n_fire"), ("flood", "n_flood"),
         ("failure", "n_failure"), ("intrusion", "n_intrusion"),
     ):
         out[f"{name}_1h"] = F.col(count)
-        out[f"{name}_6h"] = F.sum(count).over(w6)
-        out[f"{name}_24h"] = F.sum(count).over(w24)
-    out["failure_new_24h"] = F.sum("n_failure_new").over(w24)
+        out[f"{name}_6h"] = _past_sum(count, short)
+        out[f"{name}_24h"] = _past_sum(count, day)
+    out["failure_new_24h"] = _past_sum("n_failure_new", day)
     out["fire_pickets_6h"] = F.max("n_fire_pickets").over(w6)
     out["intrusion_channels_6h"] = F.max("n_intrusion_channels").over(w6)
-    out["pump_on_6h"] = F.sum("n_pump_on").over(w6)
-    out["pump_on_24h"] = F.sum("n_pump_on").over(w24)
-    out["fan_on_24h"] = F.sum("n_fan_on").over(w24)
+    out["pump_on_6h"] = _past_sum("n_pump_on", short)
+    out["pump_on_24h"] = _past_sum("n_pump_on", day)
+    out["fan_on_24h"] = _past_sum("n_fan_on", day)
     out["chatter_max_24h"] = F.max("max_events_per_channel").over(w24)
-    out["channel_touches_24h"] = F.sum("n_channels_active").over(w24)
+    out["channel_touches_24h"] = _past_sum("n_channels_active", day)
     out["temp_mean_6h"] = F.avg("temp_mean").over(w6)
     out["temp_mean_24h"] = F.avg("temp_mean").over(w24)
     out["temp_max_6h"] = F.max("temp_max").over(w6)
@@ -120,10 +146,12 @@ def rolled_features(cfg: RiskConfig) -> dict[str, Column]:
 
 
 def future_labels(cfg: RiskConfig) -> dict[str, Column]:
-    """Counts over the next day, from the next hour on: clean fire and flood, new failures, all intrusions."""
-    ahead = _windows(cfg)[2]
+    """Counts over the next day, from the next hour on: clean fire and flood, new failures, all intrusions.
+
+    Rows whose label window leaves the period are dropped, so the look-ahead always finds its row.
+    """
     source = {"fire": "n_fire_clean", "flood": "n_flood_clean", "failure": "n_failure_new", "intrusion": "n_intrusion"}
-    return {f"y_{r}_cnt": F.coalesce(F.sum(source[r]).over(ahead), F.lit(0)) for r in RISKS}
+    return {f"y_{r}_cnt": _next_sum(source[r], cfg.horizon_hours) for r in RISKS}
 
 
 def within_horizon(cfg: RiskConfig) -> Column:
@@ -143,7 +171,7 @@ def daily_weather(weather: DataFrame, cfg: RiskConfig) -> DataFrame:
 
 def assemble(dense: DataFrame, weather: DataFrame | None, cfg: RiskConfig) -> DataFrame:
     """Dense object-hours -> the 67 panel columns (plus the period)."""
-    rolled = dense.select(
+    rolled = with_running_totals(dense).select(
         PERIOD,
         "object_id",
         "hour_no",
