@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,17 +34,14 @@ def build_session(app: str = "undercroft", master: str | None = None, **extra: s
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach, as the cluster names it.
+    """Folder every executor can reach: the one named in `spark.checkpoint.dir`, else one beside the warehouse.
 
-    A temporary folder stands in for it only in local mode (tests); a cluster without the setting is an error.
+    The second case is for sessions that name none (tests); the warehouse is shared wherever tables are.
     """
     named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="undercroft-"))
-    return spark.sparkContext.getCheckpointDir()
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/undercroft-staged"
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
