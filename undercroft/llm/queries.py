@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from undercroft.llm import packing
+from undercroft.llm import maxscore, packing, urlgraph
 from undercroft.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +29,33 @@ def query(name: str, sql: str | None = None):
 @query("op9_best_fit_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+RULES = (
+    urlgraph.Rule("allow", "org", "/"),
+    urlgraph.Rule("block", "example.org", "/es/"),
+    urlgraph.Rule("block", "example.org", "/en/1"),
+    urlgraph.Rule("allow", "com", "/fr/"),
+    urlgraph.Rule("block", "com", "/de/"),
+)
+
+
+@query("op7_url_link_graph")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page verdicts from the rules, else from trust and distrust of the host."""
+    return urlgraph.judge_pages(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op8_maxscore_top_k", """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.search_table(table(spark, sf_dir, "embeddings"), k=5, every=50)
