@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from undercroft.llm import jaccard, maxscore, packing, toxicity, urlgraph
+from undercroft.llm import jaccard, maxscore, packing, suffix_dedup, toxicity, urlgraph
 from undercroft.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_ngram_jaccard_join")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.component_ids(table(spark, sf_dir, "documents"))
+
+
+@query("op10_suffix_array_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
