@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from undercroft.llm import jaccard, maxscore, packing, suffix_dedup, toxicity, urlgraph
+from undercroft.llm import jaccard, line_dedup, maxscore, packing, suffix_dedup, toxicity, urlgraph
 from undercroft.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +75,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_suffix_array_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op2_fuzzy_line_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without their repeated lines; the text is shown by its length and digest."""
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_kept_chars"),
+                       F.md5(F.col("text").cast("binary")).alias("kept_md5"))
