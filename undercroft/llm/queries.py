@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undercroft.llm import jaccard, line_dedup, maxscore, packing, suffix_dedup, toxicity, urlgraph
+from undercroft.llm import decontaminate, jaccard, line_dedup, maxscore, packing, suffix_dedup, toxicity, urlgraph
 from undercroft.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_kept_chars"),
                        F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+
+
+@query("op4_benchmark_decontamination")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumns({c: F.round(c, 6) for c in ("score", "question", "answer")})
