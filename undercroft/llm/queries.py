@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undercroft.llm import decontaminate, jaccard, line_dedup, maxscore, packing, suffix_dedup, toxicity, urlgraph
+from undercroft.llm import (
+    decontaminate,
+    jaccard,
+    line_dedup,
+    maxscore,
+    packing,
+    suffix_dedup,
+    surrogates,
+    token_tree,
+    toxicity,
+    urlgraph,
+)
 from undercroft.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +100,22 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumns({c: F.round(c, 6) for c in ("score", "question", "answer")})
+
+
+@query("op5_edit_token_counts")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after a feed of revisions, and what was encoded again for it."""
+    counted = token_tree.count_revised(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), TOKENIZER)
+    return counted.select("doc_id", "tokens_before", "tokens_after", "chars", "chars_encoded", "nodes_renewed",
+                          F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+#: The queries' key; a real run takes its own from the caller.
+KEY = "queries"
+
+
+@query("op6_pii_surrogates")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced by surrogates."""
+    texts, _ = surrogates.replace_entities(table(spark, sf_dir, "documents"), surrogates.SurrogateConfig(KEY))
+    return texts.select("doc_id", "n_entities", "text")
