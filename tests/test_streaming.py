@@ -8,7 +8,7 @@ from tests.conftest import SMALL, at, channels_frame, events_frame
 from undercroft import schemas
 from undercroft.operators import marts
 from undercroft.operators.alarm_risk import score_alarms
-from undercroft.sources.tables import read_table
+from undercroft.plans import alarm_store
 from undercroft.streaming import failures, ingest, run, windows
 from undercroft.streaming.sources import file_stream, wire_alarms, wire_stream, with_event_time
 
@@ -100,7 +100,7 @@ def test_ingest_over_several_runs(spark, tmp_path):
         {"channel_id": 2, "event_ts": "2024-01-01T02:00:00", "value": FIRE}])
     query = go()
     assert ingest.progress_rows(query).filter("within_slo").count() >= 1
-    mart = read_table(spark, f"{house}/events_alarm", ingest.MART_SCHEMA)
+    mart = alarm_store.stored_alarms(spark, house)
     assert mart.count() == 2 and mart.filter("event_id > 100").count() == 1
     assert spark.read.parquet(f"{house}/rejects").count() == 1
     assert {r["object_id"] for r in ingest.current_rule_predictions(spark, house).collect()} == {1, 2}
@@ -112,8 +112,8 @@ def test_ingest_over_several_runs(spark, tmp_path):
         {"event_id": 11, "channel_id": 3, "event_ts": "2024-01-05T00:00:00", "value": FIRE}])
     wire(landing, "c.json", [{"event_id": 12, "channel_id": 1, "event_ts": "2024-01-01T05:00:00", "value": FIRE}])
     go()
-    mart = read_table(spark, f"{house}/events_alarm", ingest.MART_SCHEMA)
-    assert sorted(r["event_id"] for r in mart.filter("event_id < 100").collect())[:3] == [1, 10, 11]
+    mart = alarm_store.stored_alarms(spark, house)
+    assert sorted(r["event_id"] for r in mart.filter("event_id < 100").collect()) == [1, 10, 11, 12]
     now = ingest.current_rule_predictions(spark, house)
     one = score_alarms(mart, dims, SMALL, spark.createDataFrame([(1,)], "object_id long"))
     assert [tuple(r) for r in now.filter("object_id = 1").select(*one.columns).collect()] == [tuple(r) for r in one.collect()]
@@ -129,5 +129,5 @@ def test_same_batch_twice_adds_nothing(spark, tmp_path):
     job = ingest.AlarmIngest(dims, house, SMALL)
     for _ in range(2):
         job(batch, 0)
-    assert read_table(spark, f"{house}/events_alarm", ingest.MART_SCHEMA).count() == 1
+    assert alarm_store.stored_alarms(spark, house).count() == 1
     assert ingest.current_rule_predictions(spark, house).count() == 1

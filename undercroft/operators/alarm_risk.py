@@ -31,6 +31,8 @@ def recent_classified_alarms(
         F.col("id").alias("channel_id"), "object_id", "sensor_type", "picket"
     )
     recent = alarms.filter(F.col("event_ts").between(start, end))
+    if "day" in alarms.columns:  # a stored mart: the days of the horizon prune its folders
+        recent = recent.filter(F.col("day").between(start.cast("date"), end.cast("date")))
     return (
         recent.join(dims, "channel_id")
         .withColumn("risk_type", classify_event(F.col("sensor_type"), F.col("value_cat"), cfg))
@@ -117,15 +119,12 @@ def stream_status(alarms: DataFrame, cfg: RiskConfig, slo_seconds: int = 300) ->
     ).withColumn("slo_seconds", F.lit(slo_seconds))
 
 
-def alarm_templates(
-    alarms: DataFrame, channels: DataFrame, cfg: RiskConfig, n: int, newest: int = 2000, risk: str | None = None
-) -> DataFrame:
-    """One classified alarm per channel, newest first, up to `n`, looked for among the newest alarms of known channels."""
+def alarm_templates(alarms: DataFrame, channels: DataFrame, cfg: RiskConfig, n: int, risk: str | None = None) -> DataFrame:
+    """The newest classified alarm of each known channel, the `n` newest of these."""
     dims = channels.select(F.col("id").alias("channel_id"), "object_id", "sensor_type")
     order = [F.desc("event_ts"), F.desc("event_id")]
-    recent = alarms.join(dims, "channel_id").orderBy(*order).limit(newest)
     kind = classify_event(F.col("sensor_type"), F.col("value_cat"), cfg)
-    recent = recent.withColumn("risk_type", kind).filter(F.col("risk_type").isNotNull())
+    classified = alarms.join(dims, "channel_id").withColumn("risk_type", kind).filter(F.col("risk_type").isNotNull())
     if risk is not None:
-        recent = recent.filter(F.col("risk_type") == risk)
-    return first_per_key(recent, ["channel_id"], order).orderBy(*order).limit(n)
+        classified = classified.filter(F.col("risk_type") == risk)
+    return first_per_key(classified, ["channel_id"], order).orderBy(*order).limit(n)

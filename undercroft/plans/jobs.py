@@ -11,8 +11,10 @@ from undercroft import schemas
 from undercroft.config import RiskConfig
 from undercroft.operators import marts, profiling
 from undercroft.operators.normalize import clean_channels, clean_objects, normalize_events, uploaded_alarms
-from undercroft.operators.rows import insert_new, upsert_latest
+from undercroft.operators.rows import upsert_latest
+from undercroft.plans import alarm_store
 from undercroft.plans.panel import build_panel
+from undercroft.session import stage
 from undercroft.sources import files, tables
 
 
@@ -42,12 +44,12 @@ def load_dimensions(spark: SparkSession, objects_csv: str, channels_csv: str, wa
 
 
 def load_marts(spark: SparkSession, events_path: str, warehouse: str, cfg: RiskConfig) -> None:
-    """Alarm and hourly marts from all years, truncate and load. Alarms are laid out by day for horizon reads."""
+    """Alarm and hourly marts from all years, truncate and load. Both are laid out by day for horizon reads."""
     events = spark.read.parquet(events_path)
     channels = tables.read_table(spark, f"{warehouse}/channels", schemas.CHANNELS)
-    alarms = marts.alarm_mart(events).withColumn("day", F.col("event_ts").cast("date"))
-    tables.write_table(alarms.repartition("day"), f"{warehouse}/events_alarm", ["day"])
-    tables.write_table(marts.hourly_mart(events, channels, cfg), f"{warehouse}/events_hourly")
+    alarm_store.load_alarms(stage(marts.alarm_mart(events), "alarms"), warehouse)
+    hours = marts.hourly_mart(events, channels, cfg).withColumn("day", F.col("hour_ts").cast("date"))
+    tables.write_table(hours.hint("rebalance", "day"), f"{warehouse}/events_hourly", ["day"], only_written=False)
 
 
 def import_files(spark: SparkSession, paths: Sequence[str], warehouse: str, kind: str | None = None) -> tuple[str, int]:
@@ -67,11 +69,9 @@ def import_files(spark: SparkSession, paths: Sequence[str], warehouse: str, kind
         merged = upsert_latest(stored, clean_channels(raw, objects, "lenient"), ["id"], [F.desc("name")])
         tables.replace_table(merged, f"{warehouse}/channels")
     elif resolved == "journal":
-        stored = tables.read_table(spark, f"{warehouse}/events_alarm", schemas.ALARMS)
         alarms = uploaded_alarms(raw).select(*marts.ALARM_COLUMNS)
-        fresh = insert_new(stored, alarms, "event_id", [F.asc("event_ts"), F.asc("channel_id")])
-        fresh = fresh.withColumn("day", F.col("event_ts").cast("date"))
-        tables.write_table(fresh, f"{warehouse}/events_alarm", ["day"], "append")
+        fresh = stage(alarm_store.new_alarms(alarms, warehouse, alarm_store.BULK, appending=True), "upload")
+        alarm_store.append_alarms(fresh, warehouse)
     else:
         raise ValueError(f"unknown kind {resolved!r}")
     return resolved, n_read

@@ -12,12 +12,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from undercroft.config import PANEL_COLUMNS, RISKS, RiskConfig
 from undercroft.functions.calendar import calendar_features, hour_timestamp
 from undercroft.functions.pickets import panel_picket
 from undercroft.operators import hourly
 from undercroft.operators.tallies import PERIOD, channel_hour_tallies, typed_channel_hours
+from undercroft.session import stage
 
 COUNTS = (
     "n_events", "n_channels_active", "n_alarms", "n_fire", "n_flood", "n_failure", "n_failure_new", "n_intrusion",
@@ -33,10 +35,19 @@ def panel_channels(channels: DataFrame) -> DataFrame:
     return channels.select("id", "sensor_type", "object_id", panel_picket(F.col("name")).alias("picket"))
 
 
+def typed_hours(events: DataFrame, channels: DataFrame, cfg: RiskConfig) -> DataFrame:
+    """Journal -> channel-hours of channels with an object, read through their sensor types."""
+    return typed_channel_hours(channel_hour_tallies(events, cfg), panel_channels(channels), cfg)
+
+
 def sparse_object_hours(events: DataFrame, channels: DataFrame, cfg: RiskConfig) -> DataFrame:
     """Journal -> object-hours that hold at least one event."""
-    typed = typed_channel_hours(channel_hour_tallies(events, cfg), panel_channels(channels), cfg)
-    return hourly.object_hours(hourly.mark_channel_hours(typed, cfg), cfg)
+    return hourly.object_hours(hourly.mark_channel_hours(typed_hours(events, channels, cfg), cfg), cfg)
+
+
+def hour_bounds(typed: DataFrame) -> DataFrame:
+    """First and last hour of each period, from channel-hours: one row per period."""
+    return typed.groupBy(PERIOD).agg(F.min("hour_no").alias("hour_first"), F.max("hour_no").alias("hour_last"))
 
 
 def dense_object_hours(
@@ -84,7 +95,7 @@ SUMMED = (
 )
 
 
-def _series():
+def _series() -> WindowSpec:
     return Window.partitionBy("object_id", PERIOD).orderBy("hour_no")
 
 
@@ -97,15 +108,15 @@ def with_running_totals(dense: DataFrame) -> DataFrame:
     return dense.select("*", *[F.sum(c).over(past).alias(f"_t_{c}") for c in SUMMED])
 
 
-def _past_sum(count: str, hours: int) -> Column:
+def _past_sum(count: str, hours: int, series: WindowSpec) -> Column:
     total = F.col(f"_t_{count}")
-    return total - F.coalesce(F.lag(total, hours).over(_series()), F.lit(0))
+    return total - F.coalesce(F.lag(total, hours).over(series), F.lit(0))
 
 
-def _next_sum(count: str, hours: int) -> Column:
+def _next_sum(count: str, hours: int, series: WindowSpec) -> Column:
     """Sum over the following hours, the present one excluded; NULL where the series ends before."""
     total = F.col(f"_t_{count}")
-    return F.lead(total, hours).over(_series()) - total
+    return F.lead(total, hours).over(series) - total
 
 
 def rolled_features(cfg: RiskConfig) -> dict[str, Column]:
@@ -114,25 +125,26 @@ def rolled_features(cfg: RiskConfig) -> dict[str, Column]:
     Frames count rows: on a dense series a row is an hour, so they equal ranges of hours.
     """
     short, day = cfg.short_hours, cfg.history_hours
-    w6 = _series().rowsBetween(-(short - 1), 0)
-    w24 = _series().rowsBetween(-(day - 1), 0)
-    past = _series().rowsBetween(Window.unboundedPreceding, 0)
+    series = _series()
+    w6 = series.rowsBetween(-(short - 1), 0)
+    w24 = series.rowsBetween(-(day - 1), 0)
+    past = series.rowsBetween(Window.unboundedPreceding, 0)
     out: dict[str, Column] = {}
     for name, count in (
         ("ev", "n_events"), ("al", "n_alarms"), ("fire", "n_fire"), ("flood", "n_flood"),
         ("failure", "n_failure"), ("intrusion", "n_intrusion"),
     ):
         out[f"{name}_1h"] = F.col(count)
-        out[f"{name}_6h"] = _past_sum(count, short)
-        out[f"{name}_24h"] = _past_sum(count, day)
-    out["failure_new_24h"] = _past_sum("n_failure_new", day)
+        out[f"{name}_6h"] = _past_sum(count, short, series)
+        out[f"{name}_24h"] = _past_sum(count, day, series)
+    out["failure_new_24h"] = _past_sum("n_failure_new", day, series)
     out["fire_pickets_6h"] = F.max("n_fire_pickets").over(w6)
     out["intrusion_channels_6h"] = F.max("n_intrusion_channels").over(w6)
-    out["pump_on_6h"] = _past_sum("n_pump_on", short)
-    out["pump_on_24h"] = _past_sum("n_pump_on", day)
-    out["fan_on_24h"] = _past_sum("n_fan_on", day)
+    out["pump_on_6h"] = _past_sum("n_pump_on", short, series)
+    out["pump_on_24h"] = _past_sum("n_pump_on", day, series)
+    out["fan_on_24h"] = _past_sum("n_fan_on", day, series)
     out["chatter_max_24h"] = F.max("max_events_per_channel").over(w24)
-    out["channel_touches_24h"] = _past_sum("n_channels_active", day)
+    out["channel_touches_24h"] = _past_sum("n_channels_active", day, series)
     out["temp_mean_6h"] = F.avg("temp_mean").over(w6)
     out["temp_mean_24h"] = F.avg("temp_mean").over(w24)
     out["temp_max_6h"] = F.max("temp_max").over(w6)
@@ -151,7 +163,8 @@ def future_labels(cfg: RiskConfig) -> dict[str, Column]:
     Rows whose label window leaves the period are dropped, so the look-ahead always finds its row.
     """
     source = {"fire": "n_fire_clean", "flood": "n_flood_clean", "failure": "n_failure_new", "intrusion": "n_intrusion"}
-    return {f"y_{r}_cnt": _next_sum(source[r], cfg.horizon_hours) for r in RISKS}
+    series = _series()
+    return {f"y_{r}_cnt": _next_sum(source[r], cfg.horizon_hours, series) for r in RISKS}
 
 
 def within_horizon(cfg: RiskConfig) -> Column:
@@ -199,17 +212,25 @@ def assemble(dense: DataFrame, weather: DataFrame | None, cfg: RiskConfig) -> Da
 def build_panel(
     events: DataFrame, channels: DataFrame, weather: DataFrame | None, cfg: RiskConfig
 ) -> DataFrame:
-    """The full feature panel of every period in `events`."""
-    sparse = sparse_object_hours(events, channels, cfg)
+    """The full feature panel of every period in `events`.
+
+    The journal is scanned once: its channel-hours, a small part of it, are written and give both the rows and the
+    bounds of the grid.
+    """
+    return panel_of_hours(stage(typed_hours(events, channels, cfg), "channel-hours"), channels, weather, cfg)
+
+
+def panel_of_hours(typed: DataFrame, channels: DataFrame, weather: DataFrame | None, cfg: RiskConfig) -> DataFrame:
+    """The panel from channel-hours."""
+    sparse = hourly.object_hours(hourly.mark_channel_hours(typed, cfg), cfg)
     profile = hourly.object_profile(panel_channels(channels), cfg)
-    bounds = hourly.period_bounds(events, channels)
-    dense = dense_object_hours(sparse.join(profile, "object_id"), bounds, cfg, carry=PROFILE)
+    dense = dense_object_hours(sparse.join(profile, "object_id"), hour_bounds(typed), cfg, carry=PROFILE)
     return assemble(dense, weather, cfg)
 
 
 def dense_grid(events: DataFrame, channels: DataFrame, cfg: RiskConfig) -> DataFrame:
     """Live objects x hours with the hourly measures, before any rolling window."""
-    dense = dense_object_hours(
-        sparse_object_hours(events, channels, cfg), hourly.period_bounds(events, channels), cfg
-    )
+    typed = stage(typed_hours(events, channels, cfg), "channel-hours")
+    sparse = hourly.object_hours(hourly.mark_channel_hours(typed, cfg), cfg)
+    dense = dense_object_hours(sparse, hour_bounds(typed), cfg)
     return dense.withColumn("hour_ts", hour_timestamp(F.col("hour_no")))

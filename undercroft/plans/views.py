@@ -33,9 +33,9 @@ def risk_map(predictions: DataFrame) -> DataFrame:
 
 def object_list(
     objects: DataFrame, predictions: DataFrame, kind: str | None = None, parent_id: int | None = None,
-    q: str | None = None, limit: int = 200, with_risks: bool = True,
+    q: str | None = None, limit: int | None = None, with_risks: bool = True,
 ) -> DataFrame:
-    """Objects by level and id with their open risks; filters and limit apply before the join."""
+    """Objects by level and id with their open risks; filters and a page's limit apply before the join."""
     rows = objects
     if kind:
         rows = rows.filter(F.col("kind") == kind)
@@ -43,7 +43,8 @@ def object_list(
         rows = rows.filter(F.col("parent_id") == parent_id)
     if q:
         rows = rows.filter(F.col("name").ilike(f"%{q}%"))
-    rows = rows.orderBy("level", "id").limit(limit)
+    if limit is not None:
+        rows = rows.orderBy("level", "id").limit(limit)
     if not with_risks:
         return rows
     empty = F.create_map().cast("map<string,bigint>")

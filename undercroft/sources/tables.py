@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from undercroft.session import stage
-
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """A table, or an empty one of the given schema when nothing was written yet."""
@@ -22,28 +20,61 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
         return spark.createDataFrame([], schema)
 
 
-def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
-    """Truncate-and-load (or append); with partitions only the written ones are replaced."""
-    writer = df.write.mode(mode).option("compression", "zstd").option("partitionOverwriteMode", "dynamic")
+def write_table(
+    df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite", only_written: bool = True
+) -> None:
+    """Writes a table. With partitions an overwrite replaces the written ones only, or, with `only_written` off, all."""
+    kind = "dynamic" if only_written and partition_by else "static"
+    writer = df.write.mode(mode).option("compression", "zstd").option("partitionOverwriteMode", kind)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
 
 
+def _folder(spark: SparkSession, path: str):
+    """The Hadoop file system and path object of a folder, wherever it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
 def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Overwrites a table with rows computed from that same table."""
-    write_table(stage(df, "replace"), path, partition_by)
+    """Replaces a table by rows that may be computed from it: a new version is written beside it, then takes its place.
 
+    If the swap is cut short, the old version lies in `<path>__old`; the next call brings it back first.
+    """
+    spark = df.sparkSession
+    restore_table(spark, path)
+    fs, target = _folder(spark, path)
+    _, old = _folder(spark, f"{path}__old")
+    _, new = _folder(spark, f"{path}__new")
+    write_table(df, f"{path}__new", partition_by, only_written=False)
+    if fs.exists(target):
+        fs.delete(old, True)
+        fs.rename(target, old)
+    fs.rename(new, target)
+    fs.delete(old, True)
 
-def present_values(spark: SparkSession, path: str, column: str = "year") -> set:
-    """Partition values already written (read from the folder names alone)."""
-    try:
-        table = spark.read.parquet(path)
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return set()
-        raise
-    return {r[0] for r in table.select(column).distinct().collect()}
+
+def restore_table(spark: SparkSession, path: str) -> None:
+    """Ends a swap that was cut short: without the table itself its old version is the table."""
+    fs, target = _folder(spark, path)
+    _, old = _folder(spark, f"{path}__old")
+    if not fs.exists(target) and fs.exists(old):
+        fs.rename(old, target)
+
+
+def partition_values(spark: SparkSession, path: str, column: str) -> list[str]:
+    """Values of the first partition column, read from the names of the folders; no file is opened."""
+    fs, target = _folder(spark, path)
+    if not fs.exists(target):
+        return []
+    names = [status.getPath().getName() for status in fs.listStatus(target) if status.isDirectory()]
+    return sorted(n.split("=", 1)[1] for n in names if n.startswith(f"{column}="))
+
+
+def present_values(spark: SparkSession, path: str, column: str = "year") -> set[int | None]:
+    """Numbers of the partitions already written; None stands for the folder of rows without a value."""
+    return {int(v) if v.lstrip("-").isdigit() else None for v in partition_values(spark, path, column)}
 
 
 def year_range(spark: SparkSession, path: str, years: Sequence[int]) -> DataFrame:

@@ -1,12 +1,13 @@
 """Online ingest: alarms into the mart, touched objects rescored, one log of batches.
 
 Tables under the warehouse folder:
-  events_alarm/day=…        every accepted alarm once
+  events_alarm, events_alarm_ids  every accepted alarm once, and its key (plans/alarm_store.py)
   rejects/batch=…           alarms of unknown channels
   rescored/batch=…          which objects a batch rescored
   rule_predictions/batch=…  their new open predictions
   batches/batch=…           sizes and latency
-A batch that is run again after a failure overwrites its own folders and adds nothing twice to the mart.
+An alarm is stored however late it comes; a repeat is known by its id, from this batch or any before. A batch that is
+run again after a failure overwrites its own folders and adds nothing twice to the mart.
 """
 
 from __future__ import annotations
@@ -17,36 +18,17 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from undercroft.config import RiskConfig
 from undercroft.operators.alarm_risk import score_alarms
 from undercroft.operators.marts import ALARM_COLUMNS
-from undercroft.operators.rows import insert_new
-from undercroft.schemas import ALARMS
-from undercroft.sources.tables import read_table, write_table
-from undercroft.streaming.sources import TIME, with_event_time
+from undercroft.plans import alarm_store
+from undercroft.sources.tables import write_table
 
-MART_SCHEMA = T.StructType([*ALARMS.fields, T.StructField("day", T.DateType())])
 SLO_SECONDS = 300
 
 
-def unique_alarms(alarms: DataFrame, lateness: str = "24 hours") -> DataFrame:
-    """Drops repeats of an event id as long as the watermark remembers it; the mart check covers the rest."""
-    return with_event_time(alarms).withWatermark(TIME, lateness).dropDuplicatesWithinWatermark(["event_id"])
-
-
-def recent_alarms(spark: SparkSession, mart: str, cfg: RiskConfig) -> DataFrame:
-    """The part of the mart that can lie inside the horizon: only its newest day folders are read."""
-    table = read_table(spark, mart, MART_SCHEMA)
-    newest = table.agg(F.max("day")).first()[0]
-    if newest is None:
-        return table
-    days = -(-cfg.horizon_hours // 24)
-    return table.filter(F.col("day") >= F.date_sub(F.lit(newest), days))
-
-
 @dataclass
 class AlarmIngest:
     """Handles one micro-batch of alarms (the columns of ALARMS)."""
@@ -68,14 +50,13 @@ class AlarmIngest:
             )
             rejects = batch.filter(F.col("_known").isNull()).select(*ALARM_COLUMNS)
             write_table(rejects, self._part("rejects", batch_id))
-            mart = f"{self.warehouse}/events_alarm"
-            stored = read_table(spark, mart, MART_SCHEMA)
-            fresh = insert_new(stored, known.select(*ALARM_COLUMNS), "event_id", [F.asc("event_ts"), F.asc("channel_id")])
-            write_table(fresh.withColumn("day", F.col("event_ts").cast("date")), mart, ["day"], "append")
+            fresh = alarm_store.new_alarms(known.select(*ALARM_COLUMNS), self.warehouse, batch_id)
+            alarm_store.add_alarms(fresh, self.warehouse, batch_id)
             # Objects of all accepted rows, not only of the newly stored ones: a rerun must rescore them as well.
             touched = known.filter(F.col("object_id").isNotNull()).select("object_id").distinct()
             write_table(touched, self._part("rescored", batch_id))
-            created = score_alarms(recent_alarms(spark, mart, self.cfg), self.channels, self.cfg, touched)
+            recent = alarm_store.recent_alarms(spark, self.warehouse, self.cfg)
+            created = score_alarms(recent, self.channels, self.cfg, touched)
             write_table(created, self._part("rule_predictions", batch_id))
             spent = time.monotonic() - started
             write_table(
@@ -90,7 +71,7 @@ class AlarmIngest:
 
 
 def start_ingest(alarms: DataFrame, ingest: AlarmIngest, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    writer = unique_alarms(alarms).writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint)
+    writer = alarms.select(*ALARM_COLUMNS).writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 

@@ -289,6 +289,15 @@ def risk_map(t: Tables):
         FROM (SELECT * FROM b_objects ORDER BY level, id LIMIT 200) o LEFT JOIN ({_RISK_MAP}) r ON r.object_id = o.id""",
 )
 def object_list(t: Tables):
+    return views.object_list(t.objects, t.predictions, limit=200).withColumn("open_risks", _map_text())
+
+
+@query(
+    "object_list_all",
+    f"""SELECT o.id, o.level, o.parent_id, o.kind, o.name, coalesce(r.open_risks, '') AS open_risks, r.max_probability
+        FROM b_objects o LEFT JOIN ({_RISK_MAP}) r ON r.object_id = o.id""",
+)
+def object_list_all(t: Tables):
     return views.object_list(t.objects, t.predictions).withColumn("open_risks", _map_text())
 
 
@@ -298,7 +307,7 @@ def object_list(t: Tables):
     "ORDER BY level, id LIMIT 200",
 )
 def object_search(t: Tables):
-    return views.object_list(t.objects, t.predictions, kind="guardObject", q="R#00000001", with_risks=False)
+    return views.object_list(t.objects, t.predictions, kind="guardObject", q="R#00000001", limit=200, with_risks=False)
 
 
 @query(
@@ -419,7 +428,7 @@ def alarm_journal(t: Tables):
     """SELECT event_id, channel_id, risk_type FROM (
            SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY event_ts DESC, event_id DESC) AS rn
            FROM (SELECT n.*, n.risk AS risk_type FROM o_named_alarms n JOIN b_channels c ON c.id = n.channel_id
-                 ORDER BY event_ts DESC, event_id DESC LIMIT 2000) r WHERE risk IS NOT NULL) q
+                 WHERE n.risk IS NOT NULL) r) q
        WHERE rn = 1 ORDER BY event_ts DESC, event_id DESC LIMIT 40""",
 )
 def alarm_templates(t: Tables):

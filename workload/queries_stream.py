@@ -6,19 +6,14 @@ from pyspark.sql import functions as F
 
 from undercroft.config import RISKS
 from undercroft.operators.normalize import clean_channels
+from undercroft.plans import alarm_store
 from undercroft.session import fresh_path, stage
-from undercroft.sources.tables import read_table
-from undercroft.streaming import failures, ingest, run, windows
+from undercroft.streaming import ingest, tally_log
 from undercroft.streaming.sources import file_stream, with_event_time
 from workload.binding import CONFIG, VIEWS, Tables
 from workload.oracles import rd
 from workload.registry import query
 
-LATENESS = "2 hours"
-# Hours that the watermark has passed when all input is read.
-_CLOSED = "(SELECT max(event_ts) - INTERVAL 2 HOUR FROM b_events)"
-
-
 def event_stream(t: Tables):
     """The bound events as a stream of the given files."""
     raw = file_stream(t.spark, f"{t.sf_dir}/events.parquet*", t.base("events").schema)
@@ -32,6 +27,29 @@ def static_channels(t: Tables):
     return stage(clean_channels(t.channels), "channels")
 
 
+def late_event_stream(t: Tables) -> tuple:
+    """The bound events landed in two goes, the second older than most of the first, as a stream of the landing folder.
+
+    Returns the stream and a function that lands the second part.
+    """
+    folder = fresh_path(t.spark, "landing")
+    events = t.events
+    late = F.hour("event_ts") % 3 == 1
+    events.filter(~late).write.parquet(f"{folder}/part1")
+    stream = file_stream(t.spark, f"{folder}/part*", events.schema)
+    return stream, lambda: events.filter(late).write.parquet(f"{folder}/part2")
+
+
+def logged_tallies(t: Tables):
+    """Merged tallies of the events, a third of which come after newer ones in a run of their own."""
+    stream, land = late_event_stream(t)
+    path, checkpoint = fresh_path(t.spark, "tallies"), fresh_path(t.spark, "cp")
+    tally_log.run_tallies(stream, CONFIG, path, checkpoint)
+    land()
+    tally_log.run_tallies(stream, CONFIG, path, checkpoint)
+    return tally_log.merged_tallies(t.spark, path)
+
+
 @query(
     "stream_hourly",
     f"""SELECT e.channel_id, date_trunc('hour', e.event_ts) AS hour_ts, count(*) AS n_events,
@@ -39,12 +57,10 @@ def static_channels(t: Tables):
                max(value_num) AS value_max
         FROM b_events e JOIN b_channels c ON c.id = e.channel_id
         WHERE c.sensor_type IN ('temp', 'heat', 'flood', 'pump', 'fan')
-          AND date_trunc('hour', e.event_ts) + INTERVAL 1 HOUR <= {_CLOSED}
         GROUP BY e.channel_id, date_trunc('hour', e.event_ts)""",
 )
 def stream_hourly(t: Tables):
-    stream = windows.hourly_stream(event_stream(t), static_channels(t), CONFIG, LATENESS)
-    return run.append_to_table(stream, fresh_path(t.spark, "hourly"), fresh_path(t.spark, "cp"))
+    return tally_log.hourly_mart(logged_tallies(t), t.channels, CONFIG)
 
 
 @query(
@@ -55,38 +71,53 @@ def stream_hourly(t: Tables):
               FROM o_flag GROUP BY object_id, h) f
         JOIN (SELECT unnest(generate_series(min(h), max(h) + INTERVAL 24 HOUR, INTERVAL 1 HOUR)) AS h FROM o_flag) w
           ON f.h <= w.h AND f.h > w.h - INTERVAL 24 HOUR
-        WHERE w.h + INTERVAL 1 HOUR <= {_CLOSED} GROUP BY f.object_id, w.h""",
+        GROUP BY f.object_id, w.h""",
 )
 def stream_rolling(t: Tables):
-    stream = windows.rolling_stream(event_stream(t), static_channels(t), CONFIG, LATENESS)
-    return run.append_to_table(stream, fresh_path(t.spark, "rolling"), fresh_path(t.spark, "cp"))
+    return tally_log.rolling_counts(logged_tallies(t), t.channels, CONFIG)
 
 
 @query(
     "stream_guard_state",
-    """SELECT object_id, event_ts, guard_on FROM (
-           SELECT c.object_id, e.event_ts, CAST(e.value_cat = 'click' AS INTEGER) AS guard_on,
-                  row_number() OVER (PARTITION BY c.object_id ORDER BY e.event_ts DESC, (e.value_cat = 'click') DESC) AS rn
+    """SELECT object_id, h AS hour_ts, guard_on FROM (
+           SELECT c.object_id, date_trunc('hour', e.event_ts) AS h, max(CAST(e.value_cat = 'click' AS INTEGER)) AS guard_on,
+                  row_number() OVER (PARTITION BY c.object_id ORDER BY date_trunc('hour', e.event_ts) DESC) AS rn
            FROM b_events e JOIN b_channels c ON c.id = e.channel_id
-           WHERE c.sensor_type = 'guard' AND c.object_id IS NOT NULL) g WHERE rn = 1""",
+           WHERE c.sensor_type = 'guard' AND c.object_id IS NOT NULL
+           GROUP BY c.object_id, date_trunc('hour', e.event_ts)) g WHERE rn = 1""",
 )
 def stream_guard_state(t: Tables):
-    path = fresh_path(t.spark, "guard")
-    run.update_log(windows.guard_stream(event_stream(t), static_channels(t), CONFIG), path, fresh_path(t.spark, "cp"))
-    return run.latest_of_log(t.spark, path, ["object_id"])
+    return tally_log.guard_state(logged_tallies(t), t.channels, CONFIG)
+
+
+@query("stream_new_failures", "SELECT channel_id, object_id, h AS hour_ts FROM o_newfail")
+def stream_new_failures(t: Tables):
+    return tally_log.new_failures(logged_tallies(t), t.channels, CONFIG)
+
+
+@query("stream_late_alarms", "SELECT * FROM o_alarms")
+def stream_late_alarms(t: Tables):
+    """Alarms in two goes: the second holds older ones and repeats a part of the first."""
+    folder, house, checkpoint = (fresh_path(t.spark, x) for x in ("landing", "warehouse", "cp"))
+    rows = t.events.filter("is_alarm")
+    late = F.hour("event_ts") % 3 == 1
+    stream = file_stream(t.spark, f"{folder}/part*", rows.schema)
+    job = ingest.AlarmIngest(static_channels(t), house, CONFIG)
+    rows.filter(~late).write.parquet(f"{folder}/part1")
+    ingest.start_ingest(stream, job, checkpoint, available_now=True).awaitTermination()
+    rows.filter(late | (F.hour("event_ts") % 3 == 2)).write.parquet(f"{folder}/part2")
+    ingest.start_ingest(stream, job, checkpoint, available_now=True).awaitTermination()
+    return alarm_store.stored_alarms(t.spark, house).drop("day", "batch")
 
 
 @query(
-    "stream_new_failures",
-    f"SELECT channel_id, object_id, h AS hour_ts FROM o_newfail WHERE h + INTERVAL 1 HOUR <= {_CLOSED}",
+    "stream_batches",
+    """SELECT count(*) AS received, count_if(channel_id % 20 = 1) AS rejected, true AS within_slo FROM o_alarms""",
 )
-def stream_new_failures(t: Tables):
-    failures.use_rocksdb(t.spark)
-    try:
-        stream = failures.new_failure_stream(event_stream(t), static_channels(t), CONFIG, LATENESS)
-        return run.append_to_table(stream, fresh_path(t.spark, "failures"), fresh_path(t.spark, "cp"))
-    finally:
-        t.spark.conf.unset(failures.PROVIDER_KEY)
+def stream_batches(t: Tables):
+    """What the ingest job logged: alarms received and rejected, and whether every batch met the latency goal."""
+    log = t.spark.read.parquet(f"{ingested(t)}/batches")
+    return log.agg(F.sum("received").alias("received"), F.sum("rejected").alias("rejected"), F.min("within_slo").alias("within_slo"))
 
 
 def ingested(t: Tables) -> str:
@@ -104,7 +135,7 @@ def ingested(t: Tables) -> str:
 
 @query("stream_alarm_mart", "SELECT * FROM o_alarms WHERE channel_id % 20 <> 1")
 def stream_alarm_mart(t: Tables):
-    return read_table(t.spark, f"{ingested(t)}/events_alarm", ingest.MART_SCHEMA).drop("day")
+    return alarm_store.stored_alarms(t.spark, ingested(t)).drop("day", "batch")
 
 
 @query("stream_rejects", "SELECT * FROM o_alarms WHERE channel_id % 20 = 1")
