@@ -9,7 +9,6 @@ the classes that are highly similar to it, and only pairs left open by that are
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,10 +21,37 @@ from pyspark.sql import functions as F
 from undercroft.llm.common import components
 from undercroft.session import stage
 
-#: Fixed value: the words of the contract, any run of characters that are not ASCII white space.
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-MEMO = 500_000
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _byte_codes() -> np.ndarray:
+    """A number for each byte, the same for A-Z and a-z; white space is told apart by `_SPACE`."""
+    x = np.arange(256, dtype=np.uint64)
+    x[65:91] += np.uint64(32)
+    x = (x + np.uint64(1)) * np.uint64(_BASE)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
+    return x ^ x >> np.uint64(31)
+
+
+_CODES = _byte_codes()
+#: Fixed value: what parts words, the space and the bytes 9 to 13. All are ASCII, so bytes can be looked at.
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+
+
+class Powers:
+    """Powers of the base and of its inverse modulo 2^64, as many as the longest text so far needs."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def reach(self, n: int) -> None:
+        if len(self.up) < n:
+            size = max(n, 2 * len(self.up), 1 << 16)
+            inverse = pow(_BASE, -1, 1 << 64)
+            self.up, self.down = (
+                np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(size, np.uint64(f), np.uint64))))
+                for f in (_BASE, inverse))
 
 
 @dataclass(frozen=True)
@@ -48,24 +74,33 @@ class JaccardConfig:
         return n - self.need(n) + 1
 
 
-def shingles(text: str, words: int, memo: dict[str, int]) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a whole text; a shorter text is one shingle."""
-    found = WORD.findall(text.translate(FOLD))
-    if not found:
+def shingles(data, words: int, powers: Powers) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles of a whole text in UTF-8; a shorter text is one shingle.
+
+    A word's hash is a difference of running sums of its bytes' codes times powers of the base, shifted to the start.
+    """
+    raw = np.frombuffer(data, np.uint8)
+    if not len(raw):
         return np.zeros(0, np.uint64)
-    if len(memo) > MEMO:
-        memo.clear()
-    codes = []
-    for w in found:
-        code = memo.get(w)
-        if code is None:
-            code = memo[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        codes.append(code)
-    h = np.array(codes, dtype=np.uint64)
+    space = _SPACE[raw]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    starts, ends = edge[~space[edge]], edge[space[edge]]
+    if not space[0]:
+        starts = np.concatenate(([0], starts))
+    if not space[-1]:
+        ends = np.append(ends, len(raw))
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    powers.reach(len(raw) + 1)
+    sums = np.empty(len(raw) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(_CODES[raw] * powers.down[:len(raw)], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * powers.up[starts] + (ends - starts).astype(np.uint64)
+    h ^= h >> np.uint64(32)
     size = min(words, len(h))
-    out = np.full(len(h) - size + 1, size if len(h) < words else words, dtype=np.uint64)
-    for i in range(size):  # a hash of the sequence: multiply, rotate, add
-        out = (out ^ h[i:len(h) - size + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+    out = np.full(len(h) - size + 1, size, dtype=np.uint64)
+    for i in range(size):  # a hash of the sequence: exclusive or, multiply, shift
+        out = (out ^ h[i:len(h) - size + 1 + i]) * np.uint64(_BASE)
         out ^= out >> np.uint64(29)
     return np.unique(out)
 
@@ -83,7 +118,7 @@ def frequent_shingles(docs: DataFrame, cfg: JaccardConfig) -> np.ndarray:
     share = cfg.frequent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, int] = {}
+        powers = Powers()
         keys, counts, waiting, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
 
         def fold():
@@ -101,7 +136,7 @@ def frequent_shingles(docs: DataFrame, cfg: JaccardConfig) -> np.ndarray:
         held = 0
         for batch in batches:
             for text in batch.column(0):
-                s = shingles(text.as_py() or "", cfg.words, memo)
+                s = shingles(text.as_buffer() if text.is_valid else b"", cfg.words, powers)
                 waiting.append(s)
                 held += len(s)
                 total += len(s)
@@ -132,7 +167,7 @@ def describe(docs: DataFrame, frequent: np.ndarray, cfg: JaccardConfig, sets: bo
     wanted = docs.sparkSession.sparkContext.broadcast(only) if only else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, int] = {}
+        powers = Powers()
         keys, counts = shared.value
         bits = np.frombuffer(wanted.value, np.uint8) if wanted else None
         for batch in batches:
@@ -141,7 +176,7 @@ def describe(docs: DataFrame, frequent: np.ndarray, cfg: JaccardConfig, sets: bo
             for doc, text in zip(ids, batch.column(1)):
                 if bits is not None and doc is not None and not bits[doc % BITS >> 3] >> (doc % 8) & 1:
                     continue
-                s = shingles(text.as_py() or "", cfg.words, memo)
+                s = shingles(text.as_buffer() if text.is_valid else b"", cfg.words, powers)
                 n = len(s)
                 tokens = s
                 if n and not sets:
@@ -180,6 +215,15 @@ def _bitmap(ids: DataFrame) -> bytes:
     return bytes(out)
 
 
+def _sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame, cfg: JaccardConfig) -> DataFrame:
+    """(cls, n, tokens): the whole sets of the classes in the columns a and b of `pairs`, read from the texts again."""
+    some = stage(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls"), "jaccard-some")
+    sets = describe(docs, np.zeros((2, 0), np.int64), cfg, sets=True, only=_bitmap(some.select("doc_id")))
+    first = some.select(F.col("cls").alias("c"), F.col("doc_id").alias("d"))
+    sets = sets.join(first, (F.col("cls") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
+    return stage(sets.dropDuplicates(["doc_id", "cls"]).drop("doc_id"), "jaccard-sets")
+
+
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Adds the exact overlap to pairs of classes (a, b) with a table of sets (cls, n, tokens): (a, b, na, nb, o)."""
     left = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
@@ -250,18 +294,13 @@ def join_classes(docs: DataFrame, cfg: JaccardConfig) -> tuple[DataFrame, DataFr
         F.col("cls").alias("a"), F.col("head").alias("b")).agg(F.count(F.lit(1)).alias("met"))
     met = stage(met, "jaccard-met")
 
-    # The sets of classes that share a list with another, computed once.
-    some = stage(met.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "jaccard-some")
-    bits = _bitmap(some.join(classes, "cls").select("doc_id"))
-    sets = describe(docs, np.zeros((2, 0), np.int64), cfg, sets=True, only=bits)
-    first = some.join(classes, "cls").select(F.col("cls").alias("c"), F.col("doc_id").alias("d"))
-    sets = sets.join(first, (F.col("cls") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
-    sets = stage(sets.dropDuplicates(["doc_id", "cls"]).drop("doc_id"), "jaccard-sets")
-
-    # First pass: each class against the heads it meets most often.
+    # First pass: each class against the heads it meets most often, if it meets them as often as similar sets would.
+    sizes = lambda p: classes.select(F.col("cls").alias(p), F.col("n").alias(f"n{p}"))
     best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("met"), "b"))
-    tried = met.withColumn("at", best).where(F.col("at") <= cfg.heads)
-    linked = stage(_overlaps(tried, sets).where(_links(cfg)), "jaccard-first")
+    tried = met.withColumn("at", best).where(F.col("at") <= cfg.heads).join(sizes("a"), "a").join(sizes("b"), "b")
+    tried = tried.where(f"met > {_meet('na', 'nb', cfg)} - {_need('greatest(na, nb)', cfg)}").select("a", "b")
+    tried = stage(tried, "jaccard-tried")
+    linked = stage(_overlaps(tried, _sets(docs, tried, classes, cfg)).where(_links(cfg)), "jaccard-first")
     known = _leaders(classes, linked)
 
     # Second pass: leaders whose lists still hold several components. What two classes must share of their prefixes
@@ -281,7 +320,7 @@ def join_classes(docs: DataFrame, cfg: JaccardConfig) -> tuple[DataFrame, DataFr
         f"{cfg.den} * high_a >= {cfg.num} * low_b and {cfg.den} * high_b >= {cfg.num} * low_a").where(
         f"c > {_meet('low_a', 'low_b', cfg)} - {_need('greatest(high_a, high_b)', cfg)}")
     bounded = stage(bounded, "jaccard-bounded")
-    second = stage(_overlaps(bounded, sets), "jaccard-second")
+    second = stage(_overlaps(bounded, _sets(docs, bounded, classes, cfg)), "jaccard-second")
     close = second.where(_links(cfg)).select("a", "b")
     known = _leaders(classes, linked, close)
 
@@ -299,8 +338,9 @@ def join_classes(docs: DataFrame, cfg: JaccardConfig) -> tuple[DataFrame, DataFr
         F.expr("o - (leader_n_a - common_a) - (leader_n_b - common_b)").alias("least"))
     open_pairs = open_pairs.withColumn("most", F.least("most", "na", "nb")).where(_links(cfg, "most"))
     open_pairs = stage(open_pairs, "jaccard-third")
-    late = open_pairs.where(_links(cfg, "least")).select("a", "b").unionAll(
-        _overlaps(open_pairs.where(~_links(cfg, "least")), sets).where(_links(cfg)).select("a", "b"))
+    late, unsure = open_pairs.where(_links(cfg, "least")).select("a", "b"), open_pairs.where(~_links(cfg, "least"))
+    if not unsure.isEmpty():
+        late = late.unionAll(_overlaps(unsure, _sets(docs, unsure, classes, cfg)).where(_links(cfg)).select("a", "b"))
     late = stage(late, "jaccard-late")
     if not late.isEmpty():
         known = _leaders(classes, linked, close.unionAll(late))
@@ -335,3 +375,18 @@ def component_ids(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> Data
     rooted = classes.select("cls", "root").join(lowest, "root").select("cls", "lowest")
     return members.join(rooted, "cls", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("lowest", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> DataFrame:
+    """The documents, all columns, without those that are linked to one kept: the smallest doc_id of a group stays.
+
+    Documents without words are in no group. Rows equal in doc_id and text are one document and stay once; a null id
+    comes after all others.
+    """
+    key = F.xxhash64("doc_id", "text")
+    groups = component_ids(docs.select(key.alias("doc_id"), "text"), cfg).select(
+        F.col("doc_id").alias("row_key"), F.col("component_id").alias("root"))
+    ids = docs.select(key.alias("row_key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2 ** 63 - 1)).alias("id")).distinct()
+    first = groups.distinct().join(ids, "row_key").groupBy("root").agg(F.min(F.struct("id", "row_key")).alias("m"))
+    kept = stage(first.select(F.col("m.row_key").alias("__row_key")), "jaccard-kept")
+    return docs.withColumn("__row_key", key).join(kept, "__row_key", "left_semi").dropDuplicates(["__row_key"]).drop("__row_key")
