@@ -43,7 +43,7 @@ def brute(docs, cfg):
             n = root[n]
         return n
 
-    blocks = {n: [simhash(n.split(" ")) >> 16 * k & 0xFFFF for k in range(4)] for n in seen}
+    blocks = {n: [simhash(set(n.split(" "))) >> 16 * k & 0xFFFF for k in range(4)] for n in seen}
     for a, b in itertools.combinations(sorted(seen), 2):
         alike = sum(x == y for x, y in zip(blocks[a], blocks[b]))
         longest = max(len(a), len(b))

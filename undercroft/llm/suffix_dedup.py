@@ -39,8 +39,9 @@ class RepeatConfig:
     hot_share: int = 100_000
     #: Bytes of slices in a shard, about.
     shard: int = 64 << 20
-    #: Bytes of bucket queues that a sorting task holds in memory.
-    memory: int = 128 << 20
+    #: Bytes of slices that are sorted at once, about, and of bucket queues that the sort holds in memory.
+    sort_bytes: int = 2 << 20
+    memory: int = 16 << 20
     #: Bytes of slices that a task remembers for merging before it passes them on, about.
     flush: int = 64 << 20
 
@@ -213,39 +214,37 @@ def _cut_slices(cfg: RepeatConfig, table):
 
 
 def _sort_shard(cfg: RepeatConfig):
-    """Slices of whole anchors -> (slice_id, first, last): runs of window starts that repeat."""
+    """Slices in the order of their anchors -> (slice_id, first, last): runs of window starts that repeat.
+
+    Spark has sorted the shard, on disk where it is large; here anchors are gathered until their slices are worth a
+    sort, so a task holds cfg.sort_bytes of slices and one anchor's more, whatever the shard holds.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merged: dict[int, list] = {}
-        for batch in batches:
-            for gram, i, copies, piece in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if i in merged:
-                    merged[i][1] += copies
-                else:
-                    merged[i] = [gram, copies, piece]
         out: tuple[list, list, list] = ([], [], [])
-        groups: dict[int, list] = {}
-        for i, (gram, copies, piece) in merged.items():
-            groups.setdefault(gram, []).append((i, copies, piece))
-            if copies > 1:  # every window of a slice that is there twice repeats
-                for column, value in zip(out, (i, 0, len(piece) - cfg.length)):
-                    column.append(value)
-        # Anchors with one slice, or with copied slices only, need no order.
-        mixed = [s for g in groups.values() if len(g) > 1 and any(c == 1 for _, c, _ in g) for s in g]
-        if mixed:
-            joined = b"".join(piece + b"\0" for _, _, piece in mixed)
+        mixed: list[tuple[int, int, bytes]] = []
+
+        def close(group: dict[int, list]) -> None:
+            for i, (copies, piece) in group.items():
+                if copies > 1:  # every window of a slice that is there twice repeats
+                    for column, value in zip(out, (i, 0, len(piece) - cfg.length)):
+                        column.append(value)
+            # Anchors with one slice, or with copied slices only, need no order.
+            if len(group) > 1 and any(copies == 1 for copies, _ in group.values()):
+                mixed.extend((i, copies, piece) for i, (copies, piece) in group.items())
+
+        def sort() -> None:
+            if not mixed:
+                return
+            text = np.frombuffer(b"".join(piece + b"\0" for _, _, piece in mixed), np.uint8).astype(np.uint16) + np.uint16(2)
             sizes = np.array([len(piece) for _, _, piece in mixed])
             begins = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
-            text = np.frombuffer(joined, np.uint8).astype(np.uint16) + np.uint16(2)
             text[begins + sizes] = 1
-            text = np.append(text, np.uint16(0))
-            order, common = suffix_order(text, 258, cfg.memory)
-            hit = np.zeros(len(order), dtype=bool)
+            order, common = suffix_order(np.append(text, np.uint16(0)), 258, cfg.memory)
             same = common >= cfg.length
-            hit[same] = True
-            hit[np.flatnonzero(same) - 1] = True
-            starts = np.zeros(len(text) + 1, dtype=bool)
-            starts[order[hit]] = True
+            same[:-1] |= same[1:]
+            starts = np.zeros(len(order), dtype=bool)
+            starts[order[same]] = True
             for (i, copies, piece), begin in zip(mixed, begins.tolist()):
                 if copies == 1:
                     window = starts[begin:begin + len(piece) - cfg.length + 1]
@@ -253,9 +252,34 @@ def _sort_shard(cfg: RepeatConfig):
                     for a, b in zip(flip[::2].tolist(), flip[1::2].tolist()):
                         for column, value in zip(out, (i, a, b - 1)):
                             column.append(value)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())],
-            ["slice_id", "first", "last"])
+            mixed.clear()
+
+        def drain() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int32(), pa.int32())
+            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["slice_id", "first", "last"])
+            for column in out:
+                column.clear()
+            return batch
+
+        group: dict[int, list] = {}
+        now, held = None, 0
+        for batch in batches:
+            for gram, i, copies, piece in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if gram != now:
+                    close(group)
+                    group, now = {}, gram
+                    if held > cfg.sort_bytes:
+                        sort()
+                        held = 0
+                        yield drain()
+                if i in group:
+                    group[i][0] += copies
+                else:
+                    group[i] = [copies, piece]
+                    held += len(piece)
+        close(group)
+        sort()
+        yield drain()
     return run
 
 
@@ -294,7 +318,7 @@ def repeated_spans(docs: DataFrame, cfg: RepeatConfig = RepeatConfig()) -> DataF
     cold = slices.join(F.broadcast(hot), "gram", "left_anti")
     # A repeated gram leads one slice of up to twice the window; shards are as many as keep their slices small.
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * 2 * cfg.length // cfg.shard + 1)
-    sorted_runs = cold.repartition(shards, "gram").mapInArrow(_sort_shard(cfg), "slice_id long, first int, last int")
+    sorted_runs = cold.repartition(shards, "gram").sortWithinPartitions("gram").mapInArrow(_sort_shard(cfg), "slice_id long, first int, last int")
     # Hot anchors: windows one by one, dealt by their own content, so that no task holds a hot anchor.
     windows = slices.join(F.broadcast(hot), "gram", "left_semi").mapInArrow(
         _hot_windows(cfg), "code long, slice_id long, first int, copies long")
