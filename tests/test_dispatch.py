@@ -119,13 +119,13 @@ def test_card_and_pickets(spark):
     objects = spark.createDataFrame([(1, 1, None, "k", "one")], schemas.OBJECTS)
     preds = prediction(spark, [(1, 1, "fire", 0.4, "open", "rules"), (2, 1, "fire", 0.9, "open", "rules"), (3, 1, "fire", 0.99, "watch", "rules")])
     card = views.object_card(objects, channels, preds, 1, SMALL)
-    head = card["object"].first()
+    head = card["object"]().first()
     assert (head["n_channels"], head["n_pickets"]) == (14, 3)
-    pickets = card["pickets"].collect()
+    pickets = card["pickets"]().collect()
     assert [r["picket"] for r in pickets] == ["2", "10", "без пикета"]
     assert len(pickets[1]["sensor_types"]) == 8 and pickets[0]["has_fire"]
-    assert [r["id"] for r in card["predictions"].collect()] == [2, 1]
-    assert card["ancestors"].count() == 0 and card["children"].count() == 0
+    assert [r["id"] for r in card["predictions"]().collect()] == [2, 1]
+    assert card["ancestors"]().count() == 0 and card["children"]().count() == 0
 
 
 def test_priority_keeps_every_hot_picket(spark):

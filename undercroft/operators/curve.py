@@ -38,7 +38,7 @@ def pr_curve(scores: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     )
     summed = running_totals(cells, keys, [F.desc("score")], {"tp": F.col("pos"), "predicted": F.col("n")}, "curve")
     totals = summed.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("n").alias("n_rows"))
-    return summed.join(F.broadcast(totals), list(keys)).select(
+    return summed.join(totals, list(keys)).select(
         *keys,
         F.col("score").alias("threshold"),
         "pos",
@@ -100,7 +100,7 @@ def metrics_at_threshold(scores: DataFrame, thresholds: DataFrame, keys: Sequenc
     on = [k for k in thresholds.columns if k in keys]
     hit = F.col("score") >= F.col("threshold")
     agg = (
-        scores.join(F.broadcast(thresholds), on)
+        scores.join(thresholds, on)
         .groupBy(*keys)
         .agg(
             F.first("threshold").alias("threshold"),
@@ -125,7 +125,7 @@ def metrics_at_threshold(scores: DataFrame, thresholds: DataFrame, keys: Sequenc
 def evaluate(scores: DataFrame, curve: DataFrame, thresholds: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Metrics at threshold together with the area under the curve."""
     return metrics_at_threshold(scores, thresholds, keys).join(
-        F.broadcast(average_precision(curve, keys)), list(keys)
+        average_precision(curve, keys), list(keys)
     )
 
 

@@ -184,11 +184,13 @@ def feedback_labels(feedback: DataFrame, predictions: DataFrame) -> DataFrame:
     )
 
 
-def training_set(feedback: DataFrame, predictions: DataFrame, panel: DataFrame, point_in_time: bool = False) -> DataFrame:
+def training_set(
+    feedback: DataFrame, predictions: DataFrame, panel: DataFrame, point_in_time: bool = False, period: str = "period"
+) -> DataFrame:
     """One row per labelled decision with the features of its object.
 
     By default the newest features, whatever the decision's age; point_in_time takes the newest hour at or before
-    the decision instead.
+    the decision instead. `period` names the panel's column of that kind (the stored dataset calls it year).
     """
     labels = feedback_labels(feedback, predictions).select(
         F.col("id").alias("feedback_id"), "object_id", "risk_type", "y", "weight", "created_at"
@@ -198,7 +200,7 @@ def training_set(feedback: DataFrame, predictions: DataFrame, panel: DataFrame,
         return labels.join(newest, "object_id")
     # The panel is dense inside each period, so the newest row at or before a decision is the row of its own hour
     # or, past a period's end, that period's last row.
-    segments = panel.groupBy("object_id", "period").agg(F.min("hour_ts").alias("_from"), F.max("hour_ts").alias("_to"))
+    segments = panel.groupBy("object_id", period).agg(F.min("hour_ts").alias("_from"), F.max("hour_ts").alias("_to"))
     hour = hour_timestamp(hour_number(F.col("created_at")))
     reached = (
         labels.select("feedback_id", "object_id", hour.alias("_hour"))

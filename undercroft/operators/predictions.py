@@ -34,7 +34,7 @@ def open_predictions(
     limits = thresholds.select("risk_type", F.col("threshold").alias("_limit"))
     features = F.array().cast("array<string>") if top_features is None else top_features
     return (
-        scored.join(F.broadcast(limits), "risk_type")
+        scored.join(limits, "risk_type")
         .filter(F.col("probability") >= F.col("_limit"))
         .select(
             "object_id",
@@ -54,7 +54,7 @@ def above_threshold_counts(scored: DataFrame, thresholds: DataFrame) -> DataFram
     """Per risk: rows at or above the threshold, and what rules and persistence say of the same rows."""
     limits = thresholds.select("risk_type", F.col("threshold"))
     return (
-        scored.join(F.broadcast(limits), "risk_type")
+        scored.join(limits, "risk_type")
         .groupBy("risk_type")
         .agg(
             F.first("threshold").alias("threshold"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from undercroft import schemas
@@ -23,15 +23,17 @@ def journals_to_parquet(
 ) -> list[int]:
     """Yearly journals -> events partitioned by year; years already written are skipped unless `force`.
 
-    All years go through one read and one write. Returns the years written.
+    All years go through one read and one write. Lines that do not fit their header go to `<target>_rejects`, by file.
+    Returns the years written.
     """
     found = files.journal_files(files.list_files(spark, folder), years)
     done = set() if force else tables.present_values(spark, target)
     todo = [f for f in found if f.year not in done]
     if not todo:
         return []
-    _, rows = files.read_kind(spark, [f.path for f in todo], "journal")
+    _, rows, rejects = files.read_with_rejects(spark, [f.path for f in todo], "journal")
     tables.write_table(normalize_events(rows), target, ["year"])
+    tables.write_table(rejects.withColumnRenamed("_file", "file"), f"{target}_rejects", ["file"])
     return sorted({f.year for f in todo})
 
 
@@ -57,8 +59,12 @@ def import_files(spark: SparkSession, paths: Sequence[str], warehouse: str, kind
 
     Returns the kind and the number of rows read.
     """
-    resolved, raw = files.read_kind(spark, paths, kind, trim=True)
-    n_read = raw.count()
+    resolved, raw, rejects = files.read_with_rejects(spark, paths, kind, trim=True)
+    # Counted while the rows are read for the first time, not by a read of its own.
+    seen = Observation()
+    raw = stage(raw.observe(seen, F.count(F.lit(1)).alias("n")), "upload")
+    n_read = seen.get["n"]
+    tables.write_table(rejects.withColumnRenamed("_file", "file"), f"{warehouse}/rejected_lines", ["file"])
     if resolved == "objects":
         stored = tables.read_table(spark, f"{warehouse}/objects", schemas.OBJECTS)
         merged = upsert_latest(stored, clean_objects(raw), ["id"], [F.desc("name")])

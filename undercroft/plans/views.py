@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import datetime as dt
 
 from pyspark.sql import DataFrame
@@ -59,22 +61,32 @@ def object_list(
 
 def object_card(
     objects: DataFrame, channels: DataFrame, predictions: DataFrame, object_id: int, cfg: RiskConfig
-) -> dict[str, DataFrame]:
-    """The parts of one object's card. Lists stay frames: an object may own any share of the channels."""
+) -> dict[str, Callable[[], DataFrame]]:
+    """The parts of one object's card, each made when it is called for: climbing the tree writes tables.
+
+    Lists stay frames: an object may own any share of the channels.
+    """
     node = objects.filter(F.col("id") == object_id)
     own = channels.filter(F.col("object_id") == object_id)
     pickets = hierarchy.picket_profile(own, cfg)
-    chain = hierarchy.ancestors(objects, node.select(F.col("id").alias("object_id")))
-    open_rows = filter_predictions(predictions, object_id=object_id)
+
+    def ancestors() -> DataFrame:
+        chain = hierarchy.ancestors(objects, node.select(F.col("id").alias("object_id")))
+        return hierarchy.root_first(chain).orderBy("position")
+
+    def open_rows() -> DataFrame:
+        rows = with_object_names(filter_predictions(predictions, object_id=object_id), objects)
+        return rows.orderBy(F.desc("probability"), F.desc("id"))
+
     return {
-        "object": node.withColumns({
+        "object": lambda: node.withColumns({
             "n_channels": own.agg(F.count(F.lit(1))).scalar(),
             "n_pickets": pickets.agg(F.count(F.lit(1))).scalar(),
         }),
-        "ancestors": hierarchy.root_first(chain).orderBy("position"),
-        "children": hierarchy.children(objects).filter(F.col("object_id") == object_id).orderBy("child_id"),
-        "pickets": hierarchy.natural_order(pickets),
-        "predictions": with_object_names(open_rows, objects).orderBy(F.desc("probability"), F.desc("id")),
+        "ancestors": ancestors,
+        "children": lambda: hierarchy.children(objects).filter(F.col("object_id") == object_id).orderBy("child_id"),
+        "pickets": lambda: hierarchy.natural_order(pickets),
+        "predictions": open_rows,
     }
 
 

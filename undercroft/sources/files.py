@@ -126,24 +126,32 @@ def with_year(rows: DataFrame) -> DataFrame:
     )
 
 
-def read_kind(
+def read_with_rejects(
     spark: SparkSession, paths: Sequence[str], kind: str | None = None, trim: bool = False
-) -> tuple[str, DataFrame]:
-    """(kind, text rows) of files that share one kind; files whose columns come in another order are read apart."""
+) -> tuple[str, DataFrame, DataFrame]:
+    """(kind, text rows, rejected lines) of files that share one kind; files with other column orders are read apart."""
     by_header: dict[tuple[str, ...], list[str]] = {}
     for path in paths:
         by_header.setdefault(tuple(read_header(spark, path)), []).append(path)
     kinds = {kind or detect_kind(h) for h in by_header}
     if len(kinds) != 1:
-        raise ValueError(f"files of several kinds: {sorted(kinds)}")
+        raise ValueError(f"files of several kinds: {sorted(kinds)}" if kinds else "no files to read")
     resolved = kinds.pop()
-    out: DataFrame | None = None
+    good: DataFrame | None = None
+    bad: DataFrame | None = None
     for header, group in by_header.items():
-        rows = renamed(good_rows(read_text_rows(spark, group, header, trim)), resolved)
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        raise ValueError("no files to read")
-    return resolved, with_year(out)
+        read = read_text_rows(spark, group, header, trim)
+        rows, rejects = renamed(good_rows(read), resolved), quarantine(read)
+        good = rows if good is None else good.unionByName(rows)
+        bad = rejects if bad is None else bad.unionByName(rejects)
+    return resolved, with_year(good), bad
+
+
+def read_kind(
+    spark: SparkSession, paths: Sequence[str], kind: str | None = None, trim: bool = False
+) -> tuple[str, DataFrame]:
+    """(kind, text rows) alone."""
+    return read_with_rejects(spark, paths, kind, trim)[:2]
 
 
 def route_files(spark: SparkSession, files: Iterable[LandingFile]) -> dict[str, list[str]]:

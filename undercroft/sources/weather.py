@@ -18,12 +18,6 @@ def weather_rows(payloads: DataFrame, column: str = "payload") -> DataFrame:
     empty = days.isNull() | (F.size(days) == 0)
     message = F.concat(F.lit("weather payload without days: "), F.coalesce("p.reason", "text", F.lit("empty")))
     # zip pads short arrays with NULL up to the longest one; only as many rows as there are days are kept.
-    zipped = F.arrays_zip(
-        days.alias("day"),
-        F.col("p.daily.temperature_2m_mean").alias("temp_mean"),
-        F.col("p.daily.precipitation_sum").alias("precipitation_mm"),
-        F.col("p.daily.relative_humidity_2m_mean").alias("humidity"),
-    )
     none = F.array().cast("array<double>")
     safe = F.struct(
         days.alias("time"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from undercroft.config import DECISION_TITLES, RISK_TITLES, RISKS
 from undercroft.operators import alarm_risk, audit, feedback, hierarchy, marts, normalize, predictions
-from undercroft.plans import views
+from undercroft.plans import alarm_store, dispatch_jobs, views
 from undercroft.session import fresh_path
 from undercroft.sources import documents, files
 from workload.binding import CONFIG, Tables
@@ -579,18 +579,18 @@ def audit_log(t: Tables):
        FROM b_objects o WHERE o.id = 4""",
 )
 def object_card(t: Tables):
-    return views.object_card(t.objects, channels(t), t.predictions, 4, CONFIG)["object"]
+    return views.object_card(t.objects, channels(t), t.predictions, 4, CONFIG)["object"]()
 
 
 @query("object_card_pickets", "SELECT * FROM o_pickets WHERE object_id = 4")
 def object_card_pickets(t: Tables):
-    pickets = views.object_card(t.objects, channels(t), t.predictions, 4, CONFIG)["pickets"]
+    pickets = views.object_card(t.objects, channels(t), t.predictions, 4, CONFIG)["pickets"]()
     return pickets.withColumn("sensor_types", F.array_join("sensor_types", ","))
 
 
 @query("object_card_predictions", f"SELECT * FROM ({_NAMED}) n WHERE object_id = 4 AND status = 'open'")
 def object_card_predictions(t: Tables):
-    rows = views.object_card(t.objects, channels(t), t.predictions, 4, CONFIG)["predictions"]
+    rows = views.object_card(t.objects, channels(t), t.predictions, 4, CONFIG)["predictions"]()
     return rows.select(*_NAMED_COLUMNS)
 
 
@@ -601,4 +601,58 @@ def object_card_predictions(t: Tables):
     SELECT c.id, 2, g.id, g.kind, g.name, g.level, 1
     FROM b_objects c JOIN b_objects p ON p.id = c.parent_id JOIN b_objects g ON g.id = p.parent_id WHERE c.id = 4""")
 def object_card_ancestors(t: Tables):
-    return views.object_card(t.objects, channels(t), t.predictions, 4, CONFIG)["ancestors"]
+    return views.object_card(t.objects, channels(t), t.predictions, 4, CONFIG)["ancestors"]()
+
+
+@query(
+    "object_card_children",
+    "SELECT parent_id AS object_id, id AS child_id FROM b_objects WHERE parent_id = (SELECT min(parent_id) FROM b_objects)",
+)
+def object_card_children(t: Tables):
+    """The children on the card of the first object that has any."""
+    first = t.objects.agg(F.min("parent_id")).first()[0]
+    rows = views.object_card(t.objects, channels(t), t.predictions, first, CONFIG)["children"]()
+    return rows.select("object_id", "child_id")
+
+
+@query(
+    "decision_job",
+    """SELECT p.id, p.risk_type, coalesce(d.decision, p.status) AS status,
+              (SELECT count(*) FROM o_accepted) AS n_feedback, (SELECT count(*) FROM o_accepted) AS n_audit
+       FROM b_predictions p LEFT JOIN (
+           SELECT prediction_id, decision,
+                  row_number() OVER (PARTITION BY prediction_id ORDER BY decided_at DESC, decision) AS rn
+           FROM o_accepted) d ON d.prediction_id = p.id AND d.rn = 1""",
+    extra=_DECISIONS,
+)
+def decision_job(t: Tables):
+    """The job over written tables: predictions replaced, feedback and audit extended."""
+    house = fresh_path(t.spark, "house")
+    t.predictions.write.parquet(f"{house}/predictions")
+    dispatch_jobs.decision_job(t.spark, house, decisions(t))
+    rows = t.spark.read.parquet(f"{house}/predictions").select("id", "risk_type", "status")
+    counts = [t.spark.read.parquet(f"{house}/{n}").agg(F.count(F.lit(1))).scalar().alias(f"n_{n}") for n in ("feedback", "audit")]
+    return rows.select("*", *counts)
+
+
+@query(
+    "rule_job",
+    f"""SELECT {_KEPT} FROM b_predictions WHERE NOT (status = 'open' AND source = 'rules')
+        UNION ALL SELECT {_KEPT} FROM o_rule_preds""",
+)
+def rule_job(t: Tables):
+    """The job over a stored mart and a stored prediction table."""
+    house = fresh_path(t.spark, "house")
+    t.predictions.write.parquet(f"{house}/predictions")
+    alarm_store.load_alarms(alarms(t), house)
+    dispatch_jobs.rule_job(t.spark, house, channels(t), CONFIG, F.lit("2024-01-01").cast("timestamp_ntz"))
+    return t.spark.read.parquet(f"{house}/predictions").select(*_KEPT.split(", "))
+
+
+@query("calibration_job", "SELECT * FROM o_calibrated")
+def calibration_job(t: Tables):
+    house = fresh_path(t.spark, "house")
+    t.predictions.write.parquet(f"{house}/predictions")
+    t.feedback.write.parquet(f"{house}/feedback")
+    dispatch_jobs.calibration_job(t.spark, house)
+    return t.spark.read.parquet(f"{house}/calibration")
