@@ -17,6 +17,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from undercroft.session import stage
 
@@ -178,9 +179,8 @@ def features(texts: DataFrame, lexicons: list[dict[str, float]], cfg: ToxicityCo
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[1:], pa.array(rows, pa.list_(pa.float64()))], [*keep, "features"])
 
-    rows = texts.select(F.col("text").cast("string").alias("text"), *keep)
-    types = dict(rows.dtypes)
-    schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + ["features array<double>"])
+    rows = texts.select(F.col("text").cast("string").alias("__text"), *keep)
+    schema = T.StructType([*rows.schema.fields[1:], T.StructField("features", T.ArrayType(T.DoubleType()))])
     return rows.mapInArrow(run, schema)
 
 
@@ -204,24 +204,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig) ->
     return found.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(cfg.folds)).cast("int"))
 
 
-def score(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig()) -> DataFrame:
-    """Scores every row of `docs` (doc_id, text): doc_id, held_out, score, predicted.
+def rate(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig()) -> DataFrame:
+    """Every row of `docs` as a struct `row`, with its score and predicted (1 from cfg.threshold on).
 
     The texts of a fold are read with a lexicon mined from the other folds, so that neither the trees nor the
     calibration see features shaped by their own texts; the last fold calibrates, the others grow the trees. Null texts
     count as empty. Repeated rows are scored each. Without labels of both kinds in every fold the score is the sample's
-    share of toxic texts (0 without labels). An empty table gives no rows.
+    share of toxic texts (0 without labels). An empty table gives no rows. Columns of any names are carried along.
     """
     sample = stage(labelled_sample(docs, labels, cfg), "toxic-sample")
     kinds = {(r["fold"], r["toxic"]): r["n"]
              for r in sample.groupBy("fold", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
     if not all(kinds.get((fold, toxic)) for fold in range(cfg.folds) for toxic in (0, 1)):
         base = sum(n for (_, t), n in kinds.items() if t) / max(1, sum(kinds.values()))
-        scored = rows.select("doc_id", F.lit(base).alias("score"))
+        scored = rows.select("row", F.lit(base).alias("score"))
     else:
         lexicons = mine_lexicons(sample, cfg)
-        known = stage(features(sample, lexicons, cfg, ("doc_id", "toxic", "fold")), "toxic-features")
+        known = stage(features(sample, lexicons, cfg, ("toxic", "fold")), "toxic-features")
         vector = array_to_vector("features").alias("features")
         known = known.select("fold", F.col("toxic").cast("double").alias("label"), vector).coalesce(2)
         last = cfg.folds - 1
@@ -230,9 +230,21 @@ def score(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConf
         margin = vector_to_array("rawPrediction")[1].alias("margin")
         curve = trees.transform(known.where(F.col("fold") == last)).select("label", margin)
         steps = IsotonicRegression(featuresCol="margin").fit(curve)
-        raw = features(rows, lexicons, cfg, ("doc_id",)).select("doc_id", vector)
-        scored = steps.transform(trees.transform(raw).select("doc_id", margin))
-        scored = scored.select("doc_id", F.col("prediction").alias("score"))
+        raw = features(rows, lexicons, cfg, ("row",)).select("row", vector)
+        scored = steps.transform(trees.transform(raw).select("row", margin))
+        scored = scored.select("row", F.col("prediction").alias("score"))
     scored = scored.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
-                         (F.col("score") >= cfg.threshold).cast("int").alias("predicted"))
+    return scored.withColumn("predicted", (F.col("score") >= cfg.threshold).cast("int"))
+
+
+def score(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig()) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document; see `rate`."""
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # The text itself need not travel further than its features.
+    rated = rate(narrow, labels, cfg).select(F.col("row.doc_id").alias("doc_id"), "score", "predicted")
+    return rated.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def reject(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig()) -> DataFrame:
+    """The documents, all columns, that are not predicted toxic."""
+    return rate(docs, labels, cfg).where("predicted = 0").select("row.*")
