@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from undercroft.config import RISKS
 from undercroft.operators import curve, feedback
-from undercroft.plans import model
-from undercroft.session import stage
+from undercroft.plans import model, model_jobs
+from undercroft.session import fresh_path, stage
 from workload.binding import CONFIG, Tables
 from workload.queries_panel import full_panel
 from workload.registry import query
@@ -59,3 +59,28 @@ def retrained_scores(t: Tables):
     return model.model_scores(panel.filter(F.col("split") == "test"), models, names).select(
         "object_id", "hour_ts", *[f"p_{r}" for r in RISKS]
     )
+
+
+@query(
+    "split_rows",
+    """SELECT split, count(*) AS n_rows, CAST(sum(y_fire) AS BIGINT) AS fire, CAST(sum(y_flood) AS BIGINT) AS flood,
+              CAST(sum(y_failure) AS BIGINT) AS failure, CAST(sum(y_intrusion) AS BIGINT) AS intrusion
+       FROM (SELECT *, CASE WHEN day(hour_ts) <= 15 THEN 'train' WHEN day(hour_ts) <= 22 THEN 'valid' ELSE 'test' END AS split
+             FROM o_panel) p GROUP BY split""",
+)
+def split_rows(t: Tables):
+    """Rows and positives of each split, which the classes' weights come from."""
+    return split_panel(t).groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_rows"), *[F.sum(f"y_{r}").cast("bigint").alias(r) for r in RISKS])
+
+
+@query("predict_job", "SELECT id, status, source FROM b_predictions WHERE status <> 'open'")
+def predict_job(t: Tables):
+    """Train, store, load, predict: what is left of the old predictions is fixed, the new ones are the models'."""
+    house = fresh_path(t.spark, "house")
+    panel = split_panel(t)
+    model_jobs.train_job(panel, f"{house}/models", CONFIG, SMALL)
+    t.predictions.write.parquet(f"{house}/predictions")
+    model_jobs.predict_job(t.spark, panel, f"{house}/models", house, CONFIG, F.lit("2024-02-01").cast("timestamp_ntz"))
+    stored = t.spark.read.parquet(f"{house}/predictions")
+    return stored.filter("status <> 'open'").select("id", "status", "source")
