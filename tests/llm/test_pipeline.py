@@ -72,3 +72,13 @@ def test_registered_queries():
     assert sorted(q for q in queries.QUERIES if q.startswith("op")) == sorted([
         "op1_toxicity", "op2_fuzzy_line_dedup", "op3_ngram_jaccard_join", "op4_benchmark_decontamination", "op5_edit_token_counts",
         "op6_pii_surrogates", "op7_url_link_graph", "op8_maxscore_top_k", "op9_best_fit_packing", "op10_suffix_array_dedup"])
+
+
+def test_clashing_columns_are_carried(spark, folder):
+    extra = spark.read.parquet(f"{folder}/documents.parquet").limit(20).selectExpr(
+        "*", "doc_id AS n_lines", "'s' AS score", "1 AS n_removed", "'r' AS `row`", "2 AS features", "'p' AS `a.b`")
+    for _, function in corpus_pipeline.STAGES[:-1]:
+        rows = function(spark, extra, folder)
+        assert rows.columns == extra.columns
+        for r in rows.collect():
+            assert r["n_lines"] == r["doc_id"] and (r["score"], r["n_removed"], r["row"], r["features"], r["a.b"]) == ("s", 1, "r", 2, "p")
