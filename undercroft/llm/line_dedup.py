@@ -1,6 +1,6 @@
 """Fuzzy line deduplication with DataFrame functions only.
 
-Lines are normalised, equal ones are one line, and each distinct line gets a 64-bit SimHash of its words. Lines that
+Lines are normalised, equal ones are one line, and each gets a 64-bit SimHash of its distinct words. Lines that
 agree in two of four blocks of the SimHash meet (lines that differ in two bits at most always do), edit similarity
 decides, and of each connected group of lines one occurrence is kept.
 """
@@ -19,6 +19,8 @@ from undercroft.session import stage
 
 #: One in each of the four 16-bit lanes of a long.
 _LANES = 0x0001000100010001
+#: Remainders that stand for keys in a first filter: so many rows are broadcast at most, whatever the corpus holds.
+_REMAINDERS = 1 << 20
 #: Words that a lane can count and compare without touching the next lane.
 _CHUNK = 16_000
 
@@ -68,7 +70,9 @@ def _normal_lines(docs: DataFrame) -> DataFrame:
 def _occurrences(docs: DataFrame) -> DataFrame:
     """(row_key, doc, line, line_id, simhash) of every line that has a letter or digit."""
     keys = ("row_key", "doc", "line", "line_id")
-    words = _normal_lines(docs).select(*keys, F.posexplode(F.split("normal", " ")).alias("at", "word"))
+    # Distinct words, lest a few common ones make all lines of a language alike.
+    words = F.array_distinct(F.split("normal", " "))
+    words = _normal_lines(docs).select(*keys, F.posexplode(words).alias("at", "word"))
     words = words.select(*keys, F.expr(f"at div {_CHUNK}").alias("chunk"), F.xxhash64("word").alias("h"))
     parts = stage(_simhash(words, (*keys, "chunk")), "line-parts")
     # Longer lines: the SimHash of the chunks' SimHashes.
@@ -80,6 +84,17 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     return stage(whole.unionAll(_simhash(chunks, keys)), "line-hashes")
 
 
+def _only(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose key is in the column `key` of `wanted`.
+
+    Rows without a wanted key of the same remainder, nearly all, go before anything is shuffled.
+    """
+    remainder = F.expr(f"cast(pmod(xxhash64({key}), {_REMAINDERS}) as int)")
+    few = F.broadcast(wanted.select(remainder.alias("__few")).distinct())
+    near = rows.withColumn("__remainder", remainder).join(few, F.col("__remainder") == F.col("__few"), "left_semi")
+    return near.drop("__remainder").join(wanted, key)
+
+
 def _close(pairs: DataFrame, texts: DataFrame, cfg: LineConfig) -> DataFrame:
     """Pairs (a, b) of line ids whose edit similarity reaches the threshold."""
     side = lambda p: texts.select(F.col("line_id").alias(p), F.col("normal").alias(f"t{p}"))
@@ -99,10 +114,11 @@ def line_groups(docs: DataFrame, cfg: LineConfig = LineConfig()) -> tuple[DataFr
     keys = [f"{n}L * 4294967296L + {block[i]} * 65536L + {block[k]}" for n, (i, k) in enumerate(combinations(range(4), 2))]
     blocks = distinct.select("line_id", F.explode(F.array(*[F.expr(k) for k in keys])).alias("block"))
     heads = blocks.groupBy("block").agg(F.min("line_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = stage(blocks.join(heads.select("block", "head"), "block"), "line-met")
+    heads = stage(heads.select("block", "head"), "line-heads")
+    met = stage(_only(blocks, "block", heads).select("line_id", "block", "head"), "line-met")
     some = stage(met.select("line_id").distinct(), "line-some")
     # The text of a line that met another, from any of its occurrences.
-    texts = _normal_lines(docs).select("line_id", "normal").join(some, "line_id")
+    texts = _only(_normal_lines(docs).select("line_id", "normal"), "line_id", some)
     texts = stage(texts.dropDuplicates(["line_id"]), "line-texts")
     # Every line against the head of its blocks, then lines of blocks that still hold several groups.
     first = met.where("line_id != head").select(F.col("line_id").alias("a"), F.col("head").alias("b")).distinct()
