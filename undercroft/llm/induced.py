@@ -203,6 +203,7 @@ def suffix_order(text: np.ndarray, symbols: int, memory: int = 64 << 20) -> tupl
     mark = np.zeros(n, dtype=bool)
     mark[lms] = True
     pieces = order[mark[order]]
+    del order, mark
     index = np.full(n, -1, np.int64)
     index[lms] = np.arange(len(lms))
     ends = np.append(lms[1:] + 1, n)
@@ -234,4 +235,5 @@ def suffix_order(text: np.ndarray, symbols: int, memory: int = 64 << 20) -> tupl
             same = _piece(powers, sums, a, mid) == _piece(powers, sums, b, mid)
             low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
         prefix[1:] = low
+    del powers, sums, index, ends, which, length, code, new, rank, pieces
     return _induce(text, small, seeds, prefix, symbols, memory)

@@ -40,10 +40,10 @@ class RepeatConfig:
     #: Bytes of slices in a shard, about.
     shard: int = 64 << 20
     #: Bytes of slices that are sorted at once, about, and of bucket queues that the sort holds in memory.
-    sort_bytes: int = 2 << 20
-    memory: int = 16 << 20
+    sort_bytes: int = 1 << 20
+    memory: int = 8 << 20
     #: Bytes of slices that a task remembers for merging before it passes them on, about.
-    flush: int = 64 << 20
+    flush: int = 16 << 20
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
