@@ -9,7 +9,7 @@ sys.path.insert(0, str(ROOT))
 
 from undercroft import schemas  # noqa: E402
 from undercroft.config import RiskConfig  # noqa: E402
-from undercroft.session import build_session  # noqa: E402
+from undercroft.session import build_session, drop_staged  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -20,6 +20,7 @@ def spark():
     })
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_staged(session)
     session.stop()
 
 

@@ -44,8 +44,20 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/undercroft-staged"
 
 
+_made: list[str] = []
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, remembered until `drop_staged`."""
+    _made.append(f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Removes the tables that this process has staged, once nothing reads them any more: at the end of a job."""
+    while _made:
+        target = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def stage(df: DataFrame, tag: str) -> DataFrame:
