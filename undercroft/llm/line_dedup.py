@@ -20,7 +20,7 @@ from undercroft.session import stage
 #: One in each of the four 16-bit lanes of a long.
 _LANES = 0x0001000100010001
 #: Remainders that stand for keys in a first filter: so many rows are broadcast at most, whatever the corpus holds.
-_REMAINDERS = 1 << 20
+_REMAINDERS = 1 << 22
 #: Words that a lane can count and compare without touching the next lane.
 _CHUNK = 16_000
 
@@ -62,14 +62,14 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def _normal_lines(docs: DataFrame) -> DataFrame:
-    rows = lines_of(docs).select("row_key", "doc", "line", normalised(F.col("text")).alias("normal"))
+    rows = lines_of(docs).select("row_key", "doc", "line", "text", normalised(F.col("text")).alias("normal"))
     rows = rows.where("normal != ''")
-    return rows.select("row_key", "doc", "line", "normal", F.xxhash64("normal").alias("line_id"))
+    return rows.select("row_key", "doc", "line", "normal", F.xxhash64("normal").alias("line_id"), F.xxhash64("text").alias("raw_id"))
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """(row_key, doc, line, line_id, simhash) of every line that has a letter or digit."""
-    keys = ("row_key", "doc", "line", "line_id")
+    """(row_key, doc, line, line_id, raw_id, simhash) of every line that has a letter or digit."""
+    keys = ("row_key", "doc", "line", "line_id", "raw_id")
     # Distinct words, lest a few common ones make all lines of a language alike.
     words = F.array_distinct(F.split("normal", " "))
     words = _normal_lines(docs).select(*keys, F.posexplode(words).alias("at", "word"))
@@ -101,25 +101,28 @@ def _close(pairs: DataFrame, texts: DataFrame, cfg: LineConfig) -> DataFrame:
     rows = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     longer, shorter = F.greatest(F.length("ta"), F.length("tb")), F.least(F.length("ta"), F.length("tb"))
     rows = rows.withColumn("allowed", F.floor(longer * (1 - cfg.similarity) + 1e-9).cast("int"))
-    # With a limit only a band of the table of distances is filled; -1 stands for more than the limit.
-    return rows.where(longer - shorter <= F.col("allowed")).where("levenshtein(ta, tb, allowed) >= 0").select("a", "b")
+    # With a limit only a band of the table of distances is filled; -1 stands for more than the limit. Most pairs differ
+    # by a word or two, so a narrow band is tried first.
+    near = "case when levenshtein(ta, tb, least(allowed, 12)) >= 0 then true else levenshtein(ta, tb, allowed) >= 0 end"
+    return rows.where(longer - shorter <= F.col("allowed")).where(near).select("a", "b")
 
 
 def line_groups(docs: DataFrame, cfg: LineConfig = LineConfig()) -> tuple[DataFrame, DataFrame]:
     """Occurrences (row_key, doc, line, line_id) and groups (line_id, root, rows) of linked distinct lines."""
     occurrences = _occurrences(docs)
     distinct = stage(occurrences.groupBy("line_id").agg(
-        F.first("simhash").alias("simhash"), F.count(F.lit(1)).alias("rows")), "line-distinct")
+        F.first("simhash").alias("simhash"), F.count(F.lit(1)).alias("rows"), F.min("raw_id").alias("raw_id")), "line-distinct")
     block = [f"(shiftrightunsigned(simhash, {16 * i}) & 65535L)" for i in range(4)]
     keys = [f"{n}L * 4294967296L + {block[i]} * 65536L + {block[k]}" for n, (i, k) in enumerate(combinations(range(4), 2))]
     blocks = distinct.select("line_id", F.explode(F.array(*[F.expr(k) for k in keys])).alias("block"))
     heads = blocks.groupBy("block").agg(F.min("line_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     heads = stage(heads.select("block", "head"), "line-heads")
     met = stage(_only(blocks, "block", heads).select("line_id", "block", "head"), "line-met")
-    some = stage(met.select("line_id").distinct(), "line-some")
-    # The text of a line that met another, from any of its occurrences.
-    texts = _only(_normal_lines(docs).select("line_id", "normal"), "line_id", some)
-    texts = stage(texts.dropDuplicates(["line_id"]), "line-texts")
+    # The text of a line that met another, from occurrences of one wording; lines are normalised once they are few.
+    some = stage(distinct.join(met.select("line_id").distinct(), "line_id", "left_semi").select("raw_id"), "line-some")
+    raw = lines_of(docs).select(F.xxhash64("text").alias("raw_id"), "text")
+    raw = _only(raw, "raw_id", some).dropDuplicates(["raw_id"]).select(normalised(F.col("text")).alias("normal"))
+    texts = stage(raw.select(F.xxhash64("normal").alias("line_id"), "normal"), "line-texts")
     # Every line against the head of its blocks, then lines of blocks that still hold several groups.
     first = met.where("line_id != head").select(F.col("line_id").alias("a"), F.col("head").alias("b")).distinct()
     first = stage(_close(first, texts, cfg), "line-first")
@@ -139,7 +142,7 @@ def line_groups(docs: DataFrame, cfg: LineConfig = LineConfig()) -> tuple[DataFr
     groups = distinct.join(roots, "line_id", "left").select(
         "line_id", F.coalesce("component", "line_id").alias("root"), "rows",
         F.col("component").isNotNull().alias("fuzzy"))
-    return occurrences.drop("simhash"), groups
+    return occurrences.drop("simhash", "raw_id"), groups
 
 
 def removed_lines(docs: DataFrame, cfg: LineConfig = LineConfig()) -> DataFrame:
