@@ -33,10 +33,11 @@ class LeakConfig:
     #: Words of a shingle, and the least share of the question's and of the answer's shingles that must be found.
     shingle: int = 5
     overlap: float = 0.8
-    #: Entries of a posting block.
-    block: int = 16
+    #: Entries of a posting block at least, and blocks at most; the table of block maxima has a row for each term.
+    block: int = 2
+    blocks: int = 128
     #: Bytes of item text that one index holds; more items are searched in several passes over the corpus.
-    index_bytes: int = 32 << 20
+    index_bytes: int = 2 << 20
 
 
 def words_of(text: str) -> list[str]:
@@ -65,29 +66,47 @@ def found_share(wanted: set[tuple[str, ...]], words: list[str]) -> float:
 
 @dataclass
 class ItemIndex:
-    """Postings of item parts by term, with the largest weight of each list and block."""
+    """Postings of item parts by term, with the largest weight of each list and, as a table, of each block."""
 
     cfg: LeakConfig
+    block: int = 1
     terms: dict[str, int] = field(default_factory=dict)
     ids: list[list[int]] = field(default_factory=list)
     weights: list[list[float]] = field(default_factory=list)
     highest: list[float] = field(default_factory=list)
-    block_highest: list[list[float]] = field(default_factory=list)
+    #: Largest weight of a term (row) in a block (column); the last row, of terms that no item has, is zero.
+    table: np.ndarray = field(default_factory=lambda: np.zeros((1, 0), np.float32))
     entries: list[int] = field(default_factory=list)  # entry -> item
     items: list[tuple[int, set, set, int]] = field(default_factory=list)  # id, question, answer, words
 
-    def search(self, terms: list[int]) -> dict[int, float]:
-        """Entries whose score for these distinct terms reaches the threshold."""
+    def open_blocks(self, passages: np.ndarray, terms: np.ndarray) -> list[tuple[int, int]]:
+        """(passage, block) pairs whose block maxima together reach the threshold.
+
+        `passages` and `terms` name the words of passages; a term counts once in a passage.
+        """
+        key = np.unique(passages * len(self.table) + (terms + 1))
+        passage, row = np.divmod(key, len(self.table))
+        first = np.flatnonzero(np.concatenate(([True], passage[1:] != passage[:-1])))
+        bound = np.add.reduceat(self.table[row - 1], first, axis=0)
+        at, block = np.nonzero(bound >= self.cfg.threshold - 1e-4)
+        return list(zip(passage[first][at].tolist(), block.tolist()))
+
+    def search(self, terms: list[int], block: int) -> dict[int, float]:
+        """Entries of a block whose score for these distinct terms reaches the threshold, by weak-and pivots."""
         goal = self.cfg.threshold - 1e-9
-        size = self.cfg.block
-        cursors = [[self.ids[t][0], 0, t] for t in terms]
+        low, stop = block * self.block, (block + 1) * self.block
+        cursors = []
+        for t in terms:
+            at = bisect_left(self.ids[t], low)
+            if at < len(self.ids[t]) and self.ids[t][at] < stop:
+                cursors.append([self.ids[t][at], at, t])
         found: dict[int, float] = {}
         while cursors:
             cursors.sort()
             reach, pivot = 0.0, -1
             for i, (_, _, t) in enumerate(cursors):
-                reach += self.highest[t]
-                if reach >= goal:
+                reach += self.table[t, block]
+                if reach >= goal - 1e-4:
                     pivot = i
                     break
             if pivot < 0:
@@ -96,51 +115,48 @@ class ItemIndex:
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == entry:
                 pivot += 1
             if cursors[0][0] == entry:
-                here = cursors[:pivot + 1]
-                limit = sum(self.block_highest[t][at // size] for _, at, t in here)
-                if limit >= goal:
-                    score = sum(self.weights[t][at] for _, at, t in here)
-                    if score >= goal:
-                        found[entry] = score
-                    move = entry + 1
-                else:
-                    # No entry before the end of one of these blocks, or the next list, can reach the goal.
-                    move = min(self.ids[t][min(len(self.ids[t]), (at // size + 1) * size) - 1] + 1 for _, at, t in here)
-                    if pivot + 1 < len(cursors):
-                        move = min(move, cursors[pivot + 1][0])
-                    move = max(move, entry + 1)
-                behind = here
-            else:
-                move, behind = entry, [c for c in cursors[:pivot] if c[0] < entry]
+                behind, move = cursors[:pivot + 1], entry + 1
+                score = sum(self.weights[t][at] for _, at, t in behind)
+                if score >= goal:
+                    found[entry] = score
+            else:  # entries before the pivot cannot reach the goal
+                behind, move = [c for c in cursors[:pivot] if c[0] < entry], entry
             for c in behind:
                 at = bisect_left(self.ids[c[2]], move, c[1])
-                c[0], c[1] = (self.ids[c[2]][at], at) if at < len(self.ids[c[2]]) else (-1, at)
-            cursors = [c for c in cursors if c[0] >= 0]
+                c[0], c[1] = (self.ids[c[2]][at], at) if at < len(self.ids[c[2]]) else (stop, at)
+            cursors = [c for c in cursors if c[0] < stop]
         return found
 
 
 def build_index(items: list[tuple[int, str]], frequency: dict[str, int], entries: int, mean: float, cfg: LeakConfig) -> ItemIndex:
     """An index of these items, with the number, mean length and term frequencies of the parts of all items."""
     index = ItemIndex(cfg)
-    postings: dict[str, list[tuple[int, float]]] = {}
+    parts: list[tuple[int, dict[str, float]]] = []
     for item_id, text in items:
         question, answer = question_answer(text)
         index.items.append((item_id, shingle_set(question, cfg.shingle), shingle_set(answer, cfg.shingle), len(question) + len(answer)))
         for part in item_parts(text, cfg):
             count = Counter(part)
             norm = cfg.k1 * (1 - cfg.b + cfg.b * len(part) / mean)
-            weight = {t: np.log(1 + (entries - frequency[t] + 0.5) / (frequency[t] + 0.5)) * n * (cfg.k1 + 1) / (n + norm)
+            weight = {t: float(np.log(1 + (entries - frequency[t] + 0.5) / (frequency[t] + 0.5)) * n * (cfg.k1 + 1) / (n + norm))
                       for t, n in count.items()}
             own = sum(weight.values())
-            for t, w in weight.items():
-                postings.setdefault(t, []).append((len(index.entries), float(w / own)))
-            index.entries.append(len(index.items) - 1)
-    for term, listed in postings.items():
-        index.terms[term] = len(index.ids)
-        index.ids.append([e for e, _ in listed])
-        index.weights.append([w for _, w in listed])
-        index.highest.append(max(w for _, w in listed))
-        index.block_highest.append([max(w for _, w in listed[i:i + cfg.block]) for i in range(0, len(listed), cfg.block)])
+            parts.append((len(index.items) - 1, {t: w / own for t, w in weight.items()}))
+    # Entries with the same commonest term, mostly of one language, and of like length share blocks: their weights
+    # are alike, so that the block maxima are close to the weights.
+    parts.sort(key=lambda p: (max(p[1], key=lambda t: (frequency[t], t)), len(p[1])))
+    index.block = max(cfg.block, -(-len(parts) // cfg.blocks))
+    index.terms = {t: i for i, t in enumerate(sorted({t for _, weight in parts for t in weight}))}
+    index.table = np.zeros((len(index.terms) + 1, -(-len(parts) // index.block)), np.float32)
+    index.ids, index.weights = [[] for _ in index.terms], [[] for _ in index.terms]
+    for entry, (item, weight) in enumerate(parts):
+        index.entries.append(item)
+        for t, w in weight.items():
+            n = index.terms[t]
+            index.ids[n].append(entry)
+            index.weights[n].append(w)
+            index.table[n, entry // index.block] = max(index.table[n, entry // index.block], w)
+    index.highest = index.table.max(axis=1, initial=0.0)[:-1].tolist()
     return index
 
 
@@ -165,13 +181,16 @@ def _search_texts(shared, cfg: LeakConfig):
                 terms = np.array([number(w, -1) for w in words])
                 total = np.concatenate(([0.0], np.cumsum(highest[terms])))
                 starts = np.arange(0, max(1, len(words) - cfg.stride), cfg.stride)
-                most = total[np.minimum(starts + cfg.passage, len(words))] - total[starts]
-                for start in starts[most >= cfg.threshold - 1e-6].tolist():
-                    distinct = np.unique(terms[start:start + cfg.passage])
-                    distinct = distinct[distinct >= 0]
-                    if highest[distinct].sum() < cfg.threshold - 1e-6:
-                        continue
-                    for entry, score in index.search(distinct.tolist()).items():
+                stops = np.minimum(starts + cfg.passage, len(words))
+                able = np.flatnonzero(total[stops] - total[starts] >= cfg.threshold - 1e-4)
+                if not len(able):
+                    continue
+                spans = stops[able] - starts[able]
+                place = np.arange(spans.sum()) + np.repeat(starts[able] - np.cumsum(spans) + spans, spans)
+                for passage, block in index.open_blocks(np.repeat(able, spans), terms[place]):
+                    start = int(starts[passage])
+                    distinct = set(terms[start:start + cfg.passage].tolist()) - {-1}
+                    for entry, score in index.search(list(distinct), block).items():
                         item_id, question, answer, length = index.items[index.entries[entry]]
                         region = words[max(0, start - length):start + cfg.passage + length]
                         shares = found_share(question, region), found_share(answer, region)
