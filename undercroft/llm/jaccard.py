@@ -54,6 +54,10 @@ class Powers:
                 for f in (_BASE, inverse))
 
 
+#: A shingle seen fewer times than this is rare.
+_LEAST = 8
+
+
 @dataclass(frozen=True)
 class JaccardConfig:
     #: Words of a shingle; sets link when den * intersection >= num * union.
@@ -62,7 +66,7 @@ class JaccardConfig:
     den: int = 100
     #: Most shingles whose frequency is told to all tasks, so that frequent ones come last in every prefix. Which ones
     #: they are changes the work, never the result.
-    frequent: int = 1_000_000
+    frequent: int = 4_000_000
     #: Heads that a class is compared with in the first pass.
     heads: int = 2
 
@@ -113,7 +117,8 @@ def frequent_shingles(docs: DataFrame, cfg: JaccardConfig) -> np.ndarray:
     """Shingles that make up at least one part in cfg.frequent of all, with their counts: cfg.frequent at most.
 
     A shingle with that share of all has that share in some task, so each task reports those it sees at least that
-    often among its own (twice at least), and the reports are summed. At most cfg.frequent sums can reach the share.
+    often among its own (_LEAST / 4 times at least), and the reports are summed. Of the sums at most cfg.frequent can
+    reach the share; those under _LEAST are no matter.
     """
     share = cfg.frequent
 
@@ -144,7 +149,7 @@ def frequent_shingles(docs: DataFrame, cfg: JaccardConfig) -> np.ndarray:
                     fold()
                     held = 0
         fold()
-        keep = counts >= max(2, total // share)
+        keep = counts >= max(_LEAST // 4, total // share)
         yield pa.RecordBatch.from_arrays(
             [pa.array([None, *keys[keep].view(np.int64).tolist()], pa.int64()),
              pa.array([total, *counts[keep].tolist()], pa.int64())], ["shingle", "n"])
@@ -152,7 +157,7 @@ def frequent_shingles(docs: DataFrame, cfg: JaccardConfig) -> np.ndarray:
     counted = _texts(docs).select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     counted = stage(counted, "jaccard-frequent")
     total = counted.where("shingle is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    top = counted.where("shingle is not null").where(F.col("n") >= max(2, -(-total // share))).toArrow()
+    top = counted.where("shingle is not null").where(F.col("n") >= max(_LEAST, -(-total // share))).toArrow()
     return np.stack([top.column(0).to_numpy(), top.column(1).to_numpy()]) if top.num_rows else np.zeros((2, 0), np.int64)
 
 
@@ -257,7 +262,8 @@ def _meet(na: str, nb: str, cfg: JaccardConfig) -> str:
 
 
 def _index(described: DataFrame, classes: DataFrame, cfg: JaccardConfig) -> DataFrame:
-    """(shingle, cls, n, shallow): the prefixes of all classes, shingles that only one class has left out."""
+    """(shingle, cls, n, shallow, size): the prefixes of all classes, shingles that only one class has left out; size
+    is the number of classes that have the shingle in their prefix."""
     first = classes.select(F.col("cls").alias("c"), F.col("doc_id").alias("d"))
     # One document stands for its class; equal rows of that document are one.
     heads = described.join(first, (F.col("cls") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
@@ -266,7 +272,7 @@ def _index(described: DataFrame, classes: DataFrame, cfg: JaccardConfig) -> Data
     shallow = F.expr(f"pos < n - (({2 * cfg.num} * n + {both - 1}) div {both}) + 1")
     listed = heads.select("cls", "n", F.posexplode("tokens").alias("pos", "shingle")).select(
         "shingle", "cls", F.col("n").cast("int").alias("n"), shallow.alias("shallow"))
-    shared = listed.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("shingle")
+    shared = listed.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     return listed.join(shared, "shingle")
 
 
@@ -286,9 +292,13 @@ def join_classes(docs: DataFrame, cfg: JaccardConfig) -> tuple[DataFrame, DataFr
     # little over the size ratio that linked sets can have, so that rounding cannot part them.
     width = float(np.log(cfg.den / cfg.num)) * 1.0001
     block = F.floor(F.log(F.col("n").cast("double")) / width)
-    lists = index.select(F.explode(F.array(block, block + 1)).alias("block"), "shingle", "cls", "shallow")
+    # Heads are the classes that meet the most others: among near copies of one text that is the text itself, while
+    # a copy's own changes are met by no one.
+    weight = index.groupBy("cls").agg(F.sum("size").alias("weight"))
+    lists = index.join(weight, "cls").select(
+        F.explode(F.array(block, block + 1)).alias("block"), "shingle", "cls", "shallow", "weight")
     heads = lists.groupBy("shingle", "block").agg(
-        F.min(F.when(F.col("shallow"), F.col("cls"))).alias("head"), F.count(F.lit(1)).alias("size"))
+        F.max(F.when(F.col("shallow"), F.struct("weight", "cls"))).getField("cls").alias("head"), F.count(F.lit(1)).alias("size"))
     heads = heads.where("size > 1 and head is not null").select("shingle", "block", "head")
     met = lists.join(heads, ["shingle", "block"]).where("cls != head").groupBy(
         F.col("cls").alias("a"), F.col("head").alias("b")).agg(F.count(F.lit(1)).alias("met"))
@@ -304,22 +314,23 @@ def join_classes(docs: DataFrame, cfg: JaccardConfig) -> tuple[DataFrame, DataFr
     known = _leaders(classes, linked)
 
     # Second pass: leaders whose lists still hold several components. What two classes must share of their prefixes
-    # is also shared by the entries of their leaders, so that number skips pairs of leaders as a whole.
-    seen = index.select("shingle", "cls").join(known.select("cls", "root", "leader"), "cls")
-    mixed = seen.groupBy("shingle").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("shingle")
-    entries = stage(seen.join(mixed, "shingle").select("shingle", "root", "leader").distinct(), "jaccard-open")
-    x, y = entries.alias("x"), entries.alias("y")
-    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") < F.col("y.root")))
-    pairs = pairs.groupBy(F.col("x.leader").alias("a"), F.col("y.leader").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    # is also shared by the entries of their leaders, so that number skips pairs of leaders as a whole, as do sizes.
     groups = stage(known.groupBy("leader").agg(
         F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("followers"),
         F.max(F.col("n") - F.col("common")).alias("extra")), "jaccard-groups")
-    of = lambda p: groups.select(F.col("leader").alias(p), *[
-        F.col(c).alias(f"{c}_{p}") for c in ("low", "high", "followers", "extra")])
-    bounded = pairs.join(of("a"), "a").join(of("b"), "b").where(
-        f"{cfg.den} * high_a >= {cfg.num} * low_b and {cfg.den} * high_b >= {cfg.num} * low_a").where(
-        f"c > {_meet('low_a', 'low_b', cfg)} - {_need('greatest(high_a, high_b)', cfg)}")
-    bounded = stage(bounded, "jaccard-bounded")
+    seen = index.select("shingle", "cls").join(known.select("cls", "root", "leader"), "cls")
+    mixed = seen.groupBy("shingle").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("shingle")
+    entries = seen.join(mixed, "shingle").select("shingle", "root", "leader").distinct()
+    entries = stage(entries.join(groups.select("leader", "low", "high"), "leader"), "jaccard-open")
+    x, y = ({c: F.col(f"{p}.{c}") for c in entries.columns} for p in "xy")
+    sized = (x["high"] * cfg.den >= y["low"] * cfg.num) & (y["high"] * cfg.den >= x["low"] * cfg.num)
+    pairs = entries.alias("x").join(entries.alias("y"), (x["shingle"] == y["shingle"]) & (x["root"] < y["root"]) & sized)
+    pairs = pairs.groupBy(x["leader"].alias("a"), y["leader"].alias("b")).agg(
+        F.count(F.lit(1)).alias("c"), *[F.max(side[c]).alias(f"{c}_{p}") for p, side in (("a", x), ("b", y)) for c in ("low", "high")])
+    pairs = pairs.where(f"c > {_meet('low_a', 'low_b', cfg)} - {_need('greatest(high_a, high_b)', cfg)}")
+    pairs = stage(pairs.select("a", "b", "low_a", "low_b"), "jaccard-pairs")
+    of = lambda p: groups.select(F.col("leader").alias(p), *[F.col(c).alias(f"{c}_{p}") for c in ("followers", "extra")])
+    bounded = stage(pairs.join(of("a"), "a").join(of("b"), "b"), "jaccard-bounded")
     second = stage(_overlaps(bounded, _sets(docs, bounded, classes, cfg)), "jaccard-second")
     close = second.where(_links(cfg)).select("a", "b")
     known = _leaders(classes, linked, close)
