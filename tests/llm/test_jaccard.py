@@ -79,6 +79,30 @@ def test_large_group_of_changed_copies(spark):
     assert run(spark, docs) == brute(docs, JaccardConfig())
 
 
+def chains(seeds):
+    """A group of near copies of copies for every seed, each with words of its own: (documents, expected rows)."""
+    docs, want = [], []
+    for seed in seeds:
+        rnd = random.Random(seed)
+        fresh = iter(range(1 << 30))
+        word = lambda: f"g{seed}x{next(fresh)}"
+        sets = [[word() for _ in range(rnd.randint(30, 90))]]
+        for _ in range(rnd.randint(4, 12)):
+            copy = list(rnd.choice(sets))
+            for i in rnd.sample(range(len(copy)), int(len(copy) * rnd.uniform(0.01, 0.13))):
+                copy[i] = word()
+            sets.append(copy)
+        group = [(len(docs) + i, " ".join(s)) for i, s in enumerate(sets)]
+        docs += group
+        want += brute(group, JaccardConfig(words=1))
+    return docs, sorted(want, key=str)
+
+
+def test_chains_of_copies_of_copies(spark):
+    docs, want = chains(range(600))
+    assert run(spark, docs, JaccardConfig(words=1)) == want
+
+
 def test_edges(spark):
     docs = [(1, None), (2, ""), (3, " \t\n"), (4, "One TWO"), (5, "one two"), (5, "one two"), (None, "one  two"), (None, "alone here"),
             (6, "É è"), (7, "é è"), (8, "a b c d"), (9, "a b c d e"), (10, "w " * 6000), (11, "w w w w")]

@@ -316,8 +316,7 @@ def join_classes(docs: DataFrame, cfg: JaccardConfig) -> tuple[DataFrame, DataFr
     # Second pass: leaders whose lists still hold several components. What two classes must share of their prefixes
     # is also shared by the entries of their leaders, so that number skips pairs of leaders as a whole, as do sizes.
     groups = stage(known.groupBy("leader").agg(
-        F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("followers"),
-        F.max(F.col("n") - F.col("common")).alias("extra")), "jaccard-groups")
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("common")).alias("extra")), "jaccard-groups")
     seen = index.select("shingle", "cls").join(known.select("cls", "root", "leader"), "cls")
     mixed = seen.groupBy("shingle").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("shingle")
     entries = seen.join(mixed, "shingle").select("shingle", "root", "leader").distinct()
@@ -329,17 +328,18 @@ def join_classes(docs: DataFrame, cfg: JaccardConfig) -> tuple[DataFrame, DataFr
         F.count(F.lit(1)).alias("c"), *[F.max(side[c]).alias(f"{c}_{p}") for p, side in (("a", x), ("b", y)) for c in ("low", "high")])
     pairs = pairs.where(f"c > {_meet('low_a', 'low_b', cfg)} - {_need('greatest(high_a, high_b)', cfg)}")
     pairs = stage(pairs.select("a", "b", "low_a", "low_b"), "jaccard-pairs")
-    of = lambda p: groups.select(F.col("leader").alias(p), *[F.col(c).alias(f"{c}_{p}") for c in ("followers", "extra")])
+    of = lambda p: groups.select(F.col("leader").alias(p), F.col("extra").alias(f"extra_{p}"))
     bounded = stage(pairs.join(of("a"), "a").join(of("b"), "b"), "jaccard-bounded")
     second = stage(_overlaps(bounded, _sets(docs, bounded, classes, cfg)), "jaccard-second")
     close = second.where(_links(cfg)).select("a", "b")
     known = _leaders(classes, linked, close)
 
     # Third pass: followers of leaders that did not link. A follower's overlap differs from its leader's by what the
-    # two have apart at most; that decides most pairs, and the rest are compared.
-    apart = bounded.select("a", "b", *[f"{c}_{p}" for p in "ab" for c in ("low", "followers", "extra")]).join(
+    # two have apart at most; that decides most pairs, and the rest are compared. A leader may follow another, so a group
+    # of one need not be the leader itself; where it is, nothing is apart and the bound passes over it.
+    apart = bounded.select("a", "b", *[f"{c}_{p}" for p in "ab" for c in ("low", "extra")]).join(
         second.where(~_links(cfg)).select("a", "b", "o"), ["a", "b"])
-    apart = apart.where("followers_a + followers_b > 2").where(
+    apart = apart.where(
         f"(o + extra_a + extra_b) * {cfg.num + cfg.den} >= {cfg.num} * (low_a + low_b)").select("a", "b", "o")
     follower = lambda p: known.select(F.col("leader").alias(p), *[
         F.col(c).alias(f"{c}_{p}") for c in ("cls", "n", "root", "leader_n", "common")])
