@@ -52,7 +52,7 @@ _PATTERN = re.compile(
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?!\w)|(?<!\w)\+\d{7,14}(?!\w))"
     rf"|(?P<name>(?<!\w)(?i:(?P<title>{_WORDS}))\.?\s+(?P<names>{_NAME}(?:[ -]{_NAME}){{0,2}}))")
 #: A text without any of these holds no entity.
-_TRIGGER = re.compile(rf"\d[ .-]?\d|@|(?<!\w)(?i:{_WORDS})\.?\s")
+_TRIGGER = re.compile(rf"\d[ .-]?\d|@|A[KS]IA|(?<!\w)(?i:{_WORDS})\.?\s")
 #: Fewest digits of a phone number.
 PHONE_DIGITS = 7
 
