@@ -1,8 +1,8 @@
 """Personal data replaced by surrogates: keyed, of the same kind, format, script and gender, and distinct.
 
 Entities are found in the texts and counted over the corpus. Each distinct entity gets a surrogate from a keyed stream;
-two entities that draw the same one, or one that exists in the corpus, draw again, until all differ. Every mention of
-an entity then gets its surrogate in the mention's own layout, so mentions of one entity stay mentions of one entity.
+two entities that draw the same one, or one that exists in the corpus, draw again, from wider spaces after a few draws;
+those that still find none get the free values of their format by rank. Every mention of an entity then gets its surrogate in the mention's own layout, so mentions of one entity stay mentions of one entity.
 """
 
 from __future__ import annotations
@@ -10,13 +10,16 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import count
+from math import gcd, prod
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from undercroft.operators.rows import running_totals
 from undercroft.session import stage
 
 # Forms of address and the gender they tell.
@@ -53,15 +56,19 @@ _PATTERN = re.compile(
     rf"|(?P<name>(?<!\w)(?i:(?P<title>{_WORDS}))\.?\s+(?P<names>{_NAME}(?:[ -]{_NAME}){{0,2}}))")
 #: A text without any of these holds no entity.
 _TRIGGER = re.compile(rf"\d[ .-]?\d|@|A[KS]IA|(?<!\w)(?i:{_WORDS})\.?\s")
+#: A round number in groups of thousands, which is no phone number.
+_ROUND = re.compile(r"\d{2,3}([ .])000(?:\1[0]{3})*")
 #: Fewest digits of a phone number.
 PHONE_DIGITS = 7
+#: Draws that keep the nearest form of an entity: zeros of a phone number, lengths of an address's parts.
+_NEAR = 4
 
 
 @dataclass(frozen=True)
 class SurrogateConfig:
     #: The secret that surrogates depend on; another key gives other surrogates.
     key: str
-    #: Draws after which an entity without a free surrogate is an error.
+    #: Draws after which an entity without a free surrogate gets one by rank.
     rounds: int = 64
 
 
@@ -103,7 +110,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             country = re.match(r"\+\d{1,3}[ .-]", value)
             start += country.end() if country else 0
             canonical = re.sub(r"\D", "", text[start:m.end()])
-            if len(canonical) < PHONE_DIGITS:
+            if len(canonical) < PHONE_DIGITS or _ROUND.fullmatch(value):
                 continue
         elif kind in ("card", "iban"):
             canonical = re.sub(r"[ -]", "", value)
@@ -159,6 +166,79 @@ def luhn_digit(digits: str) -> str:
     return str(-total % 10)
 
 
+def _card(body: str, off: int) -> str:
+    return body + str((int(luhn_digit(body)) + off) % 10)
+
+
+def _iban(country: str, body: str) -> str:
+    number = "".join(str(int(c, 36)) for c in body + country + "00")
+    return f"{country}{98 - int(number) % 97:02d}{body}"
+
+
+def _kept(parts: Sequence[str]) -> int:
+    """How many parts of an address stay as they are: those that make it a private one."""
+    return 1 if parts[0] in ("10", "127") else 2 if list(parts[:2]) == ["192", "168"] else 0
+
+
+#: Kinds whose formats hold a bounded number of values; names and mailboxes grow draw by draw.
+_BOUNDED = ("ipv4", "card", "iban", "secret", "ssn", "phone")
+_SECRET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_OCTETS = [str(i) for i in range(256)]
+_PUBLIC = [str(i) for i in range(1, 224) if i not in (10, 127, 172, 192)]
+#: Private addresses by their first two parts, the reserved ones from 240.0 on behind them.
+_PRIVATE = ["192.168", *(f"172.{i}" for i in range(16, 32)), *(f"10.{i}" for i in range(256)),
+            *(f"{a}.{b}" for a in range(240, 256) for b in range(256))]
+
+
+def pool_of(kind: str, canonical: str) -> str:
+    """The widest format of a bounded kind that an entity's surrogate may have. Pools of one kind share no value."""
+    if kind == "ipv4":
+        parts = canonical.split(".")
+        return "127.0.0.0" if parts[0] == "127" else "10.0.0.0" if _kept(parts) else "1.0.0.0"
+    if kind == "card":
+        return "0" * (len(canonical) - 1) + ("0" if luhn_digit(canonical[:-1]) == canonical[-1] else "1")
+    if kind == "secret":
+        return canonical[:4] + "A" * (len(canonical) - 4)
+    shape = "".join("0" if c.isdigit() else "A" if c.isalpha() else c for c in canonical)
+    return canonical[:2] + shape[2:] if kind == "iban" else shape
+
+
+def _places(kind: str, pool: str) -> list[Sequence[str]]:
+    """What can stand at each place of a pool's values, check digits left out."""
+    if kind == "ipv4":
+        first = {"127": [["127"], _OCTETS], "10": [_PRIVATE], "1": [_PUBLIC, _OCTETS]}[pool.split(".")[0]]
+        return [*first, _OCTETS, _OCTETS]
+    if kind == "secret":
+        return [_SECRET] * (len(pool) - 4)
+    free = pool[4:] if kind == "iban" else pool[:-1] if kind == "card" else pool
+    return ["0123456789" if c == "0" else _ALPHABETS["latin"].upper() if c == "A" else c for c in free]
+
+
+def _joined(kind: str, pool: str, chosen: Sequence[str]) -> str:
+    if kind == "ipv4":
+        return ".".join(chosen)
+    body = "".join(chosen)
+    return (pool[:4] + body if kind == "secret" else _iban(pool[:2], body) if kind == "iban"
+            else _card(body, int(pool[-1])) if kind == "card" else body)
+
+
+def members(key: str, kind: str, pool: str, ranks: Sequence[int]) -> list[str | None]:
+    """Values of a pool by rank in a keyed order that holds each of them once; none from the pool's size on."""
+    places = _places(kind, pool)
+    size, draw = prod(map(len, places)), Stream(key, "order", f"{kind}\0{pool}", 0)
+    start, step = draw.below(size), 1 + draw.below(size)
+    while gcd(step, size) > 1:
+        step = 1 + draw.below(size)
+    out: list[str | None] = []
+    for i in ranks:
+        at, chosen = (start + i * step) % size, []
+        for p in reversed(places):
+            at, digit = divmod(at, len(p))
+            chosen.append(p[digit])
+        out.append(_joined(kind, pool, chosen[::-1]) if i < size else None)
+    return out
+
+
 def surrogate(key: str, kind: str, canonical: str, turn: int) -> str:
     """The canonical form of the surrogate that an entity draws in its turn-th draw."""
     draw = Stream(key, kind, canonical, turn)
@@ -167,26 +247,28 @@ def surrogate(key: str, kind: str, canonical: str, turn: int) -> str:
         labels = domain.split(".")
         # Mailboxes of one domain stay at one domain.
         moved = ".".join([*(Stream(key, "label", x, 0).like(x) for x in labels[:-1]), labels[-1]])
-        return f"{draw.like(local)}@{moved}"
+        # Like names, locals grow draw by draw.
+        grown = "".join(_ALPHABETS["latin"][draw.below(26)] for _ in range(turn // _NEAR))
+        return f"{draw.like(local)}{grown}@{moved}"
     if kind == "ipv4":
         parts = canonical.split(".")
-        keep = 1 if parts[0] in ("10", "127") else 2 if parts[:2] == ["192", "168"] else 0
+        keep = _kept(parts)
+        if turn >= _NEAR:
+            first = parts[:keep] or [_PUBLIC[draw.below(len(_PUBLIC))]]
+            return ".".join([*first, *(_OCTETS[draw.below(256)] for _ in parts[len(first):])])
         ranges = {1: (1, 9), 2: (10, 89), 3: (100, 155)}
         return ".".join([*parts[:keep], *(str(ranges[len(p)][0] + draw.below(ranges[len(p)][1])) for p in parts[keep:])])
     if kind == "card":
         body = canonical[0] + draw.like(canonical[1:-1])
-        check = luhn_digit(body)
-        if luhn_digit(canonical[:-1]) != canonical[-1]:  # no valid number becomes none
-            check = str((int(check) + 1 + draw.below(9)) % 10)
-        return body + check
+        # No valid number becomes none.
+        return _card(body, 0 if luhn_digit(canonical[:-1]) == canonical[-1] else 1 + draw.below(9))
     if kind == "iban":
-        body = draw.like(canonical[4:])
-        number = "".join(str(int(c, 36)) for c in body + canonical[:2] + "00")
-        return f"{canonical[:2]}{98 - int(number) % 97:02d}{body}"
+        return _iban(canonical[:2], draw.like(canonical[4:]))
     if kind == "secret":
-        letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-        return canonical[:4] + "".join(letters[draw.below(32)] for _ in canonical[4:])
+        return canonical[:4] + "".join(_SECRET[draw.below(32)] for _ in canonical[4:])
     if kind == "phone":
+        if turn >= _NEAR:
+            return canonical[0] + "".join(str(draw.below(10)) for _ in canonical[1:])
         return canonical[0] + "".join("0" if c == "0" else str(1 + draw.below(9)) for c in canonical[1:])
     if kind.startswith("given") or kind == "surname":
         script, gender = script_of(canonical), kind.partition(":")[2] or "n"
@@ -229,15 +311,65 @@ def _drawn(key: str):
     return run
 
 
+def _pools(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pools = [pool_of(*r) for r in zip(*(batch.column(i).to_pylist() for i in range(2)))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pools, pa.string())], ["kind", "canonical", "pool"])
+
+
+def _members(key: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, pools, ranks = (batch.column(i).to_pylist() for i in range(3))
+            wanted: dict[tuple, list[int]] = {}
+            for at, pool in enumerate(zip(kinds, pools)):
+                wanted.setdefault(pool, []).append(at)
+            values: list[str | None] = [None] * len(ranks)
+            for pool, places in wanted.items():
+                for at, value in zip(places, members(key, *pool, [ranks[i] for i in places])):
+                    values[at] = value
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.string())], ["kind", "pool", "i", "surrogate"])
+    return run
+
+
+def _by_rank(waiting: DataFrame, real: DataFrame, done: DataFrame | None, cfg: SurrogateConfig) -> DataFrame:
+    """(space, kind, canonical, surrogate) of the waiting entities of bounded kinds: ranked ones get ranked free values.
+
+    Of a pool's values so many are looked at as could be taken, and one more for each that waits.
+    """
+    pooled = stage(waiting.mapInArrow(_pools, "kind string, canonical string, pool string"), "pii-pools")
+    taken = real if done is None else real.unionAll(done.select("space", "surrogate"))
+    counts = taken.groupBy(F.col("space").alias("kind")).agg(F.count(F.lit(1)).alias("taken"))
+    most = pooled.groupBy("kind", "pool").agg(F.count(F.lit(1)).alias("n")).join(counts, "kind").select(
+        "kind", "pool", (F.col("n") + F.col("taken")).alias("most"))
+    parts = most.select("kind", "pool", "most", F.explode(F.expr("sequence(0L, (most - 1) div 65536)")).alias("part")).repartition("kind", "pool", "part")
+    tried = parts.select("kind", "pool", F.explode(F.expr("sequence(part * 65536, least(part * 65536 + 65535, most - 1))")).alias("i"))
+    tried = tried.mapInArrow(_members(cfg.key), "kind string, pool string, i long, surrogate string").where("surrogate is not null")
+    free = tried.join(taken.select(F.col("space").alias("kind"), "surrogate"), ["kind", "surrogate"], "left_anti")
+    place = {"place": F.lit(1).cast("long")}
+    free = running_totals(free, ["kind", "pool"], [F.col("i")], place, "pii-free")
+    ranked = running_totals(pooled, ["kind", "pool"], [F.col("canonical")], place, "pii-ranked")
+    found = ranked.join(free, ["kind", "pool", "place"]).select(F.col("kind").alias("space"), "kind", "canonical", "surrogate")
+    found = stage(found, "pii-placed")
+    if not waiting.join(found, ["kind", "canonical"], "left_anti").isEmpty():
+        raise RuntimeError("a format has fewer free values than entities")
+    return found
+
+
 def assign(known: DataFrame, cfg: SurrogateConfig) -> DataFrame:
     """(kind, canonical, surrogate): distinct surrogates for distinct entities, none of them an entity of the corpus.
 
-    Words of names share one space, so a given name and a surname never become the same word.
+    Words of names share one space, so a given name and a surname never become the same word. Only a corpus that holds
+    more entities of a format than the format has other values is an error, as no such table exists.
     """
     space = lambda c: F.when(F.col(c).startswith("given") | (F.col(c) == "surname"), "name").otherwise(F.col(c))
     real = stage(known.select(space("kind").alias("space"), F.col("canonical").alias("surrogate")).distinct(), "pii-real")
     waiting, done = known.select("kind", "canonical"), None
-    for turn in range(cfg.rounds):
+    for turn in count():
+        if turn == cfg.rounds:
+            bounded = F.col("kind").isin(*_BOUNDED)
+            placed = _by_rank(waiting.where(bounded), real, done, cfg)
+            done, waiting = placed if done is None else done.unionAll(placed), waiting.where(~bounded)
         drawn = waiting.select("kind", "canonical", F.lit(turn).alias("turn")).mapInArrow(
             _drawn(cfg.key), "kind string, canonical string, turn int, surrogate string")
         drawn = drawn.select("kind", "canonical", "surrogate", space("kind").alias("space"))
@@ -251,7 +383,6 @@ def assign(known: DataFrame, cfg: SurrogateConfig) -> DataFrame:
         waiting = stage(waiting.join(won, ["kind", "canonical"], "left_anti"), "pii-waiting")
         if waiting.isEmpty():
             return done.select("kind", "canonical", "surrogate")
-    raise RuntimeError("some entities found no free surrogate")
 
 
 def _replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
