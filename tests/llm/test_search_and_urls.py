@@ -143,5 +143,20 @@ def test_link_graph(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_distrust_reaches_the_end_of_a_chain(spark):
+    n = 24
+    pages = [(i, f"http://h{i}.net/x", f'<a href="http://{"h%d.net" % (i + 1) if i < n else "com"}/de/">x</a>', "", 0.0) for i in range(n + 1)]
+    pages.append((n + 1, "http://com/de/", "", "", 0.0))
+    got = urlgraph.judge_pages(spark.createDataFrame(pages, PAGES), RULES, GraphConfig(settled=0.05)).collect()
+    assert all(r["verdict"] == "block" and r["distrust"] > 0 for r in got) and len(got) == n + 2
+
+
+def test_ranks_that_do_not_settle_are_a_fault(spark):
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, n long")
+    seeds = spark.createDataFrame([("a", 1.0), ("b", 0.0)], "host string, seed double")
+    with pytest.raises(RuntimeError):
+        urlgraph.spread(edges, seeds, GraphConfig(rounds=2), "fault")
+
+
 def test_no_pages(spark):
     assert urlgraph.judge_pages(spark.createDataFrame([], PAGES), RULES).count() == 0

@@ -30,7 +30,9 @@ class Rule:
 @dataclass(frozen=True)
 class GraphConfig:
     damping: float = 0.85
-    rounds: int = 20
+    #: Rounds without a newly reached host after which ranks that have not settled are a fault. The change falls by
+    #: `damping` a round at least, which makes about 90 rounds for the values here.
+    rounds: int = 200
     #: The total change under which the ranks count as settled.
     settled: float = 1e-6
     #: A host is blocked when its share of distrust in trust plus distrust is above this.
@@ -79,7 +81,8 @@ def spread(edges: DataFrame, seeds: DataFrame, cfg: GraphConfig, tag: str) -> Da
     """Personalised PageRank: (host, score). `edges` (src, dst, n), `seeds` (host, seed) with non-negative seeds.
 
     Rank flows along edges in proportion to n, with `1 - damping` of it returning to the seeds; rank of hosts without
-    links returns to the seeds as well, so scores sum to one. Seeds that sum to zero give zero scores.
+    links returns to the seeds as well, so scores sum to one. Seeds that sum to zero give zero scores. Rounds go on until
+    the change is under `settled` and no further host is reached, so a host at the end of a long chain has its rank.
     """
     total = seeds.agg(F.coalesce(F.sum("seed"), F.lit(0.0))).first()[0]
     nodes = seeds.select("host", (F.col("seed") / F.lit(total) if total else F.lit(0.0)).alias("seed"))
@@ -88,7 +91,8 @@ def spread(edges: DataFrame, seeds: DataFrame, cfg: GraphConfig, tag: str) -> Da
     ranks = stage(nodes.withColumn("score", F.col("seed")), f"{tag}-r")
     if not total or weights.isEmpty():
         return ranks.select("host", "score")
-    for _ in range(cfg.rounds):
+    reached = idle = 0
+    while idle <= cfg.rounds:
         flow = (weights.join(ranks.select(F.col("host").alias("src"), "score"), "src")
                 .groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("share")).alias("flow")))
         moved = ranks.join(flow, "host", "left").select(
@@ -98,10 +102,13 @@ def spread(edges: DataFrame, seeds: DataFrame, cfg: GraphConfig, tag: str) -> Da
         lost = 1.0 - (moved.agg(F.sum("flow")).first()[0] or 0.0)
         back = F.lit(1.0 - cfg.damping + cfg.damping * lost)
         ranks = moved.withColumn("score", F.col("flow") * cfg.damping + F.col("seed") * back)
-        if ranks.agg(F.sum(F.abs(F.col("score") - F.col("before")))).first()[0] < cfg.settled:
-            break
+        change, now = ranks.agg(F.sum(F.abs(F.col("score") - F.col("before"))), F.count_if(F.col("score") > 0)).first()
+        idle = 0 if now > reached else idle + 1
+        reached = max(now, reached)
+        if change < cfg.settled and idle:
+            return ranks.select("host", "score")
         ranks = ranks.select("host", "seed", "score")
-    return ranks.select("host", "score")
+    raise RuntimeError("ranks did not settle")
 
 
 def judge_pages(pages: DataFrame, rules: Sequence[Rule], cfg: GraphConfig = GraphConfig()) -> DataFrame:
