@@ -15,11 +15,14 @@ from undercroft.llm import (
     line_dedup,
     maxscore,
     packing,
+    resampling,
     suffix_dedup,
     surrogates,
     token_tree,
     toxicity,
     urlgraph,
+    vafile,
+    weak_rules,
 )
 from undercroft.llm.common import table
 
@@ -122,6 +125,21 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("doc_id", "n_entities", "text")
 
 
+@query("op11_va_file_centroids")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_importance_resampling")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_quality_weak_supervision")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_rules.judge(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
