@@ -148,8 +148,9 @@ class WordDictionary:
             others = [self._other(text[due[g] + 1:starts[g]]) for g in gaps]
             places = np.repeat(gaps, [len(o) for o in others])
             flat = [p for o in others for p in o]
-            yield tuple(np.insert(c, places, np.array([p[i] for p in flat], dtype=c.dtype))
-                        for i, c in enumerate(columns))
+            columns = [np.insert(c, places, np.array([p[i] for p in flat], dtype=c.dtype)) for i, c in enumerate(columns)]
+            for at in range(0, len(columns[0]), SLICE):
+                yield tuple(c[at:at + SLICE] for c in columns)
 
 
 _built: dict[str, WordDictionary] = {}
