@@ -96,7 +96,7 @@ def test_batch_jobs_end_to_end(spark, landing, tmp_path):
     assert jobs.build_dataset(spark, events, channels, None, out, SMALL) == [2023, 2024]
     assert jobs.build_dataset(spark, events, channels, None, out, SMALL) == []
     assert jobs.build_dataset(spark, events, channels, None, out, SMALL, years=[2024], force=True) == [2024]
-    summary = {r["year"]: r for r in spark.read.parquet(f"{out}/summary").collect()}
+    summary = {r["year"]: r for r in tables.read_table(spark, f"{out}/summary").collect()}
     assert set(summary) == {2023, 2024} and summary[2023]["n_rows"] == 25 and summary[2024]["n_rows"] == 49
     assert spark.read.parquet(f"{out}/features").count() == 74
 
@@ -107,16 +107,16 @@ def test_upload_and_bootstrap(spark, landing, tmp_path):
         (1, 10, 1, "", "yes", f" {smoke} "), (2, 11, 1, "01:00:00", "f", "5"), (1, 10, 2, "00:00:00", "t", smoke)]), encoding="utf-8")
     house = str(tmp_path / "house")
     assert jobs.import_bootstrap(spark, str(landing), house) == {"objects": 3, "channels": 3, "journal": 3}
-    objects = {r["id"]: r["parent_id"] for r in spark.read.parquet(f"{house}/objects").collect()}
+    objects = {r["id"]: r["parent_id"] for r in tables.read_table(spark, f"{house}/objects").collect()}
     assert objects == {1: None, 2: 1, 3: None}
-    channels = {r["id"]: (r["object_id"], r["picket"]) for r in spark.read.parquet(f"{house}/channels").collect()}
+    channels = {r["id"]: (r["object_id"], r["picket"]) for r in tables.read_table(spark, f"{house}/channels").collect()}
     assert channels == {10: (3, "1+2"), 11: (3, "5"), 12: (None, None)}
     jobs.import_files(spark, [str(landing / "journal.csv")], house)
     alarms = spark.read.parquet(f"{house}/events_alarm").collect()
     assert [(r["event_id"], r["event_ts"], r["value_cat"]) for r in alarms] == [(1, dt.datetime(2024, 1, 1), smoke)]
     (landing / "objects2.csv").write_text(OBJECTS + "2,2,,controlHouse,Новое имя\n", encoding="utf-8")
     jobs.import_files(spark, [str(landing / "objects2.csv")], house, "objects")
-    names = {r["id"]: r["name"] for r in spark.read.parquet(f"{house}/objects").collect()}
+    names = {r["id"]: r["name"] for r in tables.read_table(spark, f"{house}/objects").collect()}
     assert names[2] == "Новое имя" and len(names) == 3
 
 

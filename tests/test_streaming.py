@@ -68,7 +68,8 @@ def test_failure_stream_remembers_across_batches(spark, tmp_path, three_days, ch
 
 def test_guard_state_stream(spark, tmp_path):
     events = events_frame(spark, [(1, at(1), False, None, "На охране"), (1, at(5), False, None, "Снято с охраны"),
-                                  (1, at(3), False, None, "На охране"), (2, at(2), False, None, "На охране")])
+                                  (1, at(3), False, None, "На охране"), (2, at(2), False, None, "На охране"),
+                                  (2, at(2.5), False, None, "Снято с охраны")])
     folder = str(tmp_path / "in")
     write_parts(events, folder, [F.col("event_id") < 2, F.col("event_id") >= 2])
     guards = channels_frame(spark, [(1, "Состояние охраны", "x", 1), (2, "Состояние охраны", "x", 2)])

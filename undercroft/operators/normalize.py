@@ -53,6 +53,7 @@ def clean_objects(raw: DataFrame) -> DataFrame:
         values.to_long(F.col("parent_id").cast("string")).alias("parent_id"),
         "kind",
         "name",
+        *[c for c in ("_position",) if c in raw.columns],
     )
     return keep_known(typed, "parent_id", typed.select("id"))
 
@@ -77,5 +78,6 @@ def clean_channels(raw: DataFrame, objects: DataFrame | None = None, mode: str =
         text("name"),
         values.to_long(F.col("object_id").cast("string")).alias("object_id"),
         picket(F.col("name")).alias("picket"),
+        *[c for c in ("_position",) if c in raw.columns],
     )
     return typed if objects is None else keep_known(typed, "object_id", objects.select("id"))

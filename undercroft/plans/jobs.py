@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -11,7 +12,7 @@ from undercroft import schemas
 from undercroft.config import RiskConfig
 from undercroft.operators import marts, profiling
 from undercroft.operators.normalize import clean_channels, clean_objects, normalize_events, uploaded_alarms
-from undercroft.operators.rows import upsert_latest
+from undercroft.operators.rows import first_per_key, upsert_latest
 from undercroft.plans import alarm_store
 from undercroft.plans.panel import build_panel
 from undercroft.session import stage
@@ -38,11 +39,13 @@ def journals_to_parquet(
 
 
 def load_dimensions(spark: SparkSession, objects_csv: str, channels_csv: str, warehouse: str) -> None:
-    """Objects and channels, truncate and load."""
-    _, objects = files.read_kind(spark, [objects_csv], "objects")
-    tables.write_table(clean_objects(objects).orderBy("level", "id"), f"{warehouse}/objects")
-    _, channels = files.read_kind(spark, [channels_csv], "channels")
-    tables.write_table(clean_channels(channels), f"{warehouse}/channels")
+    """Objects and channels, truncate and load. Lines that do not fit their header go to `dimension_rejects`, by file."""
+    _, objects, bad_objects = files.read_with_rejects(spark, [objects_csv], "objects")
+    _, channels, bad_channels = files.read_with_rejects(spark, [channels_csv], "channels")
+    tables.write_table(clean_objects(objects.drop(files.POSITION)).orderBy("level", "id"), f"{warehouse}/objects")
+    tables.write_table(clean_channels(channels.drop(files.POSITION)), f"{warehouse}/channels")
+    rejects = bad_objects.unionByName(bad_channels).withColumnRenamed("_file", "file")
+    tables.write_table(rejects, f"{warehouse}/dimension_rejects", ["file"], only_written=False)
 
 
 def load_marts(spark: SparkSession, events_path: str, warehouse: str, cfg: RiskConfig) -> None:
@@ -54,45 +57,72 @@ def load_marts(spark: SparkSession, events_path: str, warehouse: str, cfg: RiskC
     tables.write_table(hours.hint("rebalance", "day"), f"{warehouse}/events_hourly", ["day"], only_written=False)
 
 
+def _last_lines(rows: DataFrame) -> DataFrame:
+    """The last line of each id in an upload: files by path, lines by their place."""
+    return first_per_key(rows, ["id"], [F.desc(files.POSITION)]).drop(files.POSITION)
+
+
 def import_files(spark: SparkSession, paths: Sequence[str], warehouse: str, kind: str | None = None) -> tuple[str, int]:
     """Uploads files of one kind into the warehouse: upsert for dimensions, insert-if-new for alarms.
 
     Returns the kind and the number of rows read.
     """
-    resolved, raw, rejects = files.read_with_rejects(spark, paths, kind, trim=True)
+    headers = files.read_headers(spark, paths)
+    kinds = {kind or files.detect_kind(h) for h in headers}
+    if len(kinds) != 1:
+        raise ValueError(f"files of several kinds: {sorted(kinds)}" if kinds else "no files to read")
+    resolved = kinds.pop()
+    return resolved, import_group(spark, headers, warehouse, resolved)
+
+
+def import_group(
+    spark: SparkSession, headers: dict[tuple[str, ...], list[str]], warehouse: str, kind: str
+) -> int:
+    """`import_files` for files whose headers are known; returns the number of rows read.
+
+    Of the lines of one upload that share an id the last one counts. Lines that do not fit their header go to
+    `rejected_lines`, by file and upload, beside those of earlier uploads of files of the same name.
+    """
+    raw, rejects = files.read_group(spark, headers, kind, trim=True)
     # Counted while the rows are read for the first time, not by a read of its own.
     seen = Observation()
     raw = stage(raw.observe(seen, F.count(F.lit(1)).alias("n")), "upload")
     n_read = seen.get["n"]
-    tables.write_table(rejects.withColumnRenamed("_file", "file"), f"{warehouse}/rejected_lines", ["file"])
-    if resolved == "objects":
+    rejects = rejects.withColumnRenamed("_file", "file").withColumn("upload", F.lit(uuid.uuid4().hex))
+    tables.write_table(rejects, f"{warehouse}/rejected_lines", ["file", "upload"], mode="append")
+    if kind == "objects":
         stored = tables.read_table(spark, f"{warehouse}/objects", schemas.OBJECTS)
-        merged = upsert_latest(stored, clean_objects(raw), ["id"], [F.desc("name")])
+        merged = upsert_latest(stored, _last_lines(clean_objects(raw)), ["id"], [F.desc("name")])
         tables.replace_table(merged, f"{warehouse}/objects")
-    elif resolved == "channels":
+    elif kind == "channels":
         objects = tables.read_table(spark, f"{warehouse}/objects", schemas.OBJECTS)
         stored = tables.read_table(spark, f"{warehouse}/channels", schemas.CHANNELS)
-        merged = upsert_latest(stored, clean_channels(raw, objects, "lenient"), ["id"], [F.desc("name")])
+        merged = upsert_latest(stored, _last_lines(clean_channels(raw, objects, "lenient")), ["id"], [F.desc("name")])
         tables.replace_table(merged, f"{warehouse}/channels")
-    elif resolved == "journal":
+    elif kind == "journal":
         alarms = uploaded_alarms(raw).select(*marts.ALARM_COLUMNS)
-        fresh = stage(alarm_store.new_alarms(alarms, warehouse, alarm_store.BULK, appending=True), "upload")
-        alarm_store.append_alarms(fresh, warehouse)
+        alarm_store.upload_alarms(alarms, warehouse)
     else:
-        raise ValueError(f"unknown kind {resolved!r}")
-    return resolved, n_read
+        raise ValueError(f"unknown kind {kind!r}")
+    return n_read
 
 
 def import_bootstrap(spark: SparkSession, folder: str, warehouse: str) -> dict[str, int]:
-    """Everything in a landing folder, in dependency order: objects, channels, journal."""
-    routed = files.route_files(spark, files.list_files(spark, folder))
+    """Everything in a landing folder, in dependency order: objects, channels, journal. One job reads all headers."""
+    routed = files.route_folder(spark, folder)
     return {
-        kind: import_files(spark, routed[kind], warehouse, kind)[1]
+        kind: import_group(spark, routed[kind], warehouse, kind)
         for kind in ("objects", "channels", "journal")
         if kind in routed
     }
 
 
+def compact_alarms(spark: SparkSession, warehouse: str, keep: int = 100) -> int:
+    """Merges the mart's folders of all but the newest `keep` batches day by day; returns the days rewritten."""
+    newest = max(alarm_store.stored_batches(spark, warehouse), default=-1)
+    return alarm_store.compact_days(spark, warehouse, newest - keep + 1)
+
+
 def build_dataset(
     spark: SparkSession, events_path: str, channels: DataFrame, weather: DataFrame | None, target: str,
     cfg: RiskConfig, years: Sequence[int] | None = None, force: bool = False,

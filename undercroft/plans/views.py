@@ -210,7 +210,3 @@ def model_table(metrics: DataFrame, effective: DataFrame, calibration: DataFrame
 def ticket_list(tickets: DataFrame, status: str | None = None, limit: int = 50) -> DataFrame:
     rows = tickets.filter(F.col("status") == status) if status else tickets
     return rows.orderBy(F.desc("id")).limit(limit)
-
-
-def audit_list(audit: DataFrame, limit: int = 50) -> DataFrame:
-    return audit.orderBy(F.desc("id")).limit(limit)

@@ -1,4 +1,4 @@
-"""Parquet tables: partitioned writes, skipping what is there, versions for mutable tables."""
+"""Parquet tables: partitioned writes, skipping what is there, replacing a table in one step."""
 
 from __future__ import annotations
 
@@ -9,11 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from undercroft.sources import snapshots
+
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """A table, or an empty one of the given schema when nothing was written yet."""
+    """A table as it is now, or an empty one of the given schema when nothing was written yet.
+
+    The frame stays with the version that is current at the call, also while the table is replaced.
+    """
+    root = snapshots.current_root(spark, path)
     try:
-        return spark.read.parquet(path) if schema is None else spark.read.schema(schema).parquet(path)
+        return spark.read.parquet(root) if schema is None else spark.read.schema(schema).parquet(root)
     except AnalysisException as error:
         if schema is None or "PATH_NOT_FOUND" not in str(error):
             raise
@@ -31,41 +37,17 @@ def write_table(
     writer.parquet(path)
 
 
-def _folder(spark: SparkSession, path: str):
-    """The Hadoop file system and path object of a folder, wherever it lies."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
-
-
 def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Replaces a table by rows that may be computed from it: a new version is written beside it, then takes its place.
+    """Replaces a table by rows that may be computed from it, in one step: readers see the old rows or the new ones.
 
-    If the swap is cut short, the old version lies in `<path>__old`; the next call brings it back first.
+    Fails with `snapshots.ReplacedByAnother`, and changes nothing, if the table was replaced in the meantime.
     """
-    spark = df.sparkSession
-    restore_table(spark, path)
-    fs, target = _folder(spark, path)
-    _, old = _folder(spark, f"{path}__old")
-    _, new = _folder(spark, f"{path}__new")
-    write_table(df, f"{path}__new", partition_by, only_written=False)
-    if fs.exists(target):
-        fs.delete(old, True)
-        fs.rename(target, old)
-    fs.rename(new, target)
-    fs.delete(old, True)
-
-
-def restore_table(spark: SparkSession, path: str) -> None:
-    """Ends a swap that was cut short: without the table itself its old version is the table."""
-    fs, target = _folder(spark, path)
-    _, old = _folder(spark, f"{path}__old")
-    if not fs.exists(target) and fs.exists(old):
-        fs.rename(old, target)
+    snapshots.publish(df.sparkSession, path, lambda draft: write_table(df, draft, partition_by, only_written=False))
 
 
 def partition_values(spark: SparkSession, path: str, column: str) -> list[str]:
     """Values of the first partition column, read from the names of the folders; no file is opened."""
-    fs, target = _folder(spark, path)
+    fs, target = snapshots.folder(spark, path)
     if not fs.exists(target):
         return []
     names = [status.getPath().getName() for status in fs.listStatus(target) if status.isDirectory()]

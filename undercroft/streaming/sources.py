@@ -23,22 +23,34 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, max_files:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
+def _wire(lines: DataFrame) -> DataFrame:
+    """Lines `{"events": [...]}` as one row an event, with `_place`: a number that stands for the event's file, line and
+    place in the line. The same line twice in a file is the same batch sent twice."""
+    parsed = lines.select("value", F.col("_metadata.file_path").alias("_file"), F.from_json("value", WIRE_BATCH).alias("_batch"))
+    events = parsed.select("_file", "value", F.posexplode("_batch.events").alias("_at", "_event"))
+    return events.select("_event.*", hashed_id(F.col("_file"), F.col("value"), F.col("_at")).alias("_place"))
+
+
 def wire_stream(spark: SparkSession, folder: str, max_files: int = 100) -> DataFrame:
     """JSON batches `{"events": [...]}`, one per line, as rows."""
-    batches = spark.readStream.schema(WIRE_BATCH).option("maxFilesPerTrigger", max_files).json(folder)
-    return batches.select(F.inline("events"))
+    return _wire(spark.readStream.option("maxFilesPerTrigger", max_files).text(folder))
+
+
+def wire_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The JSON batches that lie in a folder, as rows."""
+    return _wire(spark.read.text(folder))
 
 
 def wire_alarms(rows: DataFrame) -> DataFrame:
-    """Wire rows -> alarms: the alarm flag defaults to true, a missing time is now, a missing id comes from the
-    content, so that a replayed batch gets the same ids. A row without time cannot be recognised on replay."""
+    """Wire rows -> alarms: the alarm flag defaults to true, a missing time is now, and a missing id comes from the
+    content, or from the event's place where the time is missing as well, so that a replay gets the same ids."""
     now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()).cast("timestamp_ntz")
-    value = F.col("value")
+    value, time = F.col("value"), F.col("event_ts")
+    made = F.when(time.isNotNull(), hashed_id(F.col("channel_id"), time, value)).otherwise(F.col("_place"))
     typed = (
         rows.filter(F.coalesce("alarm", F.lit(True)))
-        .withColumn("event_ts", F.coalesce("event_ts", now))
-        .withColumn("event_id", F.coalesce(
-            F.nullif("event_id", F.lit(0)), hashed_id(F.col("channel_id"), F.col("event_ts"), value)))
+        .withColumn("event_id", F.coalesce(F.nullif("event_id", F.lit(0)), made))
+        .withColumn("event_ts", F.coalesce(time, now))
         .withColumn("value_num", values.to_number(value, "lenient"))
     )
     return typed.select(

@@ -1,4 +1,4 @@
-"""Event-time aggregates kept by the stream: hourly mart, rolling day counts, last guard state."""
+"""Event-time aggregates kept by the stream: hourly mart, rolling day counts, guard state of the newest hour."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from undercroft.config import RISKS, RiskConfig
+from undercroft.functions.calendar import hour_number, hour_timestamp
 from undercroft.functions.rules import event_flags
 from undercroft.streaming.sources import TIME
 
@@ -63,12 +64,12 @@ def rolling_stream(events: DataFrame, channels: DataFrame, cfg: RiskConfig, late
 
 
 def guard_stream(events: DataFrame, channels: DataFrame, cfg: RiskConfig) -> DataFrame:
-    """Last known guard state per object, in update mode: one small state row per object.
+    """Guard state per object in the newest hour that tells one, in update mode: one small state row per object.
 
-    States of one instant count as on when any of them is on.
+    The object counts as guarded if it was at any time of that hour, as in the panel.
     """
     guards = _typed(events, channels).filter(F.col("sensor_type") == cfg.guard_type)
     on = event_flags(cfg)["guard_set"].cast("int")
-    return guards.groupBy("object_id").agg(
-        F.max(F.struct(F.col("event_ts"), on.alias("guard_on"))).alias("s")
-    ).select("object_id", "s.event_ts", "s.guard_on")
+    hour = hour_number(F.col("event_ts"))
+    return guards.groupBy("object_id").agg(F.max(F.struct(hour.alias("hour_no"), on.alias("guard_on"))).alias("s")).select(
+        "object_id", hour_timestamp(F.col("s.hour_no")).alias("hour_ts"), "s.guard_on")

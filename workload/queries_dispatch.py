@@ -9,6 +9,7 @@ from undercroft.operators import alarm_risk, audit, feedback, hierarchy, marts,
 from undercroft.plans import alarm_store, dispatch_jobs, views
 from undercroft.session import fresh_path
 from undercroft.sources import documents, files
+from undercroft.sources.tables import read_table
 from workload.binding import CONFIG, Tables
 from workload.oracles import case_of, rd
 from workload.registry import query
@@ -630,7 +631,7 @@ def decision_job(t: Tables):
     house = fresh_path(t.spark, "house")
     t.predictions.write.parquet(f"{house}/predictions")
     dispatch_jobs.decision_job(t.spark, house, decisions(t))
-    rows = t.spark.read.parquet(f"{house}/predictions").select("id", "risk_type", "status")
+    rows = read_table(t.spark, f"{house}/predictions").select("id", "risk_type", "status")
     counts = [t.spark.read.parquet(f"{house}/{n}").agg(F.count(F.lit(1))).scalar().alias(f"n_{n}") for n in ("feedback", "audit")]
     return rows.select("*", *counts)
 
@@ -646,7 +647,7 @@ def rule_job(t: Tables):
     t.predictions.write.parquet(f"{house}/predictions")
     alarm_store.load_alarms(alarms(t), house)
     dispatch_jobs.rule_job(t.spark, house, channels(t), CONFIG, F.lit("2024-01-01").cast("timestamp_ntz"))
-    return t.spark.read.parquet(f"{house}/predictions").select(*_KEPT.split(", "))
+    return read_table(t.spark, f"{house}/predictions").select(*_KEPT.split(", "))
 
 
 @query("calibration_job", "SELECT * FROM o_calibrated")
@@ -655,4 +656,4 @@ def calibration_job(t: Tables):
     t.predictions.write.parquet(f"{house}/predictions")
     t.feedback.write.parquet(f"{house}/feedback")
     dispatch_jobs.calibration_job(t.spark, house)
-    return t.spark.read.parquet(f"{house}/calibration")
+    return read_table(t.spark, f"{house}/calibration")

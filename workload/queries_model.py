@@ -8,6 +8,7 @@ from undercroft.config import RISKS
 from undercroft.operators import curve, feedback
 from undercroft.plans import model, model_jobs
 from undercroft.session import fresh_path, stage
+from undercroft.sources.tables import read_table
 from workload.binding import CONFIG, Tables
 from workload.queries_panel import full_panel
 from workload.registry import query
@@ -82,5 +83,5 @@ def predict_job(t: Tables):
     model_jobs.train_job(panel, f"{house}/models", CONFIG, SMALL)
     t.predictions.write.parquet(f"{house}/predictions")
     model_jobs.predict_job(t.spark, panel, f"{house}/models", house, CONFIG, F.lit("2024-02-01").cast("timestamp_ntz"))
-    stored = t.spark.read.parquet(f"{house}/predictions")
+    stored = read_table(t.spark, f"{house}/predictions")
     return stored.filter("status <> 'open'").select("id", "status", "source")
