@@ -15,7 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice
 
 import ahocorasick
 import numpy as np
@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from undercroft.session import stage
 
 _BREAK = re.compile(rb"[^0-9a-z\x80-\xff]+")
-#: Words that a task composes at a time.
+#: Words that a task composes at a time, and bytes of short texts that it scans together.
 SLICE = 200_000
+STRETCH = 1_000_000
 #: Distinct words that a task counts or remembers at a time.
 MEMO = 200_000
 #: Rows of a ranking task, about.
@@ -120,8 +121,8 @@ class WordDictionary:
             found.append(known)
         return found
 
-    def scan(self, data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Payloads of all words of a normal text in order, in slices: (crc, spaced, size).
+    def scan(self, data: bytes) -> Iterator[tuple[np.ndarray, ...]]:
+        """Payloads of all words of a normal text in order, in slices: (crc, spaced, size, place of the word's end).
 
         An entry's match begins at the delimiter where the one before ended; where it does not, words that are no
         entries stand between, and theirs are put in their place.
@@ -132,25 +133,28 @@ class WordDictionary:
         matches = self.automaton.iter(text) if len(self.size) else iter(())
         reached, last = 0, len(text) - 1
         while reached < last:
-            part = list(islice(matches, SLICE))
-            ends = np.array([m[0] for m in part], dtype=np.int64)
-            ids = np.array([m[1] for m in part], dtype=np.int64)
+            found = np.fromiter(chain.from_iterable(islice(matches, SLICE)), np.int64).reshape(-1, 2)
+            ends, ids = found[:, 0], found[:, 1]
+            whole = len(ends) < SLICE
             starts = ends - self.size[ids] - 1
             due = np.append(reached, ends)
-            if len(part) < SLICE:
+            if whole:
                 starts = np.append(starts, last)
             gaps = np.flatnonzero(starts != due[:len(starts)])
-            columns = self.crc[ids], self.spaced[ids], self.size[ids]
-            reached = last if len(part) < SLICE else int(ends[-1])
-            if not len(gaps):
-                yield columns
-                continue
-            others = [self._other(text[due[g] + 1:starts[g]]) for g in gaps]
-            places = np.repeat(gaps, [len(o) for o in others])
-            flat = [p for o in others for p in o]
-            columns = [np.insert(c, places, np.array([p[i] for p in flat], dtype=c.dtype)) for i, c in enumerate(columns)]
-            for at in range(0, len(columns[0]), SLICE):
-                yield tuple(c[at:at + SLICE] for c in columns)
+            columns = [self.crc[ids], self.spaced[ids], self.size[ids], ends]
+            reached = last if whole else int(ends[-1])
+            if len(gaps):
+                others = [self._other(text[d + 1:s]) for d, s in zip(due[gaps].tolist(), starts[gaps].tolist())]
+                counts = np.fromiter(map(len, others), np.int64, len(others))
+                flat = np.fromiter(chain.from_iterable(chain.from_iterable(others)), np.int64).reshape(-1, 3)
+                # Ends follow from the sizes: words and single delimiters fill a gap.
+                behind = np.cumsum(flat[:, 2] + 1)
+                before = np.append(0, behind)[np.cumsum(counts) - counts]
+                place = np.repeat(due[gaps] - before, counts) + behind
+                at = np.repeat(gaps, counts)
+                columns = [np.insert(c, at, x.astype(c.dtype)) for c, x in zip(columns, [*flat.T, place])]
+            for i in range(0, len(columns[0]), SLICE):
+                yield tuple(c[i:i + SLICE] for c in columns)
 
 
 _built: dict[str, WordDictionary] = {}
@@ -178,32 +182,40 @@ def compose(crc: np.ndarray, spaced: np.ndarray, size: np.ndarray, text: np.ndar
         yield at[n:][inside], run[inside]
 
 
+def _groups(texts: pa.Array) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+    """Neighbouring texts joined to stretches worth a scan: (normal text, numbers of the texts, where each ends)."""
+    held: list[bytes] = []
+    numbers: list[int] = []
+    size = 0
+    for number, text in enumerate(texts):
+        data = normal(text.as_py())
+        if data:
+            held.append(data)
+            numbers.append(number)
+            size += len(data) + 1
+        if size >= STRETCH:
+            yield b"\n".join(held), np.array(numbers), np.cumsum([len(d) + 1 for d in held])
+            held, numbers, size = [], [], 0
+    if held:
+        yield b"\n".join(held), np.array(numbers), np.cumsum([len(d) + 1 for d in held])
+
+
 def _slices(texts: pa.Array, words: WordDictionary, longest: int) -> Iterator[tuple]:
     """Payloads of a batch in bounded slices: (crc, spaced, size, text number, own).
 
     A text longer than a slice goes on in the next one, behind its last words again, which are not its own there.
     """
-    held: list[tuple] = []
-    n = 0
-
-    def whole():
-        return tuple(np.concatenate(c) for c in zip(*held))
-    for number, text in enumerate(texts):
+    for data, numbers, ends in _groups(texts):
         tail = None
-        for columns in words.scan(normal(text.as_py())):
-            size = len(columns[0])
-            own = np.ones(size, bool)
+        for crc, spaced, size, place in words.scan(data):
+            text = numbers[np.searchsorted(ends, place, side="left")]
+            columns = (crc, spaced, size, text)
+            own = np.ones(len(crc), bool)
             if tail is not None:
                 columns = tuple(np.concatenate(c) for c in zip(tail, columns))
                 own = np.concatenate([np.zeros(len(tail[0]), bool), own])
-            held.append((*columns, np.full(len(own), number), own))
-            n += len(own)
-            if n >= SLICE:
-                yield whole()
-                held, n = [], 0
+            yield *columns, own
             tail = tuple(c[-(longest - 1):] for c in columns) if longest > 1 else None
-    if held:
-        yield whole()
 
 
 def frequent_words(texts: DataFrame, limit: int) -> list[bytes]:
@@ -284,7 +296,8 @@ def weigh(docs: DataFrame, shared, gain: np.ndarray, cfg: ResampleConfig) -> Dat
                     mine = own[last]
                     of, gain_of = text[last[mine]], gain[run_crc[mine] % cfg.buckets]
                     n_features += np.bincount(of, minlength=batch.num_rows)
-                    np.add.at(weight, of, gain_of)
+                    # Sums of whole numbers, exact in doubles below 2**53.
+                    weight += np.bincount(of, weights=gain_of, minlength=batch.num_rows).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *map(pa.array, (n_words, n_features, weight))],
                 ["doc_id", "n_words", "n_features", "weight"])
