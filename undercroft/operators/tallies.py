@@ -84,8 +84,8 @@ def _risks(cfg: RiskConfig) -> dict[str, _Risk]:
     }
 
 
-def channel_hour_tallies(events: DataFrame, cfg: RiskConfig) -> DataFrame:
-    """(period, channel_id, hour_no) with one count per rule and mergeable sums of the measures."""
+def channel_hour_tallies(events: DataFrame, cfg: RiskConfig, *more: Column) -> DataFrame:
+    """(period, channel_id, hour_no) with one count per rule, mergeable sums of the measures, and `more` aggregates."""
     number = F.col("value_num")
     valid = F.when(number.between(cfg.temp_min, cfg.temp_max), number)
     counts = []
@@ -109,6 +109,7 @@ def channel_hour_tallies(events: DataFrame, cfg: RiskConfig) -> DataFrame:
             F.count(number).alias("num_n"),
             F.max(number).alias("num_max"),
             *counts,
+            *more,
         )
     )
 

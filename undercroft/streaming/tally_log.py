@@ -1,8 +1,8 @@
 """Stream results that leave nothing out: every batch adds mergeable tallies, and readers merge them.
 
 Tallies of a channel and hour are counts, sums and extremes, so the parts that several batches hold of one hour add up,
-in any order and however late they come: there is no watermark and no state to outgrow. Each batch writes its own
-folder under the days it touches, and the same batch again replaces it.
+in any order and however late they come: there is no watermark and no state to outgrow. Batches go to a `LevelLog` by
+day, which merges old ones as it grows.
 """
 
 from __future__ import annotations
@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from undercroft.config import RISKS, RiskConfig
-from undercroft.functions.calendar import hour_number, hour_timestamp
+from undercroft.functions.calendar import hour_timestamp
 from undercroft.operators import hourly
 from undercroft.operators.tallies import PERIOD, channel_hour_tallies, typed_channel_hours
 from undercroft.plans.panel import panel_channels
-from undercroft.sources.tables import write_table
+from undercroft.streaming.level_log import LevelLog
 
 _KEYS = (PERIOD, "channel_id", "hour_no")
 
@@ -27,32 +27,40 @@ def _merge_of(name: str) -> Column:
 
 
 def batch_tallies(events: DataFrame, cfg: RiskConfig) -> DataFrame:
-    """Tallies of one batch, with the least number seen beside those that the panel needs."""
-    lowest = events.filter(F.col("event_ts").isNotNull()).groupBy(
-        "channel_id", hour_number(F.col("event_ts")).alias("hour_no")).agg(F.min("value_num").alias("num_min"))
-    return channel_hour_tallies(events, cfg).join(lowest, ["channel_id", "hour_no"])
+    """Tallies of one batch, with the least number seen beside those that the panel needs; the batch is read once."""
+    return channel_hour_tallies(events, cfg, F.min("value_num").alias("num_min"))
 
 
-def run_tallies(events: DataFrame, cfg: RiskConfig, path: str, checkpoint: str) -> None:
-    """Adds the tallies of all events that have arrived to the log at `path`."""
+def _merge(rows: DataFrame) -> DataFrame:
+    values = [c for c in rows.columns if c not in (*_KEYS, "day")]
+    merged = rows.groupBy(*_KEYS).agg(*[_merge_of(c) for c in values])
+    return merged.withColumn("day", hour_timestamp(F.col("hour_no")).cast("date")).select(*rows.columns)
+
+
+def tally_log(spark: SparkSession, path: str) -> LevelLog:
+    return LevelLog(spark, path, _merge, ["day"])
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch_tallies(batch, cfg).withColumns({
-            "day": hour_timestamp(F.col("hour_no")).cast("date"), "batch": F.lit(batch_id).cast("long")})
-        write_table(rows.hint("rebalance", "day"), path, ["day", "batch"])
 
-    query = (events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-             .trigger(availableNow=True).start())
+def add_tallies(events: DataFrame, cfg: RiskConfig, path: str, source: str, batch_id: int) -> bool:
+    """Adds one batch of events to the log at `path`; a batch that the log holds already is left out."""
+    log = tally_log(events.sparkSession, path)
+    if log.holds(source, batch_id):
+        return False
+    rows = batch_tallies(events, cfg).withColumn("day", hour_timestamp(F.col("hour_no")).cast("date"))
+    return log.add(rows, source, batch_id)
+
+
+def run_tallies(events: DataFrame, cfg: RiskConfig, path: str, checkpoint: str) -> None:
+    """Adds the tallies of all events that have arrived to the log at `path`. The checkpoint tells streams apart."""
+    query = (events.writeStream.foreachBatch(lambda batch, batch_id: add_tallies(batch, cfg, path, checkpoint, batch_id))
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()
 
 
 def merged_tallies(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
     """The log with one row per channel and hour; `since` prunes it to the days from then on."""
-    log = spark.read.parquet(path)
-    if since is not None:
-        log = log.filter(F.col("day") >= F.lit(since).cast("date"))
-    values = [c for c in log.columns if c not in (*_KEYS, "day", "batch")]
-    return log.groupBy(*_KEYS).agg(*[_merge_of(c) for c in values])
+    condition = None if since is None else F.col("day") >= F.lit(since).cast("date")
+    return tally_log(spark, path).merged(condition).drop("day")
 
 
 def hourly_mart(tallies: DataFrame, channels: DataFrame, cfg: RiskConfig) -> DataFrame:
