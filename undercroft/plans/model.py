@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from typing import TypeVar
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from undercroft.config import RISKS, RiskConfig
 from undercroft.functions.scores import persist_score, rule_score
 from undercroft.operators import curve
 from undercroft.operators.predictions import feature_columns, require_columns
+from undercroft.operators.rows import reproducible_sample
+from undercroft.plans import boosting
 from undercroft.session import shared_folder, stage
 
 # Measures that may be missing. Trees here do not know "missing": a measure gets a value below its range and a flag,
@@ -29,7 +34,8 @@ SPLITS = ("train", "valid", "test")
 
 @dataclass(frozen=True)
 class ModelConfig:
-    """Boosting settings; rounds stop early when the validation loss stops improving."""
+    """Boosting settings. Rounds end where average precision on the valid split was best, once `patience` further ones
+    brought nothing better."""
 
     rounds: int = 500
     step: float = 0.05
@@ -37,7 +43,7 @@ class ModelConfig:
     min_leaf: int = 200
     feature_share: str = "0.85"
     row_share: float = 0.8
-    stop_tolerance: float = 0.001
+    patience: int = 40
     seed: int = 42
 
 
@@ -68,6 +74,15 @@ def with_vector(panel: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="features").transform(wide).drop(*names)
 
 
+_T = TypeVar("_T")
+
+
+def for_each_risk(spark: SparkSession, risks: Sequence[str], work: Callable[[str], _T]) -> dict[str, _T]:
+    """The same work for every risk, side by side: small jobs of one model leave room for those of the others."""
+    with ThreadPoolExecutor(max_workers=max(1, len(risks))) as pool:
+        return dict(zip(risks, pool.map(inheritable_thread_target(spark)(work), risks)))
+
+
 def _positive_weights(train: DataFrame) -> dict[str, float]:
     """Negatives per positive for each risk: one aggregate, four numbers."""
     row = train.agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"y_{r}").alias(r) for r in RISKS]).first()
@@ -93,8 +108,8 @@ def fit_models(
     extra_rows = None if extra is None else stage(
         with_vector(extra, features).select("risk_type", "features", "y", "weight"), "feedback"
     )
-    models = {}
-    for risk in risks:
+
+    def fit(risk: str) -> GBTClassificationModel:
         label = F.col(f"y_{risk}").cast("double")
         data = rows.select(
             "features",
@@ -106,13 +121,13 @@ def fit_models(
             data = data.unionByName(extra_rows.filter(F.col("risk_type") == risk).select(
                 "features", F.col("y").alias("label"), "weight", F.lit(False).alias("is_valid")
             ))
-        models[risk] = GBTClassifier(
-            maxIter=settings.rounds, stepSize=settings.step, maxDepth=settings.depth,
-            minInstancesPerNode=settings.min_leaf, featureSubsetStrategy=settings.feature_share,
-            subsamplingRate=settings.row_share, seed=settings.seed, weightCol="weight",
-            validationIndicatorCol="is_valid", validationTol=settings.stop_tolerance,
-        ).fit(data)
-    return models
+        classifier = GBTClassifier(
+            stepSize=settings.step, maxDepth=settings.depth, minInstancesPerNode=settings.min_leaf,
+            featureSubsetStrategy=settings.feature_share, subsamplingRate=settings.row_share, seed=settings.seed,
+            weightCol="weight")
+        return boosting.fit_best_round(classifier, data, settings.rounds, settings.patience)
+
+    return for_each_risk(spark, risks, fit)
 
 
 def model_scores(rows: DataFrame, models: dict[str, GBTClassificationModel], features: Sequence[str]) -> DataFrame:
@@ -155,5 +170,23 @@ def feature_ranking(models: dict[str, GBTClassificationModel], features: Sequenc
     return like.sparkSession.createDataFrame(rows, "risk string, rank int, feature string, gain double")
 
 
+def contribution_ranking(
+    models: dict[str, GBTClassificationModel], features: Sequence[str], rows: DataFrame, sample: int = 8000, top: int = 12
+) -> DataFrame:
+    """(risk, rank, feature, mean_abs_shap): leading features by their mean absolute contribution to the log odds, over
+    `sample` rows of the panel, the same ones on every run."""
+    spark = rows.sparkSession
+    chosen = reproducible_sample(rows.select("object_id", "hour_ts", *features), ["object_id", "hour_ts"], sample)
+    chosen = stage(with_vector(chosen, features).select("features"), "contributions")
+    names = model_inputs(features)
+    means = for_each_risk(spark, list(models), lambda risk: boosting.mean_contributions(
+        chosen, boosting.read_ensemble(spark, models[risk])))
+    found = []
+    for risk, mean in means.items():
+        best = sorted(zip(mean.tolist(), names), key=lambda p: (-p[0], p[1]))[:top]
+        found += [(risk, i + 1, name, value) for i, (value, name) in enumerate(best)]
+    return spark.createDataFrame(found, "risk string, rank int, feature string, mean_abs_shap double")
+
+
 def panel_features(panel: DataFrame) -> list[str]:
     return feature_columns(panel, skip=("period", "year", "split"))

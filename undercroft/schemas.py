@@ -103,6 +103,7 @@ METRICS_DOC = T.StructType([
     T.StructField("features", T.ArrayType(_STR)),
     T.StructField("thresholds", T.MapType(_STR, T.MapType(_STR, _DOUBLE))),
     T.StructField("valid", _BY_RISK), T.StructField("test", _BY_RISK),
+    T.StructField("retrain", T.MapType(_STR, T.StructType([T.StructField("n", _LONG), T.StructField("trees", _LONG)]))),
     T.StructField("shap", T.MapType(_STR, T.ArrayType(T.StructType([
         T.StructField("feature", _STR), T.StructField("gain", _DOUBLE), T.StructField("mean_abs_shap", _DOUBLE),
     ])))),

@@ -49,7 +49,7 @@ def metrics_document(
 ) -> DataFrame:
     """Long metric rows (splits valid and test) -> the one-row document.
 
-    `counts` is one row with n_train, n_valid, n_test; `importances` has risk, feature, gain.
+    `counts` is one row with n_train, n_valid, n_test; `importances` has risk, feature, and gain or mean_abs_shap.
     """
     value = F.struct(*METRIC_FIELDS)
     doc = counts.withColumn("thresholds", _nested(thresholds, "method", "risk", F.col("threshold")).scalar())
@@ -57,11 +57,10 @@ def metrics_document(
         part = _nested(metrics.filter(F.col("split") == split), "method", "risk", value)
         doc = doc.withColumn(split, part.scalar())
     if importances is not None:
-        top = importances.groupBy("risk").agg(
-            F.reverse(F.array_sort(F.collect_list(F.struct("gain", "feature")))).alias("f")
-        )
+        by = "mean_abs_shap" if "mean_abs_shap" in importances.columns else "gain"
+        top = importances.groupBy("risk").agg(F.reverse(F.array_sort(F.collect_list(F.struct(by, "feature")))).alias("f"))
         shap = top.agg(F.map_from_entries(F.collect_list(F.struct(
-            "risk", F.transform("f", lambda x: F.struct(x["feature"].alias("feature"), x["gain"].alias("gain")))
+            "risk", F.transform("f", lambda x: F.struct(x["feature"].alias("feature"), x[by].alias(by)))
         ))).alias("shap"))
         doc = doc.withColumn("shap", shap.scalar())
     return doc.withColumns({
@@ -70,6 +69,17 @@ def metrics_document(
     })
 
 
+def with_retraining(doc: DataFrame, report: dict[str, tuple[int, int]]) -> DataFrame:
+    """The document with the time of a retraining, and its decisions and trees by risk."""
+    entries = [x for risk, (n, trees) in sorted(report.items())
+               for x in (F.lit(risk), F.struct(F.lit(n).cast("long").alias("n"), F.lit(trees).cast("long").alias("trees")))]
+    kind = doc.schema["retrain"].dataType
+    return doc.withColumns({
+        "retrain": F.create_map(*entries).cast(kind) if entries else F.lit(None).cast(kind),
+        "retrained_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"),
+    })
+
+
 def write_document(doc: DataFrame, path: str) -> None:
     doc.coalesce(1).write.mode("overwrite").json(path)
 
