@@ -14,40 +14,35 @@ from undercroft.session import stage
 def ancestors(objects: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """(object_id, distance, ancestor_id, kind, name, level) for every object of `start` (all by default).
 
-    Climbs one level per round, as many rounds as the tree is deep; each round is written so that the plan does not
-    grow. A climb stops at a missing parent, or at a parent it has already met (a cycle).
+    Paths double: a round knows the ancestors up to 2**k levels away, and a pointer from every object to the one exactly
+    so far above it; following the pointer from each known ancestor gives the next 2**k levels. So there are as many
+    rounds as the logarithm of the depth. A climb stops at a missing parent, or at a parent it has already met (a
+    cycle): what comes after that has all been met nearer by.
     """
-    nodes = objects.select(
-        F.col("id").alias("ancestor_id"), F.col("parent_id").alias("_up"), "kind", "name", "level"
-    )
     ids = objects.select(F.col("id").alias("object_id")) if start is None else start.select("object_id")
-    front = objects.join(ids.distinct(), objects["id"] == ids["object_id"], "left_semi").select(
-        F.col("id").alias("object_id"),
-        F.col("parent_id").alias("ancestor_id"),
-        F.array().cast("array<bigint>").alias("_met"),
-    )
-    rounds: list[DataFrame] = []
-    while True:
-        # Parent id 0 and NULL both mean "no parent".
-        reachable = front.filter(
-            (F.coalesce("ancestor_id", F.lit(0)) != 0) & ~F.array_contains("_met", F.col("ancestor_id"))
-        )
-        found = stage(
-            reachable.join(nodes, "ancestor_id").withColumn("distance", F.lit(len(rounds) + 1)), "ancestors"
-        )
-        if found.isEmpty():
+    known = objects.select("id").distinct()
+    # Parent id 0 and NULL both mean "no parent".
+    pointers = objects.filter(F.coalesce("parent_id", F.lit(0)) != 0).select("id", F.col("parent_id").alias("up"))
+    pointers = stage(pointers.join(known.withColumnRenamed("id", "up"), "up", "left_semi").select("id", "up"), "pointers")
+    found = pointers.join(ids.distinct(), pointers["id"] == ids["object_id"], "left_semi").select(
+        F.col("id").alias("object_id"), F.lit(1).alias("distance"), F.col("up").alias("ancestor_id"))
+    found, reach = stage(found, "ancestors"), 1
+    size = found.count()
+    while size and not pointers.isEmpty():
+        above = pointers.select(F.col("id").alias("ancestor_id"), "up")
+        further = found.join(above, "ancestor_id").select(
+            "object_id", (F.col("distance") + reach).alias("distance"), F.col("up").alias("ancestor_id"))
+        # An ancestor met again lies on a cycle; its first meeting counts.
+        found = stage(found.unionByName(further).groupBy("object_id", "ancestor_id").agg(
+            F.min("distance").alias("distance")).select("object_id", "distance", "ancestor_id"), "ancestors")
+        before, size = size, found.count()
+        if size == before:
             break
-        rounds.append(found.select("object_id", "distance", "ancestor_id", "kind", "name", "level"))
-        front = found.select(
-            "object_id", F.col("_up").alias("ancestor_id"),
-            F.array_append("_met", F.col("ancestor_id")).alias("_met"),
-        )
-    if not rounds:
-        return found.select("object_id", "distance", "ancestor_id", "kind", "name", "level")
-    out = rounds[0]
-    for more in rounds[1:]:
-        out = out.unionByName(more)
-    return out
+        via = pointers.select(F.col("id").alias("via"), F.col("up").alias("further"))
+        twice = pointers.withColumnRenamed("up", "via").join(via, "via")
+        pointers, reach = stage(twice.select("id", F.col("further").alias("up")), "pointers"), 2 * reach
+    nodes = objects.select(F.col("id").alias("ancestor_id"), "kind", "name", "level")
+    return found.join(nodes, "ancestor_id").select("object_id", "distance", "ancestor_id", "kind", "name", "level")
 
 
 def root_first(chain: DataFrame) -> DataFrame:

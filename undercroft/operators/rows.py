@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from undercroft.session import stage
 
+#: Rows that one task adds up, about.
+SLICE_ROWS = 500_000
+
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
     """The first `n` rows of each key.
@@ -36,13 +39,15 @@ def running_totals(
     """Adds inclusive running totals along `order` inside `keys`, without a window that one task must hold.
 
     Rows are range-partitioned by (keys, order) into slices; slice totals become offsets; the running sum itself is
-    local to a slice. A key that owns most rows simply spans many slices. `order` must be unique inside a key. The
-    sliced rows are written once because range bounds are sampled: a recomputed branch could slice differently.
+    local to a slice. A key that owns most rows simply spans many slices, of SLICE_ROWS rows about. `order` must be
+    unique inside a key. The rows are written and counted before they are sliced, and once more as slices, because range
+    bounds are sampled: a recomputed branch could slice differently.
     """
-    spark = df.sparkSession
-    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = list(sums)
-    sliced = df.withColumns({f"_v_{n}": c for n, c in sums.items()})
+    seen = Observation()
+    rows = df.withColumns({f"_v_{n}": c for n, c in sums.items()}).observe(seen, F.count(F.lit(1)).alias("n"))
+    sliced = stage(rows, tag)
+    slices = max(1, -(-seen.get["n"] // SLICE_ROWS))
     sliced = sliced.repartitionByRange(slices, *keys, *order).withColumn("_slice", F.spark_partition_id())
     sliced = stage(sliced, tag)
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -38,6 +38,17 @@ def journals_to_parquet(
     return sorted({f.year for f in todo})
 
 
+def cluster_events(spark: SparkSession, source: str, target: str) -> None:
+    """Events by year once more, with each channel's rows side by side: files cover ranges of channels, and carry a
+    Bloom filter of their channels, so that a read of one channel skips the row groups of others.
+
+    A channel that owns a large part of a year spans several files, cut by time.
+    """
+    rows = spark.read.parquet(source)
+    placed = rows.repartitionByRange("year", "channel_id", "event_ts").sortWithinPartitions("year", "channel_id", "event_ts")
+    tables.write_table(placed, target, ["year"], only_written=False, options=tables.bloom("channel_id"))
+
+
 def load_dimensions(spark: SparkSession, objects_csv: str, channels_csv: str, warehouse: str) -> None:
     """Objects and channels, truncate and load. Lines that do not fit their header go to `dimension_rejects`, by file."""
     _, objects, bad_objects = files.read_with_rejects(spark, [objects_csv], "objects")

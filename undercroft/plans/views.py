@@ -154,15 +154,12 @@ def prediction_list(predictions: DataFrame, objects: DataFrame, limit: int = 100
 
 
 def feedback_history(predictions: DataFrame, feedback: DataFrame, prediction_id: int | None = None) -> DataFrame:
-    """Feedback of predictions, newest first inside each."""
+    """Feedback of one prediction, newest first; of all predictions, in no order: a reader sorts what it shows."""
     rows = feedback if prediction_id is None else feedback.filter(F.col("prediction_id") == prediction_id)
     known = predictions.select(F.col("id").alias("prediction_id"), "risk_type", "status")
-    return (
-        rows.join(known, "prediction_id")
-        .withColumn("decision_title", text.lookup(F.col("decision"), DECISION_TITLES))
-        .select("prediction_id", "risk_type", "status", "id", "decision", "decision_title", "reason", "user_login", "created_at")
-        .orderBy("prediction_id", F.desc("id"))
-    )
+    found = rows.join(known, "prediction_id").withColumn("decision_title", text.lookup(F.col("decision"), DECISION_TITLES)).select(
+        "prediction_id", "risk_type", "status", "id", "decision", "decision_title", "reason", "user_login", "created_at")
+    return found if prediction_id is None else found.orderBy(F.desc("id"))
 
 
 def dashboard_totals(predictions: DataFrame, alarms: DataFrame, cfg: RiskConfig) -> DataFrame:

@@ -27,16 +27,22 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
 
 
 def write_table(
-    df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite", only_written: bool = True
+    df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite", only_written: bool = True,
+    options: dict[str, str] | None = None,
 ) -> None:
     """Writes a table. With partitions an overwrite replaces the written ones only, or, with `only_written` off, all."""
     kind = "dynamic" if only_written and partition_by else "static"
-    writer = df.write.mode(mode).option("compression", "zstd").option("partitionOverwriteMode", kind)
+    writer = df.write.mode(mode).option("compression", "zstd").option("partitionOverwriteMode", kind).options(**(options or {}))
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
 
 
+def bloom(*columns: str) -> dict[str, str]:
+    """Write options that add a Bloom filter of each column to every row group."""
+    return {f"parquet.bloom.filter.enabled#{c}": "true" for c in columns}
+
+
 def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Replaces a table by rows that may be computed from it, in one step: readers see the old rows or the new ones.
 

@@ -7,6 +7,7 @@ releases in time order, reach the Python state code. The state of a channel is a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +57,17 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set(PROVIDER_KEY, PROVIDER)
 
 
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """RocksDB for the queries started inside."""
+    before = spark.conf.get(PROVIDER_KEY, None)
+    use_rocksdb(spark)
+    try:
+        yield
+    finally:
+        spark.conf.unset(PROVIDER_KEY) if before is None else spark.conf.set(PROVIDER_KEY, before)
+
+
 def new_failure_stream(events: DataFrame, channels: DataFrame, cfg: RiskConfig, lateness: str) -> DataFrame:
     """(channel_id, object_id, hour_ts) of every new failure, once its hour is behind the watermark.
 

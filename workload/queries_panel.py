@@ -480,3 +480,17 @@ def feedback_point_in_time(t: Tables):
     return feedback.training_set(moved, t.predictions, full_panel(t), point_in_time=True).select(
         "feedback_id", "object_id", "hour_ts", "ev_24h"
     )
+
+
+@query(
+    "clustered_channel",
+    "SELECT event_id, channel_id, event_ts, value_raw FROM b_events WHERE channel_id = (SELECT min(user_id) FROM events)",
+)
+def clustered_channel(t: Tables):
+    """The events of one channel, read from the clustered copy of the stored events."""
+    folder = fresh_path(t.spark, "dataset")
+    tables.write_table(t.events.withColumn("year", F.year("event_ts")), f"{folder}/events", ["year"])
+    jobs.cluster_events(t.spark, f"{folder}/events", f"{folder}/clustered")
+    first = t.events.agg(F.min("channel_id").alias("c")).first()["c"]
+    rows = t.spark.read.parquet(f"{folder}/clustered").where(F.col("channel_id") == first)
+    return rows.select("event_id", "channel_id", "event_ts", "value_raw")

@@ -8,7 +8,7 @@ from undercroft.config import RISKS
 from undercroft.operators.normalize import clean_channels
 from undercroft.plans import alarm_store
 from undercroft.session import fresh_path, stage
-from undercroft.streaming import ingest, tally_log
+from undercroft.streaming import corrections, failures, ingest, monitor, run, tally_log, windows
 from undercroft.streaming.sources import file_stream, with_event_time
 from workload.binding import CONFIG, VIEWS, Tables
 from workload.oracles import rd
@@ -153,3 +153,67 @@ def stream_rejects(t: Tables):
 )
 def stream_rescore(t: Tables):
     return ingest.current_rule_predictions(t.spark, ingested(t))
+
+
+@query(
+    "stream_progress",
+    """SELECT CAST(late AS BIGINT) AS batch_id, count(*) AS input_rows, true AS within_slo
+       FROM (SELECT hour(event_ts) % 3 = 1 AS late FROM b_events) e GROUP BY late""",
+)
+def stream_progress(t: Tables):
+    """What the listener wrote about two runs of a stream: one row a batch."""
+    stream, land = late_event_stream(t)
+    path, checkpoint, progress = (fresh_path(t.spark, x) for x in ("tallies", "cp", "progress"))
+    listener = monitor.ProgressListener(t.spark, progress, ingest.SLO_SECONDS)
+    tally_log.run_tallies(stream, CONFIG, path, checkpoint)
+    land()
+    tally_log.run_tallies(stream, CONFIG, path, checkpoint)
+    listener.close()
+    # Other streams of the session may have run meanwhile.
+    mine = monitor.progress_rows(t.spark, progress)
+    first = mine.groupBy("query_id").agg(F.sum("input_rows").alias("n")).orderBy(F.desc("n")).limit(1).select("query_id")
+    return mine.join(first, "query_id", "left_semi").select("batch_id", "input_rows", "within_slo")
+
+
+@query("stream_failure_corrections", "SELECT channel_id, object_id, h AS hour_ts FROM o_newfail")
+def stream_failure_corrections(t: Tables):
+    """New failures from keyed state, a third of the events being late by up to the whole month: answers are mended."""
+    stream, land = late_event_stream(t)
+    path, checkpoint = fresh_path(t.spark, "answers"), fresh_path(t.spark, "cp")
+    found = corrections.failure_corrections(stream, static_channels(t), CONFIG, reach_hours=24 * 62)
+    with failures.rocksdb(t.spark):
+        corrections.run_corrections(found, path, checkpoint)
+        land()
+        corrections.run_corrections(found, path, checkpoint)
+    return corrections.current_failures(t.spark, path)
+
+
+@query(
+    "stream_guard_updates",
+    """SELECT object_id, h AS hour_ts, guard_on FROM (
+           SELECT c.object_id, date_trunc('hour', e.event_ts) AS h, max(CAST(e.value_cat = 'click' AS INTEGER)) AS guard_on,
+                  row_number() OVER (PARTITION BY c.object_id ORDER BY date_trunc('hour', e.event_ts) DESC) AS rn
+           FROM b_events e JOIN b_channels c ON c.id = e.channel_id
+           WHERE c.sensor_type = 'guard' AND c.object_id IS NOT NULL
+           GROUP BY c.object_id, date_trunc('hour', e.event_ts)) g WHERE rn = 1""",
+)
+def stream_guard_updates(t: Tables):
+    """Guard state in update mode: late events of the newest hour change what was told before."""
+    stream, land = late_event_stream(t)
+    path, checkpoint = fresh_path(t.spark, "guards"), fresh_path(t.spark, "cp")
+    found = windows.guard_stream(stream, static_channels(t), CONFIG)
+    run.update_log(found, path, checkpoint)
+    land()
+    run.update_log(found, path, checkpoint)
+    return run.latest_of_log(t.spark, path, ["object_id"])
+
+
+@query(
+    "newest_stored_alarms",
+    "SELECT * FROM o_alarms QUALIFY row_number() OVER (ORDER BY event_ts DESC, event_id DESC) <= 50",
+)
+def newest_stored_alarms(t: Tables):
+    """The report of the 50 newest alarms, from the newest day folders of the stored mart."""
+    house = fresh_path(t.spark, "house")
+    alarm_store.load_alarms(t.events.filter("is_alarm"), house)
+    return alarm_store.newest_alarms(t.spark, house, 50)
