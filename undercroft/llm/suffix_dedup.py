@@ -3,7 +3,8 @@
 Windows of `length` bytes are told apart by suffix sorting, but only where a repeat is possible: each window has an
 anchor, the smallest hash among its short grams, and equal windows have equal anchors. Grams that occur once in the
 corpus rule their windows out. What is left is cut into slices by anchor, equal slices are merged, slices are dealt to
-shards by anchor, and each shard is ordered by external induced sorting (`induced`).
+shards by anchor, and each shard is ordered by external induced sorting (`induced`). Slices of a frequent anchor are cut
+in two and dealt by the bytes beside the anchor as well, which equal windows share.
 """
 
 from __future__ import annotations
@@ -36,14 +37,14 @@ class RepeatConfig:
     bits: int = 1 << 28
     #: An anchor is hot when it has more than this many slices, and more than one part in `hot_share` of all.
     hot: int = 500
-    hot_share: int = 100_000
+    hot_share: int = 1_000_000
     #: Bytes of slices in a shard, about.
     shard: int = 64 << 20
     #: Bytes of slices that are sorted at once, about, and of bucket queues that the sort holds in memory.
     sort_bytes: int = 1 << 20
     memory: int = 8 << 20
     #: Bytes of slices that a task remembers for merging before it passes them on, about.
-    flush: int = 16 << 20
+    flush: int = 4 << 20
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -131,12 +132,13 @@ def _bitmap(grams: DataFrame, bits: int) -> bytes:
     return bytes(out)
 
 
-CANDIDATES = ("gram long, slice_id long, copies long, slice binary, text_key long, size long, starts array<long>, "
+CANDIDATES = ("gram long, slice_id long, copies long, slice binary, anchor int, text_key long, size long, starts array<long>, "
               "counts array<int>, ids array<long>")
 
 
 def _cut_slices(cfg: RepeatConfig, table):
-    """Two kinds of rows: a distinct slice (gram, slice_id, copies, slice), and a text's slices (text_key, size, ...)."""
+    """Two kinds of rows: a distinct slice (gram, slice_id, copies, slice, anchor: the anchor's place in it), and a text's
+    slices (text_key, size, ...)."""
     limit, span = np.uint64(2 ** 64 // cfg.sampled), cfg.length - cfg.gram + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,12 +152,12 @@ def _cut_slices(cfg: RepeatConfig, table):
             none = [None]
             columns = [
                 [s[0] for s in slices.values()] + none * m, [*slices, *none * m],
-                [s[1] for s in slices.values()] + none * m, [s[2] for s in slices.values()] + none * m,
+                *[[s[k] for s in slices.values()] + none * m for k in (1, 2, 3)],
                 none * n + [k for k, _ in texts], none * n + [z for _, z in texts],
                 *[none * n + [t[i] for t in texts.values()] for i in range(3)]]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(),
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(),
                      pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-            names = ["gram", "slice_id", "copies", "slice", "text_key", "size", "starts", "counts", "ids"]
+            names = ["gram", "slice_id", "copies", "slice", "anchor", "text_key", "size", "starts", "counts", "ids"]
             batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
             slices.clear()
             texts.clear()
@@ -199,7 +201,7 @@ def _cut_slices(cfg: RepeatConfig, table):
                         if i in slices:
                             slices[i][1] += 1
                         else:
-                            slices[i] = [gram, 1, piece]
+                            slices[i] = [gram, 1, piece, int(value[a]) - a]
                             held += len(piece)
                         starts.append(at + a)
                         counts.append(b - a)
@@ -214,30 +216,31 @@ def _cut_slices(cfg: RepeatConfig, table):
 
 
 def _sort_shard(cfg: RepeatConfig):
-    """Slices in the order of their anchors -> (slice_id, first, last): runs of window starts that repeat.
+    """Slices in the order of their keys -> (slice_id, first, last): runs of window starts that repeat.
 
-    Spark has sorted the shard, on disk where it is large; here anchors are gathered until their slices are worth a
-    sort, so a task holds cfg.sort_bytes of slices and one anchor's more, whatever the shard holds.
+    Spark has sorted the shard, on disk where it is large; here keys are gathered until their slices are worth a
+    sort, so a task holds cfg.sort_bytes of slices and one key's more, whatever the shard holds.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: tuple[list, list, list] = ([], [], [])
-        mixed: list[tuple[int, int, bytes]] = []
+        mixed: list[tuple[int, int, int, bytes]] = []
 
-        def close(group: dict[int, list]) -> None:
-            for i, (copies, piece) in group.items():
+        def close(group: dict[bytes, list]) -> None:
+            for piece, (copies, places) in group.items():
                 if copies > 1:  # every window of a slice that is there twice repeats
-                    for column, value in zip(out, (i, 0, len(piece) - cfg.length)):
-                        column.append(value)
-            # Anchors with one slice, or with copied slices only, need no order.
+                    for i, shift in places:
+                        for column, value in zip(out, (i, shift, shift + len(piece) - cfg.length)):
+                            column.append(value)
+            # Keys with one slice, or with copied slices only, need no order.
             if len(group) > 1 and any(copies == 1 for copies, _ in group.values()):
-                mixed.extend((i, copies, piece) for i, (copies, piece) in group.items())
+                mixed.extend((*next(iter(places)), copies, piece) for piece, (copies, places) in group.items())
 
         def sort() -> None:
             if not mixed:
                 return
-            text = np.frombuffer(b"".join(piece + b"\0" for _, _, piece in mixed), np.uint8).astype(np.uint16) + np.uint16(2)
-            sizes = np.array([len(piece) for _, _, piece in mixed])
+            text = np.frombuffer(b"".join(piece + b"\0" for *_, piece in mixed), np.uint8).astype(np.uint16) + np.uint16(2)
+            sizes = np.array([len(piece) for *_, piece in mixed])
             begins = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
             text[begins + sizes] = 1
             order, common = suffix_order(np.append(text, np.uint16(0)), 258, cfg.memory)
@@ -245,12 +248,12 @@ def _sort_shard(cfg: RepeatConfig):
             same[:-1] |= same[1:]
             starts = np.zeros(len(order), dtype=bool)
             starts[order[same]] = True
-            for (i, copies, piece), begin in zip(mixed, begins.tolist()):
+            for (i, shift, copies, piece), begin in zip(mixed, begins.tolist()):
                 if copies == 1:
                     window = starts[begin:begin + len(piece) - cfg.length + 1]
                     flip = np.flatnonzero(np.diff(np.concatenate(([0], window.view(np.int8), [0]))))
                     for a, b in zip(flip[::2].tolist(), flip[1::2].tolist()):
-                        for column, value in zip(out, (i, a, b - 1)):
+                        for column, value in zip(out, (i, shift + a, shift + b - 1)):
                             column.append(value)
             mixed.clear()
 
@@ -261,10 +264,10 @@ def _sort_shard(cfg: RepeatConfig):
                 column.clear()
             return batch
 
-        group: dict[int, list] = {}
+        group: dict[bytes, list] = {}
         now, held = None, 0
         for batch in batches:
-            for gram, i, copies, piece in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for gram, i, copies, piece, shift in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 if gram != now:
                     close(group)
                     group, now = {}, gram
@@ -272,28 +275,44 @@ def _sort_shard(cfg: RepeatConfig):
                         sort()
                         held = 0
                         yield drain()
-                if i in group:
-                    group[i][0] += copies
-                else:
-                    group[i] = [copies, piece]
+                known = group.get(piece)
+                if known is None:
+                    group[piece] = [copies, {(i, shift): None}]
                     held += len(piece)
+                else:
+                    known[0] += copies
+                    known[1][i, shift] = None
         close(group)
         sort()
         yield drain()
     return run
 
 
-def _hot_windows(cfg: RepeatConfig):
+SLICES = "gram long, slice_id long, copies long, slice binary, shift int"
+
+
+def _cut_hot(cfg: RepeatConfig):
+    """Slices of frequent anchors, each cut in two: windows that begin less than `reach` bytes before the anchor hold as
+    many bytes behind it, the others hold as many before it. Equal windows share those bytes, so they and the anchor
+    are the key. `shift` is the place of the part in the slice."""
+    reach = (cfg.length - cfg.gram) // 2
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for i, copies, piece in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
-                for a in range(len(piece) - cfg.length + 1):
-                    code = xxhash.xxh3_64_intdigest(piece[a:a + cfg.length]) - (1 << 63)
-                    for column, value in zip(out, (code, i, a, copies)):
-                        column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["code", "slice_id", "first", "copies"])
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for gram, i, copies, piece, at in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                middle = max(0, at - reach)
+                parts = [(middle, len(piece), piece[at + cfg.gram:at + cfg.gram + reach], 1)]
+                if middle:
+                    parts.append((0, middle - 1 + cfg.length, piece[at - reach:at], 0))
+                for first, stop, beside, side in parts:
+                    if stop - first >= cfg.length:
+                        key = xxhash.xxh3_64_intdigest(gram.to_bytes(8, "little", signed=True) + beside, seed=side) - (1 << 63)
+                        for column, value in zip(out, (key, i, copies, piece[first:stop], first)):
+                            column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)],
+                                             ["gram", "slice_id", "copies", "slice", "shift"])
     return run
 
 
@@ -314,18 +333,15 @@ def repeated_spans(docs: DataFrame, cfg: RepeatConfig = RepeatConfig()) -> DataF
     hot = counts.where(F.col("n") > max(cfg.hot, total // cfg.hot_share)).select("gram")
     table = spark.sparkContext.broadcast(_bitmap(counts.select("gram"), cfg.bits))
     found = stage(rows.select("data", "text_key").mapInArrow(_cut_slices(cfg, table), CANDIDATES), "repeat-slices")
-    slices = found.where("slice is not null").select("gram", "slice_id", "copies", "slice")
-    cold = slices.join(F.broadcast(hot), "gram", "left_anti")
+    slices = found.where("slice is not null").select("gram", "slice_id", "copies", "slice", "anchor")
+    hot = F.broadcast(hot)
+    cold = slices.join(hot, "gram", "left_anti").select("gram", "slice_id", "copies", "slice", F.lit(0).alias("shift"))
+    keyed = cold.unionAll(slices.join(hot, "gram", "left_semi").mapInArrow(_cut_hot(cfg), SLICES))
     # A repeated gram leads one slice of up to twice the window; shards are as many as keep their slices small.
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * 2 * cfg.length // cfg.shard + 1)
-    sorted_runs = cold.repartition(shards, "gram").sortWithinPartitions("gram").mapInArrow(_sort_shard(cfg), "slice_id long, first int, last int")
-    # Hot anchors: windows one by one, dealt by their own content, so that no task holds a hot anchor.
-    windows = slices.join(F.broadcast(hot), "gram", "left_semi").mapInArrow(
-        _hot_windows(cfg), "code long, slice_id long, first int, copies long")
-    windows = stage(windows, "repeat-hot")
-    again = windows.groupBy("code").agg(F.sum("copies").alias("copies")).where("copies > 1").select("code")
-    hot_runs = windows.join(again, "code").select("slice_id", "first", F.col("first").alias("last")).distinct()
-    runs = stage(sorted_runs.unionAll(hot_runs), "repeat-runs")
+    sorted_runs = keyed.repartition(shards, "gram").sortWithinPartitions("gram").mapInArrow(
+        _sort_shard(cfg), "slice_id long, first int, last int")
+    runs = stage(sorted_runs, "repeat-runs")
     uses = found.where("text_key is not null").select(
         "text_key", "size", F.explode(F.arrays_zip("starts", "ids")).alias("s")).select(
         "text_key", "size", F.col("s.starts").alias("start"), F.col("s.ids").alias("slice_id"))
