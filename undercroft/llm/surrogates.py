@@ -12,6 +12,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from datetime import date
 from itertools import count
 from math import gcd, prod
 
@@ -43,23 +44,37 @@ ENDINGS = {
 }
 _ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшщэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 
+_PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?!\w)|(?<!\w)\+\d{7,14}(?!\w)"
 _WORDS = "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True))
 _NAME = r"[^\W\d_][^\W\d_]+"
+# How keys of common services begin, and what names of settings hold a secret.
+_PREFIX = r"gh[pousr]_|sk_(?:live|test)_|xox[abprs]-|AIza|glpat-|eyJ"
+_SETTING = (r"(?:[\w-]*[_-])?(?:token|secret|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key|password|passwd|pwd)")
 _PATTERN = re.compile(
-    r"(?P<email>(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+)"
+    rf"(?P<token>(?<!\w)(?:{_PREFIX})[\w.-]{{16,}}(?<=\w))"
+    rf"|(?P<setting>(?<!\w)(?i:{_SETTING})[\"']?\s*[:=]\s*[\"']?(?P<held>[\w+/~.-]{{8,}}={{0,2}}))"
+    r"|(?P<email>(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+)"
     r"|(?P<ipv4>(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\w]|\.\d))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<secret>(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]))"
-    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?!\w)|(?<!\w)\+\d{7,14}(?!\w))"
+    rf"|(?P<phone>{_PHONE})"
     rf"|(?P<name>(?<!\w)(?i:(?P<title>{_WORDS}))\.?\s+(?P<names>{_NAME}(?:[ -]{_NAME}){{0,2}}))")
+_PHONE_ALONE = re.compile(_PHONE)
 #: A text without any of these holds no entity.
-_TRIGGER = re.compile(rf"\d[ .-]?\d|@|A[KS]IA|(?<!\w)(?i:{_WORDS})\.?\s")
+_TRIGGER = re.compile(rf"\d[ .-]?\d|@|A[KS]IA|{_PREFIX}|[:=]\s*[\"']?[\w+/~.-]{{8}}|(?<!\w)(?i:{_WORDS})\.?\s")
 #: A round number in groups of thousands, which is no phone number.
 _ROUND = re.compile(r"\d{2,3}([ .])000(?:\1[0]{3})*")
-#: Fewest digits of a phone number.
-PHONE_DIGITS = 7
+#: Fewest and most digits of a phone number.
+PHONE_DIGITS, PHONE_MOST = 7, 15
+_YEAR_FIRST = re.compile(r"(\d{4})([-./ ])(\d{1,2})\2(\d{1,2})(?!\d)")
+_YEAR_LAST = re.compile(r"(\d{1,2})([-./ ])(\d{1,2})\2(\d{4})(?!\d)")
+_YEARS = re.compile(r"(?:1[5-9]|20)\d\d(?:[ .-](?:1[5-9]|20)\d\d)+")
+#: Thousands parted by points, and by spaces; the second is an amount only beside a unit.
+_AMOUNT, _SPACED = re.compile(r"[1-9]\d{0,2}(?:\.\d{3})+"), re.compile(r"[1-9]\d{0,2}(?: \d{3})+")
+_UNIT_BEFORE, _UNIT_AFTER = re.compile(r"[€$£¥₽]\s?$|(?:EUR|USD|GBP|CHF|Fr\.)\s$"), re.compile(r"\s?[€$£¥₽%]|\s(?i:eur|euros?|usd|gbp|chf|dollars?|pounds?|kg|km|tons?)(?!\w)")
+_BOOK = re.compile(r"(?i:isbn)(?:-1[03])?:?\s*$")
 #: Draws that keep the nearest form of an entity: zeros of a phone number, lengths of an address's parts.
 _NEAR = 4
 
@@ -81,6 +96,38 @@ def script_of(word: str) -> str:
     return "latin"
 
 
+def _dated(value: str) -> bool:
+    """Whether a group of numbers begins with a day of the calendar."""
+    for pattern, order in ((_YEAR_FIRST, ((1, 3, 4),)), (_YEAR_LAST, ((4, 3, 1), (4, 1, 3)))):
+        m = pattern.match(value)
+        for year, month, day in order if m else ():
+            try:
+                return date(*(int(m.group(i)) for i in (year, month, day))).year >= 1000
+            except ValueError:
+                continue
+    return False
+
+
+def _other_number(text: str, start: int, stop: int) -> bool:
+    """Whether what looks like a phone number is a date, a range of years, an amount or a book's number."""
+    value = text[start:stop]
+    return bool(
+        _ROUND.fullmatch(value) or _dated(value) or _YEARS.fullmatch(value) or _AMOUNT.fullmatch(value)
+        or _SPACED.fullmatch(value) and (_UNIT_BEFORE.search(text[max(0, start - 5):start]) or _UNIT_AFTER.match(text, stop))
+        or _BOOK.search(text[max(0, start - 10):start]))
+
+
+def _phone(text: str, start: int, stop: int) -> tuple[int, int, str, str] | None:
+    value = text[start:stop]
+    # The country code stays: with or without it a number is the same.
+    country = re.match(r"\+\d{1,3}[ .-]", value)
+    at = start + (country.end() if country else 0)
+    canonical = re.sub(r"\D", "", text[at:stop])
+    if not PHONE_DIGITS <= len(canonical) <= PHONE_MOST or _other_number(text, start, stop):
+        return None
+    return at, stop, "phone", canonical
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) of the mentions in a text, in order and apart from each other.
 
@@ -103,20 +150,29 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
                 at = m.start("names") + w.start()
                 out.append((at, at + len(w.group(0)), kind, w.group(0).lower()))
             continue
-        kind = next(k for k in ("email", "ipv4", "iban", "secret", "ssn", "card", "phone") if m.group(k))
-        start = m.start()
+        kind = next(k for k in ("token", "setting", "email", "ipv4", "iban", "secret", "ssn", "card", "phone") if m.group(k))
+        start, stop = m.span("held") if kind == "setting" else m.span()
         if kind == "phone":
-            # The country code stays: with or without it a number is the same.
-            country = re.match(r"\+\d{1,3}[ .-]", value)
-            start += country.end() if country else 0
-            canonical = re.sub(r"\D", "", text[start:m.end()])
-            if len(canonical) < PHONE_DIGITS or _ROUND.fullmatch(value):
+            found = _phone(text, start, stop)
+            out += [found] if found else []
+            continue
+        canonical = text[start:stop]
+        if kind == "setting":
+            # A word of prose behind a colon is no key.
+            if not (any(c.isdigit() for c in canonical) and any(c.isalpha() for c in canonical)):
+                continue
+            kind = "token"
+        elif kind == "card":
+            canonical = re.sub(r"[ -]", "", value)
+            if luhn_digit(canonical[:-1]) != canonical[-1] or _BOOK.search(text[max(0, start - 10):start]):
+                # No card; grouped digits may still hold a phone number.
+                out += [e for e in (_phone(text, *p.span()) for p in _PHONE_ALONE.finditer(text, start, stop)) if e]
                 continue
-        elif kind in ("card", "iban"):
+        elif kind == "iban":
             canonical = re.sub(r"[ -]", "", value)
-        else:
-            canonical = value.lower() if kind == "email" else value
-        out.append((start, m.end(), kind, canonical))
+        elif kind == "email":
+            canonical = value.lower()
+        out.append((start, stop, kind, canonical))
     names = {text[a:b]: (kind, canonical) for a, b, kind, canonical in reversed(out) if kind[0] == "g" or kind == "surname"}
     if names:
         taken = [(a, b) for a, b, _, _ in out]
@@ -276,6 +332,15 @@ def surrogate(key: str, kind: str, canonical: str, turn: int) -> str:
         # Draw by draw names grow, so there is always a free one.
         parts = [syllables[draw.below(len(syllables))] for _ in range(2 + draw.below(2) + turn // 4)]
         return "".join(parts) + ends[draw.below(len(ends))]
+    if kind == "token":
+        begin = re.match(_PREFIX, canonical)
+        begin = begin.group(0) if begin else ""
+        rest = canonical[len(begin):]
+        if re.fullmatch(r"[0-9a-fA-F]+", rest):
+            upper = rest.upper() == rest
+            letters = "ABCDEF" if upper else "abcdef"
+            return begin + "".join(str(draw.below(10)) if c.isdigit() else letters[draw.below(6)] for c in rest)
+        return begin + draw.like(rest)
     return draw.like(canonical)
 
 
