@@ -73,6 +73,43 @@ def test_plan_uses_every_piece_once(seed):
     assert used == counts
 
 
+def piece_by_piece(pieces, capacity):
+    """Bins one at a time from a list of pieces: the largest that fits until none does, then the smallest of the bin for
+    the two that fill its gap best, if they fill it better."""
+    left, bins = sorted(pieces, reverse=True), []
+    while left:
+        filled, gap = [], capacity
+        for n in list(left):
+            if n <= gap:
+                filled.append(n)
+                gap -= n
+                left.remove(n)
+        smallest = filled[-1]
+        pairs = [(a + b, a, b) for i, a in enumerate(left) for b in left[i + 1:] if smallest < a + b <= gap + smallest]
+        if pairs and gap:
+            best = max(p[0] for p in pairs)
+            # Of equally good pairs the one with the shortest piece.
+            _, a, b = min((p for p in pairs if p[0] == best), key=lambda p: min(p[1], p[2]))
+            filled = [*filled[:-1], a, b]
+            left.remove(a)
+            left.remove(b)
+            left = sorted([*left, smallest], reverse=True)
+        bins.append(sorted(filled))
+    return bins
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_plan_equals_packing_piece_by_piece(seed):
+    rnd = random.Random(seed)
+    pieces = [rnd.choice([rnd.randint(1, 100), rnd.randint(20, 45), 33]) for _ in range(rnd.choice([1, 20, 150]))]
+    counts = {n: pieces.count(n) for n in pieces}
+    plan = packing.best_two_fit(counts, 100)
+    got = sorted(sorted(lengths) for times, lengths in plan for _ in range(times))
+    want = piece_by_piece(pieces, 100)
+    assert len(got) == len(want)
+    assert sorted(sum(b) for b in got) == sorted(sum(b) for b in want)
+
+
 def test_two_fit_improves_a_greedy_bin():
     # Greedy puts 60 and 30 together; 60 with 20 and 20 fills the bin.
     plan = packing.best_two_fit({60: 1, 30: 1, 20: 2}, 100)

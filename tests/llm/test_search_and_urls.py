@@ -59,6 +59,23 @@ def test_pruning_keeps_the_best():
         assert [(-int(s), int(ids[a])) for a, s in zip(at, score)] == want
 
 
+def test_thresholds_of_other_shards_spare_work_and_lose_nothing():
+    rnd = np.random.default_rng(6)
+    ids, x = np.arange(1500), np.asfortranarray(rnd.integers(-400, 400, (1500, 24)).astype(float))
+    high, low = x.max(axis=0), x.min(axis=0)
+    for qid in range(20):
+        q = x[qid]
+        full = x @ q
+        want = sorted((-int(s), int(i)) for i, s in zip(ids, full) if i != qid)[:5]
+        fifth = -want[-1][0]
+        for floor in (None, fifth - 1000, fifth):
+            at, score = maxscore.search_shard(ids, x, qid, q, 5, high, low, floor)
+            assert [(-int(s), int(ids[a])) for a, s in zip(at, score)] == want
+        # Nothing here reaches a score that is known to be reached elsewhere, but its equals stay.
+        at, score = maxscore.search_shard(ids, x, qid, q, 5, high, low, -want[1][0])
+        assert [(-int(s), int(ids[a])) for a, s in zip(at, score)][:2] == want[:2]
+
+
 def python_rule(url):
     if url is None or "://" not in url:
         return "", "", None

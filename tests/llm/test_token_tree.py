@@ -67,3 +67,12 @@ def test_empty(spark):
     frame = spark.createDataFrame([], SCHEMA)
     items = spark.createDataFrame([], "item_id long, text string")
     assert token_tree.count_revised(frame, items, PATH).count() == 0
+
+
+def test_documents_without_benchmark_items(spark):
+    """Stretches are cut out and nothing is put in their place."""
+    docs = spark.createDataFrame([(1, "some words of a text that is long enough to lose some", "s"), (2, None, "s")], SCHEMA)
+    items = spark.createDataFrame([], "item_id long, text string")
+    got = {r["doc_id"]: r for r in token_tree.count_revised(docs, items, PATH).collect()}
+    assert set(got) == {1, 2} and all(r["tokens_after"] == len(encode(r["text"], PATH)) for r in got.values())
+    assert got[2]["text"] == "\nsource 0" and got[1]["text"].endswith("\nsource 35")

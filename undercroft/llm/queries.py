@@ -14,6 +14,7 @@ from undercroft.llm import (
     jaccard,
     line_dedup,
     maxscore,
+    oracles,
     packing,
     resampling,
     suffix_dedup,
@@ -82,7 +83,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op3_ngram_jaccard_join")
+@query("op3_ngram_jaccard_join", oracles.NGRAM_JACCARD)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.component_ids(table(spark, sf_dir, "documents"))
 
@@ -125,12 +126,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("doc_id", "n_entities", "text")
 
 
-@query("op11_va_file_centroids")
+@query("op11_va_file_centroids", oracles.centroids_sql())
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.cluster_vectors(table(spark, sf_dir, "embeddings"))
 
 
-@query("op12_importance_resampling")
+@query("op12_importance_resampling", oracles.IMPORTANCE_RESAMPLING)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
