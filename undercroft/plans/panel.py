@@ -50,8 +50,20 @@ def hour_bounds(typed: DataFrame) -> DataFrame:
     return typed.groupBy(PERIOD).agg(F.min("hour_no").alias("hour_first"), F.max("hour_no").alias("hour_last"))
 
 
+#: Rows of the dense grid that one task makes, about.
+GRID_ROWS = 2_000_000
+
+
+def grid_tasks(typed: DataFrame) -> int:
+    """Tasks that the dense grid needs: by its rows, known before it is made, but no fewer than a shuffle has."""
+    ends = typed.groupBy(PERIOD).agg(
+        F.count_distinct("object_id").alias("objects"), (F.max("hour_no") - F.min("hour_no") + 1).alias("hours"))
+    rows = ends.agg(F.coalesce(F.sum(F.col("objects") * F.col("hours")), F.lit(0)).alias("n")).first()["n"]
+    return max(int(typed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(rows) // GRID_ROWS))
+
+
 def dense_object_hours(
-    sparse: DataFrame, bounds: DataFrame, cfg: RiskConfig, carry: tuple[str, ...] = ()
+    sparse: DataFrame, bounds: DataFrame, cfg: RiskConfig, tasks: int, carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """Fills every missing hour of each live object between the period's first and last hour.
 
@@ -61,7 +73,6 @@ def dense_object_hours(
     ordered = Window.partitionBy("object_id", PERIOD).orderBy("hour_no")
     whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # A fixed number of partitions: rows multiply below, so sizes measured here must not merge partitions.
-    tasks = int(sparse.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     marked = (
         sparse.repartition(tasks, "object_id", PERIOD)
         .select(
@@ -224,7 +235,7 @@ def panel_of_hours(typed: DataFrame, channels: DataFrame, weather: DataFrame | N
     """The panel from channel-hours."""
     sparse = hourly.object_hours(hourly.mark_channel_hours(typed, cfg), cfg)
     profile = hourly.object_profile(panel_channels(channels), cfg)
-    dense = dense_object_hours(sparse.join(profile, "object_id"), hour_bounds(typed), cfg, carry=PROFILE)
+    dense = dense_object_hours(sparse.join(profile, "object_id"), hour_bounds(typed), cfg, grid_tasks(typed), carry=PROFILE)
     return assemble(dense, weather, cfg)
 
 
@@ -232,5 +243,5 @@ def dense_grid(events: DataFrame, channels: DataFrame, cfg: RiskConfig) -> DataF
     """Live objects x hours with the hourly measures, before any rolling window."""
     typed = stage(typed_hours(events, channels, cfg), "channel-hours")
     sparse = hourly.object_hours(hourly.mark_channel_hours(typed, cfg), cfg)
-    dense = dense_object_hours(sparse, hour_bounds(typed), cfg)
+    dense = dense_object_hours(sparse, hour_bounds(typed), cfg, grid_tasks(typed))
     return dense.withColumn("hour_ts", hour_timestamp(F.col("hour_no")))

@@ -36,11 +36,13 @@ def build_session(app: str = "undercroft", master: str | None = None, **extra: s
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the one named in `spark.checkpoint.dir`, else one beside the warehouse.
 
-    The second case is for sessions that name none (tests); the warehouse is shared wherever tables are.
+    The second case is for local sessions that name none, as in tests; a cluster has to name one.
     """
     named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that driver and executors share")
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/undercroft-staged"
 
 
