@@ -5,7 +5,7 @@ import re
 import pytest
 
 from tests.conftest import SMALL
-from undercroft.operators import marts, rows
+from undercroft.operators import feedback, marts, rows
 from undercroft.operators.normalize import clean_channels
 from undercroft.operators.alarm_risk import score_alarms
 from undercroft.operators.tallies import channel_hour_tallies
@@ -84,3 +84,15 @@ def test_panel_does_not_depend_on_broadcasts(spark, tables):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert left == right
+
+
+def test_predictions_are_never_broadcast(spark):
+    """Narrow columns of a compressed table look small to Spark, so even a side that seems to fit is shuffled."""
+    t = Tables(spark, SF)
+    accepted, rejected = feedback.split_decisions(
+        t.feedback.withColumn("decided_at", F.col("created_at")), t.predictions)
+    made = [accepted, rejected, feedback.apply_decisions(t.predictions, accepted), feedback.ticket_drafts(accepted, t.predictions),
+            feedback.decision_counts(t.feedback, t.predictions), feedback.feedback_labels(t.feedback, t.predictions)]
+    for df in made:
+        text = plan(df)
+        assert "SortMergeJoin" in text and "Broadcast" not in text
