@@ -9,6 +9,8 @@ from undercroft import schemas
 from undercroft.plans import alarm_store, jobs
 from undercroft.sources import files, tables
 from undercroft.streaming.sources import wire_alarms, wire_rows
+from workload import queries_files
+from workload.binding import Tables
 
 OBJECTS = "ид_объект,иерархия_уровень,родитель,вид_объекта,диспетчерское_название_объекта\n"
 CHANNELS = "ид_канала_данных,тип_инж_системы,тип_датчика,тег_инженерной_системы,название_датчика,ид_объект\n"
@@ -163,3 +165,10 @@ def test_wire_rows_without_id_and_time_keep_their_ids(spark, tmp_path):
     for _ in range(2):
         alarm_store.upload_alarms(wire_alarms(wire_rows(spark, str(landing))), house)
         assert len(stored(spark, house)) == 8
+
+
+def test_landed_object_is_none_of_the_given(spark):
+    """Its id is free however many suppliers there are, so the folder holds one object more than the tables."""
+    landed = int(queries_files.BROKEN_OBJECTS[1].split(",")[0])
+    given = Tables(spark, "/root/testdata/sf0.1").objects
+    assert given.where((F.col("id") == landed) | (F.col("parent_id") == landed)).isEmpty()

@@ -31,8 +31,8 @@ def land_broken(t: Tables, lines: list[str], folder: str) -> None:
     t.spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(folder)
 
 
-#: One good line, and two that have too few or too many fields.
-BROKEN_OBJECTS = ["﻿" + ",".join(f'"{c}"' for c in OBJECT_HEADER), '700,1,,"plant"," Far, side "', "701,1", "702,1,,plant,a,b,c"]
+#: One good line with an id that no given object has, however many there are, and two that have too few or too many fields.
+BROKEN_OBJECTS = ["﻿" + ",".join(f'"{c}"' for c in OBJECT_HEADER), '3000000000000,1,,"plant"," Far, side "', "701,1", "702,1,,plant,a,b,c"]
 
 
 def landing(t: Tables) -> str:
