@@ -56,6 +56,16 @@ def test_trees_are_read_as_they_score(spark, rows, fitted):
     assert np.allclose(margins(classifier(maxIter=2).fit(rows), rows), margins(cut, rows))
 
 
+def test_joined_trees_keep_their_numbers(spark, rows, fitted, tmp_path):
+    """A model that all rounds stayed in and one that was cut or continued describe a tree alike, also when stored."""
+    longer = boosting.continue_boosting(fitted, rows, rounds=1, depth=2)
+    for i, made in enumerate((boosting.first_trees(spark, fitted, 6), longer)):
+        made.write().save(f"{tmp_path}/{i}")
+        stored = GBTClassificationModel.load(f"{tmp_path}/{i}")
+        assert (stored.numFeatures, stored.numClasses) == (fitted.numFeatures, fitted.numClasses) == (3, 2)
+        assert [t.toDebugString for t in stored.trees[:6]] == [t.toDebugString for t in fitted.trees]
+
+
 def plain_precision(score, label):
     order = sorted(set(score.tolist()), reverse=True)
     return sum(label[score == s].sum() / label.sum() * label[score >= s].mean() for s in order)
