@@ -131,3 +131,33 @@ def test_shingle_hashes_tell_sequences_apart():
         seen.setdefault(tuple(jaccard.shingles(text, 3, powers)), set()).add(text)
     assert all(len(v) == 1 for v in seen.values())
     assert np.array_equal(jaccard.shingles("x  Ab\tc d".encode(), 4, powers), jaccard.shingles(b"X aB c D ", 4, powers))
+
+
+def test_bitmaps_bound_overlaps():
+    rnd = np.random.default_rng(5)
+    for n, m, common in [(300, 300, 255), (300, 260, 250), (1, 1, 1), (40, 900, 40), (5, 5, 0), (2000, 2100, 1990)]:
+        both = np.unique(rnd.integers(0, 2 ** 64, n + m - common, dtype=np.uint64))
+        a, b = both[:n], both[n - common:]
+        most = jaccard.most_common(jaccard.sketch(a), len(a), jaccard.sketch(b), len(b))
+        assert common <= most <= min(n, m)
+    # Sets that are alike but do not link are told apart without looking at them.
+    both = np.unique(rnd.integers(0, 2 ** 64, 345, dtype=np.uint64))
+    most = jaccard.most_common(jaccard.sketch(both[:300]), 300, jaccard.sketch(both[45:]), 300)
+    assert 255 <= most < JaccardConfig().need(300) * 2 * 300 / (300 + JaccardConfig().need(300))
+
+
+def test_pairs_that_cannot_link_are_not_compared(spark, monkeypatch):
+    """Copies that share much but too little: their whole sets are never asked for."""
+    rnd = random.Random(11)
+    base = [f"w{i}" for i in range(200)]
+    docs = []
+    for k in range(30):
+        text = list(base)
+        at = rnd.randrange(150)
+        text[at:at + 30] = [f"c{k}x{i}" for i in range(30)]
+        docs.append((k, " ".join(text)))
+    asked = []
+    whole = jaccard._sets
+    monkeypatch.setattr(jaccard, "_sets", lambda d, pairs, *more: asked.append(pairs.count()) or whole(d, pairs, *more))
+    assert run(spark, docs) == brute(docs, JaccardConfig())
+    assert max(asked) <= len(docs)

@@ -4,7 +4,8 @@ Sets that are equal are one class. Classes meet in block-skip index lists: a lis
 shingle in their prefix, cut into blocks by set size, so that a class meets the one block whose sizes can reach the
 threshold, and by position, as a pair needs a common shingle in the shallow part of the smaller set. A class is first
 compared with the heads of its lists only. What is known of a head's overlaps then decides or bounds the overlaps of
-the classes that are highly similar to it, and only pairs left open by that are compared themselves.
+the classes that are highly similar to it, and only pairs left open by that are compared themselves. Before whole sets
+are sent to any pair, small bitmaps of both sets bound its overlap from above; most pairs that do not link go there.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from undercroft.llm.common import components
 from undercroft.session import stage
@@ -109,6 +111,22 @@ def shingles(data, words: int, powers: Powers) -> np.ndarray:
     return np.unique(out)
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """Bits of the remainders of the hashes by a power of two, two to four bits for each hash."""
+    size = max(64, 1 << int(2 * len(tokens) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[tokens & np.uint64(size - 1)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def most_common(a: bytes, na: int, b: bytes, nb: int) -> int:
+    """Upper bound of the overlap of two sets from their bitmaps: a bit that only one has is a hash that only it has."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_or.reduce(v.reshape(-1, size), axis=0) for v in (x, y))
+    return int(min(na - np.bitwise_count(x & ~y).sum(), nb - np.bitwise_count(y & ~x).sum()))
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -162,7 +180,8 @@ def frequent_shingles(docs: DataFrame, cfg: JaccardConfig) -> np.ndarray:
 
 
 def describe(docs: DataFrame, frequent: np.ndarray, cfg: JaccardConfig, sets: bool = False, only: bytes = b"") -> DataFrame:
-    """(doc_id, cls, n, tokens): class key, size and either the prefix, rare shingles first, or the whole set sorted.
+    """(doc_id, cls, n, tokens, sketch): class key, size and either the prefix, rare shingles first, and the set's bitmap,
+    or the whole set sorted.
 
     Equal sets have equal keys; the key is a 64-bit hash like the shingles. Texts without words have a null class.
     `only` has a bit for the remainder of each doc_id by BITS; rows whose bit is off are passed over.
@@ -177,7 +196,7 @@ def describe(docs: DataFrame, frequent: np.ndarray, cfg: JaccardConfig, sets: bo
         bits = np.frombuffer(wanted.value, np.uint8) if wanted else None
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            out: tuple[list, list, list, list] = ([], [], [], [])
+            out: tuple[list, list, list, list, list] = ([], [], [], [], [])
             for doc, text in zip(ids, batch.column(1)):
                 if bits is not None and doc is not None and not bits[doc % BITS >> 3] >> (doc % 8) & 1:
                     continue
@@ -193,14 +212,16 @@ def describe(docs: DataFrame, frequent: np.ndarray, cfg: JaccardConfig, sets: bo
                 out[1].append(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64) if n else None)
                 out[2].append(n)
                 out[3].append(tokens.view(np.int64))
+                out[4].append(sketch(s) if n and not sets else None)
             lists = pa.ListArray.from_arrays(
                 pa.array(np.cumsum([0, *map(len, out[3])]), pa.int32()),
                 pa.array(np.concatenate(out[3]) if out[3] else np.zeros(0, np.int64), pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), lists],
-                ["doc_id", "cls", "n", "tokens"])
+                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), lists,
+                 pa.array(out[4], pa.binary())],
+                ["doc_id", "cls", "n", "tokens", "sketch"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, cls long, n long, tokens array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, cls long, n long, tokens array<long>, sketch binary")
 
 
 #: Size of the table of wanted documents; a document whose remainder is shared by a wanted one costs time only.
@@ -222,11 +243,30 @@ def _bitmap(ids: DataFrame) -> bytes:
 
 def _sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame, cfg: JaccardConfig) -> DataFrame:
     """(cls, n, tokens): the whole sets of the classes in the columns a and b of `pairs`, read from the texts again."""
-    some = stage(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls"), "jaccard-some")
+    some = stage(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(
+        classes.select("cls", "doc_id"), "cls"), "jaccard-some")
     sets = describe(docs, np.zeros((2, 0), np.int64), cfg, sets=True, only=_bitmap(some.select("doc_id")))
     first = some.select(F.col("cls").alias("c"), F.col("doc_id").alias("d"))
     sets = sets.join(first, (F.col("cls") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
-    return stage(sets.dropDuplicates(["doc_id", "cls"]).drop("doc_id"), "jaccard-sets")
+    return stage(sets.dropDuplicates(["doc_id", "cls"]).drop("doc_id", "sketch"), "jaccard-sets")
+
+
+def _bounds(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Adds sizes and an upper bound of the overlap, from the bitmaps of both classes: all columns, na, nb, most."""
+    wanted = pairs.select("a").unionAll(pairs.select("b")).distinct().withColumnRenamed("a", "cls")
+    some = stage(classes.select("cls", "n", "sketch").join(wanted, "cls"), "jaccard-sketches")
+    side = lambda p: some.select(F.col("cls").alias(p), F.col("n").alias(f"n{p}"), F.col("sketch").alias(f"s{p}"))
+    own = [f for f in pairs.schema.fields if f.name not in ("na", "nb", "most")]
+    out = T.StructType([*own, *(T.StructField(c, T.LongType()) for c in ("na", "nb", "most"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = (batch.column(c).to_pylist() for c in ("sa", "na", "sb", "nb"))
+            most = pa.array([most_common(*row) for row in zip(*parts)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in out.names[:-1]), most], out.names)
+
+    rows = pairs.select(*[f.name for f in own]).join(side("a"), "a").join(side("b"), "b")
+    return rows.select(*out.names[:-1], "sa", "sb").mapInArrow(run, out)
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -261,19 +301,16 @@ def _meet(na: str, nb: str, cfg: JaccardConfig) -> str:
     return f"(({cfg.num} * ({na} + {nb}) + {both - 1}) div {both})"
 
 
-def _index(described: DataFrame, classes: DataFrame, cfg: JaccardConfig) -> DataFrame:
+def _index(classes: DataFrame, cfg: JaccardConfig) -> DataFrame:
     """(shingle, cls, n, shallow, size): the prefixes of all classes, shingles that only one class has left out; size
     is the number of classes that have the shingle in their prefix."""
-    first = classes.select(F.col("cls").alias("c"), F.col("doc_id").alias("d"))
-    # One document stands for its class; equal rows of that document are one.
-    heads = described.join(first, (F.col("cls") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
-    heads = heads.dropDuplicates(["doc_id", "cls"])
     both = cfg.num + cfg.den
     shallow = F.expr(f"pos < n - (({2 * cfg.num} * n + {both - 1}) div {both}) + 1")
-    listed = heads.select("cls", "n", F.posexplode("tokens").alias("pos", "shingle")).select(
+    listed = classes.select("cls", "n", F.posexplode("tokens").alias("pos", "shingle")).select(
         "shingle", "cls", F.col("n").cast("int").alias("n"), shallow.alias("shallow"))
     shared = listed.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return listed.join(shared, "shingle")
+    # Spark takes exploded prefixes for as few rows as there are classes, and would broadcast them.
+    return listed.join(shared.hint("merge"), "shingle")
 
 
 def join_classes(docs: DataFrame, cfg: JaccardConfig) -> tuple[DataFrame, DataFrame]:
@@ -284,9 +321,11 @@ def join_classes(docs: DataFrame, cfg: JaccardConfig) -> tuple[DataFrame, DataFr
     frequent = frequent_shingles(docs, cfg)
     described = stage(describe(docs, frequent, cfg), "jaccard-prefixes")
     members = described.select("doc_id", "cls", "n")
-    classes = stage(members.where("cls is not null").groupBy("cls").agg(
-        F.max("n").alias("n"), F.min("doc_id").alias("doc_id")), "jaccard-classes")
-    index = stage(_index(described.where("cls is not null"), classes, cfg), "jaccard-index")
+    # Equal sets have equal prefixes and bitmaps, so any document's stand for its class.
+    classes = stage(described.where("cls is not null").groupBy("cls").agg(
+        F.max("n").alias("n"), F.min("doc_id").alias("doc_id"), *[F.any_value(c).alias(c) for c in ("tokens", "sketch")]),
+        "jaccard-classes")
+    index = stage(_index(classes, cfg), "jaccard-index")
 
     # A list is a shingle and a size block; a class stands in its own block and the next larger one. The width is a
     # little over the size ratio that linked sets can have, so that rounding cannot part them.
@@ -309,7 +348,7 @@ def join_classes(docs: DataFrame, cfg: JaccardConfig) -> tuple[DataFrame, DataFr
     best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("met"), "b"))
     tried = met.withColumn("at", best).where(F.col("at") <= cfg.heads).join(sizes("a"), "a").join(sizes("b"), "b")
     tried = tried.where(f"met > {_meet('na', 'nb', cfg)} - {_need('greatest(na, nb)', cfg)}").select("a", "b")
-    tried = stage(tried, "jaccard-tried")
+    tried = stage(_bounds(stage(tried, "jaccard-met-most"), classes).where(_links(cfg, "most")).select("a", "b"), "jaccard-tried")
     linked = stage(_overlaps(tried, _sets(docs, tried, classes, cfg)).where(_links(cfg)), "jaccard-first")
     known = _leaders(classes, linked)
 
@@ -329,7 +368,10 @@ def join_classes(docs: DataFrame, cfg: JaccardConfig) -> tuple[DataFrame, DataFr
     pairs = pairs.where(f"c > {_meet('low_a', 'low_b', cfg)} - {_need('greatest(high_a, high_b)', cfg)}")
     pairs = stage(pairs.select("a", "b", "low_a", "low_b"), "jaccard-pairs")
     of = lambda p: groups.select(F.col("leader").alias(p), F.col("extra").alias(f"extra_{p}"))
-    bounded = stage(pairs.join(of("a"), "a").join(of("b"), "b"), "jaccard-bounded")
+    pairs = _bounds(stage(pairs.join(of("a"), "a").join(of("b"), "b"), "jaccard-sized"), classes)
+    # Pairs that can neither link themselves nor lead followers that do are decided.
+    near = lambda o: f"({o} + extra_a + extra_b) * {cfg.num + cfg.den} >= {cfg.num} * (low_a + low_b)"
+    bounded = stage(pairs.where(_links(cfg, "most") | F.expr(near("most"))).drop("na", "nb", "most"), "jaccard-bounded")
     second = stage(_overlaps(bounded, _sets(docs, bounded, classes, cfg)), "jaccard-second")
     close = second.where(_links(cfg)).select("a", "b")
     known = _leaders(classes, linked, close)
@@ -339,8 +381,7 @@ def join_classes(docs: DataFrame, cfg: JaccardConfig) -> tuple[DataFrame, DataFr
     # of one need not be the leader itself; where it is, nothing is apart and the bound passes over it.
     apart = bounded.select("a", "b", *[f"{c}_{p}" for p in "ab" for c in ("low", "extra")]).join(
         second.where(~_links(cfg)).select("a", "b", "o"), ["a", "b"])
-    apart = apart.where(
-        f"(o + extra_a + extra_b) * {cfg.num + cfg.den} >= {cfg.num} * (low_a + low_b)").select("a", "b", "o")
+    apart = apart.where(near("o")).select("a", "b", "o")
     follower = lambda p: known.select(F.col("leader").alias(p), *[
         F.col(c).alias(f"{c}_{p}") for c in ("cls", "n", "root", "leader_n", "common")])
     open_pairs = apart.join(follower("a"), "a").join(follower("b"), "b").where("root_a != root_b").select(
@@ -350,6 +391,7 @@ def join_classes(docs: DataFrame, cfg: JaccardConfig) -> tuple[DataFrame, DataFr
     open_pairs = open_pairs.withColumn("most", F.least("most", "na", "nb")).where(_links(cfg, "most"))
     open_pairs = stage(open_pairs, "jaccard-third")
     late, unsure = open_pairs.where(_links(cfg, "least")).select("a", "b"), open_pairs.where(~_links(cfg, "least"))
+    unsure = stage(_bounds(unsure.select("a", "b"), classes).where(_links(cfg, "most")).select("a", "b"), "jaccard-unsure")
     if not unsure.isEmpty():
         late = late.unionAll(_overlaps(unsure, _sets(docs, unsure, classes, cfg)).where(_links(cfg)).select("a", "b"))
     late = stage(late, "jaccard-late")
