@@ -103,6 +103,26 @@ def test_chains_of_copies_of_copies(spark):
     assert run(spark, docs, JaccardConfig(words=1)) == want
 
 
+def test_followers_of_unlinked_leaders_do_not_all_meet(spark, monkeypatch):
+    """Two texts too far apart to link, each with 60 shorter copies: pairs of copies do not grow with the product."""
+    rnd = random.Random(11)
+    one = [f"w{i}" for i in range(200)]
+    other = [f"v{i}" if i < 18 else w for i, w in enumerate(one)]
+    shorter = lambda t: [t[i] for i in sorted(rnd.sample(range(200), 196))]
+    docs = [(i, " ".join(t)) for i, t in enumerate([one, other, *[shorter(t) for t in (one, other) for _ in range(60)]])]
+    opened, stage = [], jaccard.stage
+
+    def counted(df, tag):
+        made = stage(df, tag)
+        opened.extend([made.count()] if tag == "jaccard-third" else [])
+        return made
+    monkeypatch.setattr(jaccard, "stage", counted)
+    cfg = JaccardConfig(words=1)
+    got = run(spark, docs, cfg)
+    assert got == brute(docs, cfg) and {c for _, _, c in got} == {0, 1}
+    assert opened[0] <= len(docs)
+
+
 def test_edges(spark):
     docs = [(1, None), (2, ""), (3, " \t\n"), (4, "One TWO"), (5, "one two"), (5, "one two"), (None, "one  two"), (None, "alone here"),
             (6, "É è"), (7, "é è"), (8, "a b c d"), (9, "a b c d e"), (10, "w " * 6000), (11, "w w w w")]

@@ -302,12 +302,12 @@ def _meet(na: str, nb: str, cfg: JaccardConfig) -> str:
 
 
 def _index(classes: DataFrame, cfg: JaccardConfig) -> DataFrame:
-    """(shingle, cls, n, shallow, size): the prefixes of all classes, shingles that only one class has left out; size
-    is the number of classes that have the shingle in their prefix."""
-    both = cfg.num + cfg.den
-    shallow = F.expr(f"pos < n - (({2 * cfg.num} * n + {both - 1}) div {both}) + 1")
+    """(shingle, cls, n, rest, shallow, size): the prefixes of all classes, shingles that only one class has left out;
+    rest is the number of the class's shingles from this one on, size that of classes that have it in their prefix."""
+    shallow = F.expr(f"n - pos >= {_meet('n', 'n', cfg)}")
     listed = classes.select("cls", "n", F.posexplode("tokens").alias("pos", "shingle")).select(
-        "shingle", "cls", F.col("n").cast("int").alias("n"), shallow.alias("shallow"))
+        "shingle", "cls", F.col("n").cast("int").alias("n"), F.expr("cast(n - pos as int)").alias("rest"),
+        shallow.alias("shallow"))
     shared = listed.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     # Spark takes exploded prefixes for as few rows as there are classes, and would broadcast them.
     return listed.join(shared.hint("merge"), "shingle")
@@ -376,15 +376,27 @@ def join_classes(docs: DataFrame, cfg: JaccardConfig) -> tuple[DataFrame, DataFr
     close = second.where(_links(cfg)).select("a", "b")
     known = _leaders(classes, linked, close)
 
-    # Third pass: followers of leaders that did not link. A follower's overlap differs from its leader's by what the
-    # two have apart at most; that decides most pairs, and the rest are compared. A leader may follow another, so a group
-    # of one need not be the leader itself; where it is, nothing is apart and the bound passes over it.
+    # Third pass: followers of leaders that did not link, where they share a shingle in time to link. A follower's overlap
+    # differs from its leader's by what the two have apart at most; that decides most pairs, and the rest are compared. A
+    # leader may follow another, so a group of one need not be the leader itself; where it is, nothing is apart and the
+    # bound passes over it.
     apart = bounded.select("a", "b", *[f"{c}_{p}" for p in "ab" for c in ("low", "extra")]).join(
         second.where(~_links(cfg)).select("a", "b", "o"), ["a", "b"])
-    apart = apart.where(near("o")).select("a", "b", "o")
-    follower = lambda p: known.select(F.col("leader").alias(p), *[
-        F.col(c).alias(f"{c}_{p}") for c in ("cls", "n", "root", "leader_n", "common")])
-    open_pairs = apart.join(follower("a"), "a").join(follower("b"), "b").where("root_a != root_b").select(
+    apart = stage(apart.where(near("o")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "o"), "jaccard-apart")
+    side = ("leader", "cls", "n", "leader_n", "common")
+    led = known.join(apart.select(F.explode(F.array("a", "b")).alias("leader")).distinct(), "leader")
+    led_lists = stage(index.select("shingle", "cls", "rest", "shallow").join(led.select(*side, "root"), "cls"), "jaccard-led")
+    x, y = ({c: F.col(f"{p}.{c}") for c in led_lists.columns} for p in "xy")
+    smaller = F.struct(x["n"], x["cls"]) < F.struct(y["n"], y["cls"])
+    sized = x["n"] * cfg.den >= y["n"] * cfg.num
+    reached = F.least(x["rest"], y["rest"]) >= F.expr(_meet("x.n", "y.n", cfg))
+    found = led_lists.where("shallow").alias("x").join(
+        led_lists.alias("y"), (x["shingle"] == y["shingle"]) & (x["root"] != y["root"]) & smaller & sized & reached)
+    ends = [F.struct(*[of_side[c] for c in side]) for of_side in (x, y)]
+    found = found.select(F.least(*ends).alias("p"), F.greatest(*ends).alias("q")).distinct().select(
+        F.col("p.leader").alias("a"), F.col("q.leader").alias("b"),
+        *[F.col(f"{of_side}.{c}").alias(f"{c}_{k}") for of_side, k in (("p", "a"), ("q", "b")) for c in side[1:]])
+    open_pairs = found.join(apart, ["a", "b"]).select(
         F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb"),
         F.expr("o + n_a - common_a + n_b - common_b").alias("most"),
         F.expr("o - (leader_n_a - common_a) - (leader_n_b - common_b)").alias("least"))
