@@ -150,6 +150,24 @@ def test_point_in_time_features(spark):
     assert {r["ev_24h"] for r in newest} == {12} and {r["weight"] for r in newest} == {2.0}
 
 
+def test_equal_decisions_share_rows(spark):
+    """Rows for a fit do not grow with the decisions on one object; decisions and weight are all there."""
+    panel = spark.createDataFrame([(1, at(h), 2024, h) for h in range(5)], "object_id long, hour_ts timestamp_ntz, period int, ev_24h int")
+    preds = prediction(spark, [(1, 1, "fire", 0.5, "open", "rules")])
+    given = spark.createDataFrame([(i, 1, "false_alarm" if i < 23 else "dispatch", None, "u", at(i % 5)) for i in range(27)], schemas.FEEDBACK)
+    for known in (False, True):
+        plain = feedback.training_set(given, preds, panel, point_in_time=known)
+        made = feedback.weighted_training_set(given, preds, panel, point_in_time=known, copies=3).collect()
+        assert all(made[0][c] is not None for c in ("risk_type", "ev_24h", "hour_ts"))
+        for label, n, weight in ((0.0, 23, 69.0), (1.0, 4, 8.0)):
+            mine = [r for r in made if r["y"] == label]
+            assert (sum(r["decisions"] for r in mine), sum(r["weight"] for r in mine)) == (n, weight)
+            assert len(mine) <= 3 * len({r["hour_ts"] for r in mine})
+        whole = feedback.weighted_training_set(given, preds, panel, point_in_time=known)
+        columns = ("object_id", "risk_type", "y", "weight", "hour_ts")
+        assert sorted(whole.select(*columns).collect()) == sorted(plain.select(*columns).collect())
+
+
 def test_dashboard_of_nothing(spark):
     empty = spark.createDataFrame([], schemas.PREDICTIONS)
     row = views.dashboard_totals(empty, spark.createDataFrame([], schemas.ALARMS), SMALL).first()

@@ -98,13 +98,13 @@ def retrain_job(
     head = doc.select("features").first()
     if head is None:
         raise ValueError(f"no trained models in {folder}")
-    rows = feedback.training_set(
+    rows = feedback.weighted_training_set(
         read_table(spark, f"{warehouse}/feedback", schemas.FEEDBACK),
         read_table(spark, f"{warehouse}/predictions", schemas.PREDICTIONS),
         panel.drop("split"), point_in_time=point_in_time, period=period)
-    rows = model.with_vector(rows, head["features"]).select("risk_type", "features", F.col("y").cast("double").alias("label"), "weight")
+    rows = model.with_vector(rows, head["features"]).select("risk_type", "features", F.col("y").cast("double").alias("label"), "weight", "decisions")
     rows = stage(rows, "feedback-rows")
-    counts = {r["risk_type"]: r["n"] for r in rows.groupBy("risk_type").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["risk_type"]: r["n"] for r in rows.groupBy("risk_type").agg(F.sum("decisions").alias("n")).collect()}
     todo = [r for r in RISKS if counts.get(r)]
 
     def add(risk: str) -> tuple[int, int]:
