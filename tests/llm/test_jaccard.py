@@ -123,6 +123,37 @@ def test_followers_of_unlinked_leaders_do_not_all_meet(spark, monkeypatch):
     assert opened[0] <= len(docs)
 
 
+def joined_rows(plan):
+    """Output rows of all joins of an executed plan."""
+    inner = [getattr(plan, f)() for f in ("executedPlan", "plan") if type(plan).__name__ == "JavaObject" and f in dir(plan)]
+    below = plan.children()
+    rows = [n for p in (*inner, *(below.apply(i) for i in range(below.size()))) for n in joined_rows(p)]
+    return rows + ([plan.metrics().apply("numOutputRows").value()] if "Join" in plan.nodeName() else [])
+
+
+def test_copies_that_do_not_link_do_not_all_meet(spark, monkeypatch):
+    """Copies of a text with 25 of 200 words changed: too far from the text and each other to link, and so to be paired."""
+    rnd = random.Random(3)
+    base = [f"w{i}" for i in range(200)]
+    docs = [(0, " ".join(base))]
+    for i in range(1, 150):
+        changed = set(rnd.sample(range(200), 25))
+        docs.append((i, " ".join(f"c{i}x{k}" if k in changed else w for k, w in enumerate(base))))
+    made, stage = [], jaccard.stage
+
+    def counted(df, tag):
+        if tag == "jaccard-pairs":
+            df.collect()
+            made.extend(joined_rows(df._jdf.queryExecution().executedPlan()))
+        return stage(df, tag)
+    monkeypatch.setattr(jaccard, "stage", counted)
+    cfg = JaccardConfig(words=1)
+    got = run(spark, docs, cfg)
+    assert got == brute(docs, cfg) and len({c for _, _, c in got}) == len(docs)
+    # A join without rows is dropped from the plan while it runs.
+    assert max(made, default=0) <= len(docs)
+
+
 def test_edges(spark):
     docs = [(1, None), (2, ""), (3, " \t\n"), (4, "One TWO"), (5, "one two"), (5, "one two"), (None, "one  two"), (None, "alone here"),
             (6, "É è"), (7, "é è"), (8, "a b c d"), (9, "a b c d e"), (10, "w " * 6000), (11, "w w w w")]

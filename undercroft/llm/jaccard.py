@@ -352,22 +352,25 @@ def join_classes(docs: DataFrame, cfg: JaccardConfig) -> tuple[DataFrame, DataFr
     linked = stage(_overlaps(tried, _sets(docs, tried, classes, cfg)).where(_links(cfg)), "jaccard-first")
     known = _leaders(classes, linked)
 
-    # Second pass: leaders whose lists still hold several components. What two classes must share of their prefixes
-    # is also shared by the entries of their leaders, so that number skips pairs of leaders as a whole, as do sizes.
+    # Second pass: leaders whose lists still hold several components. Two sets that link share a shingle with so many of
+    # either set from it on as they must have in common, and shallow in the smaller one. An entry holds the most that any
+    # follower with the shingle allows, so pairs of groups without such a shingle are skipped as a whole, as by size:
+    # copies of a text that are too far apart have their own changes first and do not all meet in the text's shingles.
     groups = stage(known.groupBy("leader").agg(
         F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("common")).alias("extra")), "jaccard-groups")
-    seen = index.select("shingle", "cls").join(known.select("cls", "root", "leader"), "cls")
+    seen = index.select("shingle", "cls", "rest", "shallow").join(known.select("cls", "n", "root", "leader"), "cls")
     mixed = seen.groupBy("shingle").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("shingle")
-    entries = seen.join(mixed, "shingle").select("shingle", "root", "leader").distinct()
-    entries = stage(entries.join(groups.select("leader", "low", "high"), "leader"), "jaccard-open")
+    entries = stage(seen.join(mixed, "shingle").groupBy("shingle", "root", "leader").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"), F.max("shallow").alias("shallow")),
+        "jaccard-open")
     x, y = ({c: F.col(f"{p}.{c}") for c in entries.columns} for p in "xy")
     sized = (x["high"] * cfg.den >= y["low"] * cfg.num) & (y["high"] * cfg.den >= x["low"] * cfg.num)
-    pairs = entries.alias("x").join(entries.alias("y"), (x["shingle"] == y["shingle"]) & (x["root"] < y["root"]) & sized)
-    pairs = pairs.groupBy(x["leader"].alias("a"), y["leader"].alias("b")).agg(
-        F.count(F.lit(1)).alias("c"), *[F.max(side[c]).alias(f"{c}_{p}") for p, side in (("a", x), ("b", y)) for c in ("low", "high")])
-    pairs = pairs.where(f"c > {_meet('low_a', 'low_b', cfg)} - {_need('greatest(high_a, high_b)', cfg)}")
-    pairs = stage(pairs.select("a", "b", "low_a", "low_b"), "jaccard-pairs")
-    of = lambda p: groups.select(F.col("leader").alias(p), F.col("extra").alias(f"extra_{p}"))
+    reached = F.least(x["rest"], y["rest"]) >= F.expr(_meet("x.low", "y.low", cfg))
+    pairs = entries.alias("x").join(
+        entries.alias("y"), (x["shingle"] == y["shingle"]) & (x["root"] < y["root"]) & sized & reached & (x["shallow"] | y["shallow"]))
+    pairs = pairs.select(x["leader"].alias("a"), y["leader"].alias("b")).distinct()
+    pairs = stage(pairs, "jaccard-pairs")
+    of = lambda p: groups.select(F.col("leader").alias(p), *[F.col(c).alias(f"{c}_{p}") for c in ("low", "extra")])
     pairs = _bounds(stage(pairs.join(of("a"), "a").join(of("b"), "b"), "jaccard-sized"), classes)
     # Pairs that can neither link themselves nor lead followers that do are decided.
     near = lambda o: f"({o} + extra_a + extra_b) * {cfg.num + cfg.den} >= {cfg.num} * (low_a + low_b)"
