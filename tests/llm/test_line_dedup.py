@@ -126,3 +126,23 @@ def test_rows_that_share_an_id(spark):
     frame = spark.createDataFrame([(1, line, ""), (1, line + "\n" + line, "")], SCHEMA)
     kept = "\n".join(r["text"] for r in dedup_lines(frame).collect())
     assert [x for x in kept.split("\n") if x] == [line]
+
+
+def test_texts_are_normalised_once(spark):
+    frame = spark.createDataFrame([(1, "a b\na b", "")], SCHEMA)
+    plan = line_dedup._normal_lines(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
+
+
+def test_pieces_settle_no_pair_wrongly(spark):
+    rnd = random.Random(8)
+    texts = []
+    for n in (100, 300, 1500):
+        base = "".join(rnd.choice("abcd ") for _ in range(n))
+        texts += [base, "x" * int(0.1 * n) + base, "y" * int(0.19 * n) + base, "z" * int(0.3 * n) + base,
+                  "".join("\u00e4" if rnd.random() < 0.25 else c for c in base)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "line_id long, normal string")
+    pairs = [(a, b) for k in range(0, 15, 5) for a, b in itertools.combinations(range(k, k + 5), 2)]
+    got = line_dedup._close(spark.createDataFrame(pairs, "a long, b long"), rows, LineConfig()).collect()
+    want = {(a, b) for a, b in pairs if distance(texts[a], texts[b]) <= int(max(len(texts[a]), len(texts[b])) * 0.2 + 1e-9)}
+    assert {tuple(r) for r in got} == want and 0 < len(want) < len(pairs)

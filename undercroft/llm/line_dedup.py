@@ -21,6 +21,8 @@ from undercroft.session import stage
 _LANES = 0x0001000100010001
 #: Remainders that stand for keys in a first filter: so many rows are broadcast at most, whatever the corpus holds.
 _REMAINDERS = 1 << 22
+#: Characters of the pieces by which two lines are compared before they are as a whole.
+_PIECES = (64, 256, 1024)
 #: Words that a lane can count and compare without touching the next lane.
 _CHUNK = 16_000
 
@@ -31,9 +33,14 @@ class LineConfig:
     similarity: float = 0.8
 
 
+def spaced(text: Column) -> Column:
+    """Lower case; every run of characters that are no letters, digits or newlines is one space."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
+
+
 def normalised(line: Column) -> Column:
     """Lower case; every run of characters that are no letters or digits is one space; none at the ends."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+    return F.trim(spaced(line))
 
 
 def _simhash(words: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -49,22 +56,29 @@ def _simhash(words: DataFrame, keys: Sequence[str]) -> DataFrame:
     return counted.select(*keys, F.expr(" | ".join(bits)).alias("simhash"))
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(row_key, doc, line, text): the lines of every document, parted at newlines.
+def _rows(docs: DataFrame) -> DataFrame:
+    """(row_key, doc, text) of every document, null texts empty.
 
     row_key stands for a document: a hash of its id and text, so equal rows are one document. A null id sorts last.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(
         F.xxhash64("doc_id", text).alias("row_key"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(2 ** 63 - 1)).alias("doc"),
-        F.posexplode(F.split(text, "\n")).alias("line", "text"))
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(2 ** 63 - 1)).alias("doc"), text.alias("text"))
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(row_key, doc, line, text): the lines of every document, parted at newlines."""
+    return _rows(docs).select("row_key", "doc", F.posexplode(F.split("text", "\n")).alias("line", "text"))
 
 
 def _normal_lines(docs: DataFrame) -> DataFrame:
-    rows = lines_of(docs).select("row_key", "doc", "line", "text", normalised(F.col("text")).alias("normal"))
-    rows = rows.where("normal != ''")
-    return rows.select("row_key", "doc", "line", "normal", F.xxhash64("normal").alias("line_id"), F.xxhash64("text").alias("raw_id"))
+    # A text is normalised as a whole, before it is parted: once, however often its lines are used.
+    both = F.arrays_zip(F.split("text", "\n").alias("text"), F.split(spaced(F.col("text")), "\n").alias("spaced"))
+    rows = _rows(docs).select("row_key", "doc", F.posexplode(both).alias("line", "both"))
+    rows = rows.where("both.spaced not in ('', ' ')").select(
+        "row_key", "doc", "line", F.trim("both.spaced").alias("normal"), F.xxhash64("both.text").alias("raw_id"))
+    return rows.select("row_key", "doc", "line", "normal", F.xxhash64("normal").alias("line_id"), "raw_id")
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -101,9 +115,14 @@ def _close(pairs: DataFrame, texts: DataFrame, cfg: LineConfig) -> DataFrame:
     rows = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     longer, shorter = F.greatest(F.length("ta"), F.length("tb")), F.least(F.length("ta"), F.length("tb"))
     rows = rows.withColumn("allowed", F.floor(longer * (1 - cfg.similarity) + 1e-9).cast("int"))
-    # With a limit only a band of the table of distances is filled; -1 stands for more than the limit. Most pairs differ
-    # by a word or two, so a narrow band is tried first.
-    near = "case when levenshtein(ta, tb, least(allowed, 12)) >= 0 then true else levenshtein(ta, tb, allowed) >= 0 end"
+    # Spark walks both texts for every cell it fills, so long texts cost their square, whatever the limit. The distances of
+    # pieces at the same places add up to the distance of the texts at least, and settle most pairs; larger pieces bear
+    # larger shifts. What no size of piece settles is compared as a whole.
+    longest = "greatest(length(ta), length(tb))"
+    apart = ("aggregate(sequence(0, ({longest} - 1) div {k}), 0, (s, i) -> "
+             "s + levenshtein(substring(ta, i * {k} + 1, {k}), substring(tb, i * {k} + 1, {k})))")
+    settled = [f"when {longest} > {k} and {apart.format(longest=longest, k=k)} <= allowed then true" for k in _PIECES]
+    near = f"case {' '.join(settled)} else levenshtein(ta, tb, allowed) >= 0 end"
     return rows.where(longer - shorter <= F.col("allowed")).where(near).select("a", "b")
 
 
@@ -169,7 +188,8 @@ def dedup_lines(docs: DataFrame, cfg: LineConfig = LineConfig()) -> DataFrame:
     rows = docs.withColumn("__row_key", F.xxhash64("doc_id", text)).join(gone, "__row_key", "left")
     parts = F.split(text, "\n")
     places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__lines"))
-    kept = F.array_join(F.transform(places, lambda i: F.get(parts, i)), "\n")
+    # The parts are a variable of an outer function: the inner one would part the text again for every line.
+    kept = F.get(F.transform(F.array(parts), lambda p: F.array_join(F.transform(places, lambda i: F.get(p, i)), "\n")), F.lit(0))
     out = rows.withColumns({
         "n_lines": F.size(parts).cast("long"), "n_removed": F.coalesce(F.size("__lines"), F.lit(0)).cast("long"),
         "text": F.when(F.col("__lines").isNull(), F.col("text")).otherwise(kept)})
