@@ -1,12 +1,14 @@
 """The Jaccard join against comparing all pairs."""
 
 import random
+import re
+import tracemalloc
 
 import numpy as np
 import pytest
 
 from undercroft.llm import jaccard
-from undercroft.llm.jaccard import JaccardConfig, component_ids, keep_one
+from undercroft.llm.jaccard import JaccardConfig, Repeats, component_ids, keep_one
 
 SCHEMA = "doc_id long, text string, cls string, n int"
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -154,6 +156,67 @@ def test_copies_that_do_not_link_do_not_all_meet(spark, monkeypatch):
     assert max(made, default=0) <= len(docs)
 
 
+def method_sizes(df):
+    """Bytes of the largest method in each piece of generated code of a finished plan."""
+    text = df.sparkSession._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(df._jdf.queryExecution(), "codegen")
+    return [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+
+
+def test_followers_do_not_meet_by_whole_rows(spark, monkeypatch):
+    """The code generated for pairs of followers stays small; one method with both sides as keys takes long to compile."""
+    rnd = random.Random(11)
+    one = [f"w{i}" for i in range(200)]
+    other = [f"v{i}" if i < 18 else w for i, w in enumerate(one)]
+
+    def copy(text):  # without three of the words that part the two texts, and without up to three others
+        gone = {*rnd.sample(range(18), 3), *rnd.sample(range(18, 200), rnd.randint(0, 3))}
+        return [w for i, w in enumerate(text) if i not in gone]
+    docs = [(i, " ".join(t)) for i, t in enumerate([one, other, *[copy(t) for t in (one, other) for _ in range(40)]])]
+    sizes, rows, stage = {}, {}, jaccard.stage
+
+    def measured(df, tag):
+        if tag in ("jaccard-found", "jaccard-third"):
+            rows[tag] = len(df.collect())
+            sizes[tag] = method_sizes(df)
+        return stage(df, tag)
+    monkeypatch.setattr(jaccard, "stage", measured)
+    cfg = JaccardConfig(words=1)
+    assert run(spark, docs, cfg) == brute(docs, cfg)
+    assert rows["jaccard-third"] > 0 and 0 < max(n for found in sizes.values() for n in found) < 2000
+
+
+def test_shingles_seen_once_are_not_held():
+    """A task over shingles that hardly repeat holds a bit for each, and counts those that come again."""
+    rnd = np.random.default_rng(1)
+    often = rnd.integers(0, 2 ** 64, 1000, dtype=np.uint64)
+    tracemalloc.start()
+    repeats = Repeats(4_000_000)
+    for i in range(2000):
+        repeats.add(np.unique(np.concatenate([rnd.integers(0, 2 ** 64, 1500, dtype=np.uint64), often[:i // 2 + 1]])))
+    keys, counts = repeats.counts()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert repeats.total == 2000 * 1500 + sum(i // 2 + 1 for i in range(2000)) and peak < 80_000_000
+    found = dict(zip(keys.tolist(), counts.tolist()))
+    got = np.array([found[k] for k in often.tolist()])
+    want = 2000 - 2 * np.arange(1000)
+    # A bit that another shingle has set counts once too many; few do.
+    assert ((got == want) | (got == want + 1)).all() and (got == want).mean() > 0.9
+    assert len(keys) < 1000 + 0.05 * 2000 * 1500 and (keys[1:] > keys[:-1]).all()
+
+
+def test_many_repeats_keep_the_frequent():
+    rnd = np.random.default_rng(2)
+    values = np.sort(rnd.integers(0, 2 ** 64, 1000, dtype=np.uint64))
+    often = values[::200]
+    repeats = Repeats(10)
+    for _ in range(12_000):
+        repeats.add(np.union1d(often, rnd.choice(values, 100)))
+    keys, counts = repeats.counts()
+    assert len(keys) <= 40
+    assert [n in (12_000, 12_001) for n in counts[np.isin(keys, often)]] == [True] * 5
+
+
 def test_edges(spark):
     docs = [(1, None), (2, ""), (3, " \t\n"), (4, "One TWO"), (5, "one two"), (5, "one two"), (None, "one  two"), (None, "alone here"),
             (6, "É è"), (7, "é è"), (8, "a b c d"), (9, "a b c d e"), (10, "w " * 6000), (11, "w w w w")]

@@ -131,6 +131,52 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+class Repeats:
+    """Counts of the values that are seen again; what is seen once leaves a bit only, and most shingles are.
+
+    A value whose bit another one has set before counts once too many. At most 4 * share values are held.
+    """
+
+    def __init__(self, share: int):
+        self.share, self.total, self._held = share, 0, 0
+        self._keys, self._counts = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self._waiting: list[np.ndarray] = []
+        self._seen = np.zeros(1 << 24, np.uint8)
+
+    def add(self, values: np.ndarray) -> None:
+        self._waiting.append(values)
+        self._held += len(values)
+        self.total += len(values)
+        if self._held > 500_000:
+            self._fold()
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        self._fold()
+        return self._keys, self._counts
+
+    def _fold(self) -> None:
+        if not self._held:
+            return
+        new, n = np.unique(np.concatenate(self._waiting), return_counts=True)
+        self._waiting, self._held = [], 0
+        at, bit = (new >> np.uint64(40)).astype(np.int64), np.uint8(1) << (new >> np.uint64(37) & np.uint64(7)).astype(np.uint8)
+        before = self._seen[at] & bit != 0
+        first = np.flatnonzero(np.diff(at, prepend=-1))  # the values are sorted, so those of one byte are neighbours
+        self._seen[at[first]] |= np.bitwise_or.reduceat(bit, first)
+        again = before | (n > 1)
+        new, n = new[again], (n + before)[again].astype(np.uint32)
+        where = np.searchsorted(self._keys, new)
+        known = np.zeros(len(new), bool)
+        known[where < len(self._keys)] = self._keys[where[where < len(self._keys)]] == new[where < len(self._keys)]
+        self._counts[where[known]] += n[known] - np.uint32(1)
+        self._keys = np.insert(self._keys, where[~known], new[~known])
+        self._counts = np.insert(self._counts, where[~known], n[~known])
+        if len(self._keys) > 4 * self.share:  # rare ones go, as in lossy counting, so that memory stays bounded
+            least = np.partition(self._counts, len(self._counts) - 2 * self.share)[len(self._counts) - 2 * self.share]
+            keep = self._counts > least
+            self._keys, self._counts = self._keys[keep], self._counts[keep]
+
+
 def frequent_shingles(docs: DataFrame, cfg: JaccardConfig) -> np.ndarray:
     """Shingles that make up at least one part in cfg.frequent of all, with their counts: cfg.frequent at most.
 
@@ -141,36 +187,17 @@ def frequent_shingles(docs: DataFrame, cfg: JaccardConfig) -> np.ndarray:
     share = cfg.frequent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
-        keys, counts, waiting, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
-
-        def fold():
-            nonlocal keys, counts
-            parts, waiting[:] = np.concatenate(waiting) if waiting else np.zeros(0, np.uint64), []
-            new, n = np.unique(parts, return_counts=True)
-            both, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            sums = np.zeros(len(both), np.int64)
-            np.add.at(sums, where, np.concatenate([counts, n]))
-            if len(both) > 4 * share:  # rare ones go, as in lossy counting, so that memory stays bounded
-                keep = sums > np.partition(sums, len(sums) - 2 * share)[len(sums) - 2 * share]
-                both, sums = both[keep], sums[keep]
-            keys, counts = both, sums
-
-        held = 0
+        powers, repeats = Powers(), Repeats(share)
         for batch in batches:
             for text in batch.column(0):
-                s = shingles(text.as_buffer() if text.is_valid else b"", cfg.words, powers)
-                waiting.append(s)
-                held += len(s)
-                total += len(s)
-                if held > 2_000_000:
-                    fold()
-                    held = 0
-        fold()
-        keep = counts >= max(_LEAST // 4, total // share)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([None, *keys[keep].view(np.int64).tolist()], pa.int64()),
-             pa.array([total, *counts[keep].tolist()], pa.int64())], ["shingle", "n"])
+                repeats.add(shingles(text.as_buffer() if text.is_valid else b"", cfg.words, powers))
+        keys, counts = repeats.counts()
+        keep = counts >= max(_LEAST // 4, repeats.total // share)
+        yield pa.RecordBatch.from_pydict({"shingle": pa.nulls(1, pa.int64()), "n": pa.array([repeats.total], pa.int64())})
+        found = pa.RecordBatch.from_arrays(
+            [pa.array(keys[keep].view(np.int64)), pa.array(counts[keep].astype(np.int64))], ["shingle", "n"])
+        for start in range(0, found.num_rows, 100_000):
+            yield found.slice(start, 100_000)
 
     counted = _texts(docs).select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     counted = stage(counted, "jaccard-frequent")
@@ -387,7 +414,7 @@ def join_classes(docs: DataFrame, cfg: JaccardConfig) -> tuple[DataFrame, DataFr
         second.where(~_links(cfg)).select("a", "b", "o"), ["a", "b"])
     apart = stage(apart.where(near("o")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "o"), "jaccard-apart")
     side = ("leader", "cls", "n", "leader_n", "common")
-    led = known.join(apart.select(F.explode(F.array("a", "b")).alias("leader")).distinct(), "leader")
+    led = stage(known.join(apart.select(F.explode(F.array("a", "b")).alias("leader")).distinct(), "leader"), "jaccard-followers")
     led_lists = stage(index.select("shingle", "cls", "rest", "shallow").join(led.select(*side, "root"), "cls"), "jaccard-led")
     x, y = ({c: F.col(f"{p}.{c}") for c in led_lists.columns} for p in "xy")
     smaller = F.struct(x["n"], x["cls"]) < F.struct(y["n"], y["cls"])
@@ -395,14 +422,17 @@ def join_classes(docs: DataFrame, cfg: JaccardConfig) -> tuple[DataFrame, DataFr
     reached = F.least(x["rest"], y["rest"]) >= F.expr(_meet("x.n", "y.n", cfg))
     found = led_lists.where("shallow").alias("x").join(
         led_lists.alias("y"), (x["shingle"] == y["shingle"]) & (x["root"] != y["root"]) & smaller & sized & reached)
-    ends = [F.struct(*[of_side[c] for c in side]) for of_side in (x, y)]
-    found = found.select(F.least(*ends).alias("p"), F.greatest(*ends).alias("q")).distinct().select(
-        F.col("p.leader").alias("a"), F.col("q.leader").alias("b"),
-        *[F.col(f"{of_side}.{c}").alias(f"{c}_{k}") for of_side, k in (("p", "a"), ("q", "b")) for c in side[1:]])
-    open_pairs = found.join(apart, ["a", "b"]).select(
-        F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb"),
-        F.expr("o + n_a - common_a + n_b - common_b").alias("most"),
-        F.expr("o - (leader_n_a - common_a) - (leader_n_b - common_b)").alias("least"))
+    # A pair is known by its two classes alone until it is distinct: with whole sides as keys, made of structs, the method
+    # that Spark generates took more than 300 MB of each executor to compile, which it kept.
+    found = stage(found.select(x["cls"].alias("cx"), y["cls"].alias("cy")).distinct(), "jaccard-found")
+    of = lambda p: led.select(*[F.col(c).alias(f"{c}_{p}") for c in side])
+    found = found.join(of("x"), F.col("cx") == F.col("cls_x")).join(of("y"), F.col("cy") == F.col("cls_y"))
+    both = apart.unionAll(apart.select(F.col("b").alias("a"), F.col("a").alias("b"), "o")).select(
+        F.col("a").alias("leader_x"), F.col("b").alias("leader_y"), "o")
+    open_pairs = found.join(both, ["leader_x", "leader_y"]).select(
+        F.col("cls_x").alias("a"), F.col("cls_y").alias("b"), F.col("n_x").alias("na"), F.col("n_y").alias("nb"),
+        F.expr("o + n_x - common_x + n_y - common_y").alias("most"),
+        F.expr("o - (leader_n_x - common_x) - (leader_n_y - common_y)").alias("least"))
     open_pairs = open_pairs.withColumn("most", F.least("most", "na", "nb")).where(_links(cfg, "most"))
     open_pairs = stage(open_pairs, "jaccard-third")
     late, unsure = open_pairs.where(_links(cfg, "least")).select("a", "b"), open_pairs.where(~_links(cfg, "least"))
